@@ -18,9 +18,15 @@ DAYS_BUCKETS = [(0, "first_order"), (7, "week"), (14, "two_weeks"), (30, "month"
 ORDER_GROUP_BINS = [(0, 5, "1-5"), (5, 10, "6-10"), (10, 20, "11-20"), (20, 100, "21-100")]  # (lo, hi]
 FREQUENCY_BINS = [(1, 5, "1-4"), (5, 10, "5-9"), (10, 20, "10-19"), (20, 50, "20-49"), (50, 100, "50+")]  # [lo, hi)
 TIERS = [(5, "Light Users"), (10, "Medium Users")]     # <= bound; else Heavy Users
-JOURNEY = [(1, "One-time"), (5, "New"), (15, "Regular")]   # <= bound; else Loyal
+JOURNEY = [(1, "One-time Buyer"), (5, "New Customer"), (15, "Regular Customer")]   # <= bound; else Loyal Customer
 CONFIDENCE = [(0.8, "high"), (0.6, "medium")]              # > bound; else low
 RECENCY_BANDS = [(90, "0-90"), (180, "91-180"), (365, "181-365")]   # <= bound; else >365
+SEGMENTS = [("All Users", None, None), ("New Users (1-5 orders)", None, 5),
+            ("Regular Users (6-20 orders)", 6, 20), ("Heavy Users (20+ orders)", 20, None)]  # order_number bounds, inclusive
+RECENCY_LABELS = ["High", "Medium-High", "Medium-Low", "Low"]       # quartiles of mean gap, ascending
+FREQUENCY_LABELS = ["Low", "Medium-Low", "Medium-High", "High"]     # quartiles of order count, ascending
+PEAK_LABELS = ["Peak Hours (10-16)", "Off-Peak Hours", "Peak Days (Sun,Mon,Sat)", "Off-Peak Days"]
+RECENCY_FILL = 30.0
 SYNTHETIC_EPOCH = "2023-01-01"
 UNKNOWN_PRODUCT = "Unknown Product"
 HASH_MULTIPLIER = 2654435761               # Knuth multiplicative hash, modulo 2^32
@@ -85,7 +91,7 @@ def journey_stage(max_order_number: Column) -> Column:
     expr = F.when(max_order_number == JOURNEY[0][0], JOURNEY[0][1])
     for bound, label in JOURNEY[1:]:
         expr = expr.when(max_order_number <= bound, label)
-    return expr.otherwise("Loyal")
+    return expr.otherwise("Loyal Customer")
 
 
 def confidence_band(p: Column) -> Column:
