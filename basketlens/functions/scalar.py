@@ -120,9 +120,21 @@ def title_case(c: Column) -> Column:
 
 
 def key_hash(key: Column, seed: int) -> Column:
-    """Deterministic 32-bit multiplicative hash of an integer key, identical in
-    every SQL engine (pure integer arithmetic; no engine hash function)."""
-    return ((key + F.lit(seed)) * F.lit(HASH_MULTIPLIER)) % F.lit(HASH_MODULUS)
+    """Deterministic 32-bit multiplicative hash ``((key + seed) * M) mod 2^32``
+    of an integer key, identical in every SQL engine (integer arithmetic,
+    no engine hash function).  M is split into 16-bit halves so no
+    intermediate exceeds 2^49: safe for any 64-bit key under ANSI overflow
+    checks."""
+    k = F.pmod(key + F.lit(seed), F.lit(HASH_MODULUS))
+    hi, lo = HASH_MULTIPLIER >> 16, HASH_MULTIPLIER & 0xFFFF
+    return F.pmod(k * F.lit(lo) + F.pmod(k * F.lit(hi), F.lit(65536)) * F.lit(65536), F.lit(HASH_MODULUS))
+
+
+def key_hash_sql(expr: str, seed: int) -> str:
+    """The same hash as SQL text (for the DuckDB oracle)."""
+    hi, lo = HASH_MULTIPLIER >> 16, HASH_MULTIPLIER & 0xFFFF
+    k = f"(({expr}) + {seed}) % {HASH_MODULUS}"
+    return f"(({k}) * {lo} + ((({k}) * {hi}) % 65536) * 65536) % {HASH_MODULUS}"
 
 
 def unit_hash(key: Column, seed: int) -> Column:

@@ -224,14 +224,17 @@ def _a8d(c):
     return FT.training_set(c.orders, c.basket, c.products)
 
 
-@query("candidate_training_set", "A8d,J11", ctes=NB, sql=f"""
+CANDIDATES_SQL = f"""
 SELECT x.user_id, x.product_id,
        CASE WHEN t.product_id IS NULL THEN 0 ELSE 1 END AS reordered, {TRAIN_FEATURES}
 FROM a8c x
 LEFT JOIN (SELECT user_id, product_id FROM c_basket WHERE eval_set = 'train') t
   ON x.user_id = t.user_id AND x.product_id = t.product_id
 LEFT JOIN a8 u ON x.user_id = u.user_id LEFT JOIN a8b p ON x.product_id = p.product_id
-WHERE x.user_id IN (SELECT user_id FROM c_basket WHERE eval_set = 'train')""")
+WHERE x.user_id IN (SELECT user_id FROM c_basket WHERE eval_set = 'train')"""
+
+
+@query("candidate_training_set", "A8d,J11", ctes=NB, sql=CANDIDATES_SQL)
 def _cands(c):
     return FT.candidate_training_set(c.orders, c.basket, c.products)
 

@@ -3,6 +3,7 @@ S12, S13, P1-P8, P12-P14, P19, J3, W1, U1, U2."""
 
 from pyspark.sql import functions as F
 
+from basketlens.functions.scalar import key_hash_sql
 from basketlens.operators import clean, kpi
 from basketlens.plans.registry import query
 from basketlens.sources import readers
@@ -13,8 +14,8 @@ def _first_orders(c):
     return readers.first_n(c.orders, 100, "order_id")
 
 
-@query("sample_orders", "S13,T15", sql="""
-SELECT * FROM c_orders ORDER BY ((order_id + 42) * 2654435761) % 4294967296, order_id LIMIT 100""")
+@query("sample_orders", "S13,T15", sql=f"""
+SELECT * FROM c_orders ORDER BY {key_hash_sql('order_id', 42)}, order_id LIMIT 100""")
 def _sample_orders(c):
     return readers.sample_n(c.orders, 100, 42, "order_id")
 
