@@ -103,18 +103,17 @@ def category_copurchase(user_categories: DataFrame, category: str) -> DataFrame:
     flags = (user_categories.select("user_id", category).distinct()
              .groupBy("user_id").pivot(category, values).agg(F.lit(1)).na.fill(0))
     names = {v: f"`{v}`" for v in values}
-    aggs = []
-    for a in values:
-        aggs.append(F.sum(F.col(names[a])).alias(f"n|{a}"))
-        for b in values:
+    aggs, rows = [], []
+    for i, a in enumerate(values):
+        aggs.append(F.sum(F.col(names[a])).alias(f"n_{i}"))
+        for j, b in enumerate(values):
             if a != b:
-                aggs.append(F.sum(F.col(names[a]) * F.col(names[b])).alias(f"b|{a}|{b}"))
-    row = flags.agg(*aggs)
-    parts = [row.select(F.lit(a).alias("category_a"), F.lit(b).alias("category_b"),
-                        F.col(f"`b|{a}|{b}`").cast("long").alias("buyers_both"),
-                        F.col(f"`n|{a}`").cast("long").alias("buyers_a"))
-             for a in values for b in values if a != b]
-    out = reduce(DataFrame.unionByName, parts)
+                aggs.append(F.sum(F.col(names[a]) * F.col(names[b])).alias(f"b_{i}_{j}"))
+                rows.append((a, b, f"b_{i}_{j}", f"n_{i}"))
+    esc = lambda v: v.replace("'", "\\'")
+    pairs = ", ".join(f"'{esc(a)}', '{esc(b)}', CAST({bn} AS BIGINT), CAST({nn} AS BIGINT)" for a, b, bn, nn in rows)
+    out = flags.agg(*aggs).selectExpr(
+        f"stack({len(rows)}, {pairs}) AS (category_a, category_b, buyers_both, buyers_a)")
     return out.withColumn("share", F.col("buyers_both") / F.col("buyers_a"))
 
 

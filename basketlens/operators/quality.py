@@ -62,11 +62,15 @@ def duplicate_report(name: str, df: DataFrame) -> DataFrame:
 
 
 def id_ranges(name: str, df: DataFrame, cols) -> DataFrame:
-    """Q7: min, max, distinct count, rows per id column."""
-    parts = [df.agg(F.lit(name).alias("table"), F.lit(c).alias("column"),
-                    F.min(c).cast("long").alias("min"), F.max(c).cast("long").alias("max"),
-                    F.countDistinct(c).alias("nunique"), F.count(F.lit(1)).alias("rows")) for c in cols]
-    return reduce(DataFrame.unionByName, parts)
+    """Q7: min, max, distinct count, rows per id column (one pass + stack)."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.min(c).cast("long").alias(f"mn{i}"), F.max(c).cast("long").alias(f"mx{i}"),
+                 F.countDistinct(c).alias(f"nu{i}")]
+    pairs = ", ".join(f"'{c}', mn{i}, mx{i}, nu{i}" for i, c in enumerate(cols))
+    return (df.agg(*aggs)
+            .selectExpr(f"'{name}' AS table", f"stack({len(cols)}, {pairs}) AS (column, min, max, nunique)",
+                        "__rows AS rows"))
 
 
 def missing_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
@@ -132,9 +136,9 @@ def apply_narrowing(df: DataFrame, plan: dict[str, str]) -> DataFrame:
 def low_cardinality(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Q16: string columns with distinct/rows below ``threshold``."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    parts = [df.agg(F.lit(c).alias("column"), F.countDistinct(c).alias("nunique"),
-                    F.count(F.lit(1)).alias("rows")) for c in cols]
-    out = reduce(DataFrame.unionByName, parts)
+    aggs = [F.count(F.lit(1)).alias("rows")] + [F.countDistinct(c).alias(f"nu{i}") for i, c in enumerate(cols)]
+    pairs = ", ".join(f"'{c}', nu{i}" for i, c in enumerate(cols))
+    out = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {pairs}) AS (column, nunique)", "rows")
     return out.withColumn("ratio", F.col("nunique") / F.col("rows")) \
               .withColumn("low_cardinality", F.col("ratio") < threshold)
 

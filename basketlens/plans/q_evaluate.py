@@ -8,7 +8,7 @@ from basketlens.operators import evaluate as E
 from basketlens.operators import features as FT
 from basketlens.plans import q_features
 from basketlens.plans.registry import query
-from basketlens.sources import readers
+from basketlens.plans.evaluate_helpers import demo_predictions, demo_summary
 
 KS = E.KS
 
@@ -213,23 +213,6 @@ demo AS (SELECT user_id, item_id AS product_id, label AS actual_reordered,
          LIMIT 10000)"""
 
 
-def demo_predictions(scored: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
-    """A seeded sample of at most n scored pairs with the prediction
-    and whether it is correct (the sample size is the feature)."""
-    keyed = scored.withColumn("__key", F.col("user_id") * 100003 + F.col("item_id"))
-    pred = (F.col("score") >= E.THRESHOLD).cast("int")
-    return (readers.sample_n(keyed, n, seed, "__key")
-            .select("user_id", F.col("item_id").alias("product_id"), F.col("label").alias("actual_reordered"),
-                    pred.alias("predicted_reordered"), F.col("score").alias("reorder_probability"),
-                    (pred == F.col("label")).cast("int").alias("prediction_correct")))
-
-
-def demo_summary(demo: DataFrame) -> DataFrame:
-    """A36."""
-    return demo.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"),
-                    F.countDistinct("product_id").alias("products"), F.avg("prediction_correct").alias("accuracy"))
-
-
 @query("demo_predictions", "M20,S13", ctes=DEMO, sql="SELECT * FROM demo")
 def _demo(c):
     return demo_predictions(E.demo_scores(c.basket))

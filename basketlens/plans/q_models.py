@@ -1 +1,206 @@
-"""Query registrations."""
+"""ML queries: M1-M20, E13, E15, W7 on model scores.  Statistics have DuckDB
+twins; trained-model outputs are checked by row count and properties."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from basketlens.functions.scalar import key_hash_sql
+from basketlens.operators import evaluate as E
+from basketlens.operators import features as FT
+from basketlens.operators import models as M
+from basketlens.plans import q_features
+from basketlens.plans.evaluate_helpers import demo_predictions
+from basketlens.plans.registry import query
+from basketlens.session import ensure_checkpoint_dir
+
+FEATURES = ["user_total_orders_x", "user_avg_days_between_orders", "user_min_days_between_orders",
+            "user_max_days_between_orders", "user_std_days_between_orders", "user_preferred_hour",
+            "user_preferred_dow", "user_total_products", "user_avg_basket_size", "user_unique_products",
+            "user_reorder_rate", "aisle_id", "department_id", "product_total_orders", "product_reorder_rate",
+            "product_reorder_count", "product_total_purchases", "product_avg_cart_position",
+            "product_unique_users", "product_preferred_hour", "product_preferred_dow", "up_orders_count",
+            "up_reorder_count", "up_avg_cart_position", "up_last_order_number", "user_max_order_number",
+            "up_days_since_last_purchase", "user_total_orders_y", "up_order_rate", "up_reorder_rate"]
+
+CANDS = q_features.NB + ",\ncand AS (" + q_features.CANDIDATES_SQL + f"""),
+spl AS (SELECT *, CASE WHEN {key_hash_sql('user_id', 42)}
+                        < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split FROM cand),
+lf AS (UNPIVOT (SELECT split, reordered, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)} FROM spl)
+       ON {', '.join(FEATURES)} INTO NAME feature VALUE value)"""
+
+
+def _memo(c, key, build):
+    if key not in c._cache:
+        c._cache[key] = build()
+    return c._cache[key]
+
+
+def _split(c) -> DataFrame:
+    return _memo(c, "ml_split", lambda: M.user_split(FT.candidate_training_set(c.orders, c.basket, c.products))
+                 .checkpoint(eager=True))
+
+
+def _train(c):
+    return _split(c).where(F.col("split") == "train")
+
+
+def _test(c):
+    return _split(c).where(F.col("split") == "test")
+
+
+def _scaler(c):
+    return _memo(c, "ml_scaler", lambda: M.scaling_stage(M.scaler_params(_train(c), FEATURES), FEATURES))
+
+
+def _model(c, kind):
+    def build():
+        model = M.fit(kind, _train(c), FEATURES, _scaler(c))
+        path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/models/{kind}"
+        M.save(model, path)
+        return path, model
+    return _memo(c, ("ml_model", kind), build)
+
+
+def _scores(c, kind, side="test"):
+    _, model = _model(c, kind)
+    data = _test(c) if side == "test" else _train(c)
+    return _memo(c, ("ml_scores", kind, side), lambda: M.score(model, data, FEATURES).checkpoint(eager=True))
+
+
+@query("user_split", "M2,J11,T15", ctes=CANDS, sql="""
+SELECT split, count(*) AS rows, count(DISTINCT user_id) AS users, avg(reordered) AS positive_rate
+FROM spl GROUP BY split""")
+def _user_split(c):
+    return M.split_summary(FT.candidate_training_set(c.orders, c.basket, c.products))
+
+
+@query("class_weights", "M11", ctes=CANDS, sql="""
+SELECT reordered, count(*) AS n, (SELECT count(*) FROM cand) / (2.0 * count(*)) AS weight
+FROM cand GROUP BY reordered""")
+def _weights(c):
+    return M.class_weights(FT.candidate_training_set(c.orders, c.basket, c.products))
+
+
+@query("scaler_params", "M3,M4", ctes=CANDS, sql="""
+SELECT feature, avg(value) AS mean, min(value) AS min, max(value) AS max, var_samp(value) AS variance,
+       quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3,
+       CASE WHEN stddev_pop(value) = 0 OR stddev_pop(value) IS NULL THEN 1.0 ELSE stddev_pop(value) END AS std
+FROM lf WHERE split = 'train' GROUP BY feature""")
+def _scaler_params(c):
+    return M.scaler_params(_train(c), FEATURES)
+
+
+@query("imputation_values", "M1,T13", ctes=CANDS, sql="""
+SELECT feature, CAST(quantile_cont(value, 0.5) AS VARCHAR) AS fill FROM lf GROUP BY feature""")
+def _impute(c):
+    return M.imputation_values(_split(c), FEATURES)
+
+
+@query("variance_kbest", "M5", ctes=CANDS, sql="""
+SELECT feature, var_samp(value) AS variance FROM lf WHERE split = 'train'
+GROUP BY feature ORDER BY variance DESC NULLS LAST, feature LIMIT 20""")
+def _kbest(c):
+    return M.variance_kbest(_train(c), FEATURES, 20)
+
+
+@query("target_correlation", "M7,T7", ctes=CANDS, sql="""
+SELECT feature, CASE WHEN stddev_pop(value) * stddev_pop(reordered) = 0 THEN NULL
+                     ELSE covar_pop(value, reordered) / (stddev_pop(value) * stddev_pop(reordered)) END AS correlation,
+       abs(CASE WHEN stddev_pop(value) * stddev_pop(reordered) = 0 THEN NULL
+                ELSE covar_pop(value, reordered) / (stddev_pop(value) * stddev_pop(reordered)) END) AS abs_correlation
+FROM lf GROUP BY feature""")
+def _target_corr(c):
+    return M.target_correlation(_split(c), FEATURES)
+
+
+def _top_correlated(c, k=10):
+    corr = M.target_correlation(_split(c), FEATURES)
+    rows = corr.orderBy(F.desc_nulls_last("abs_correlation"), F.asc("feature")).limit(k).collect()
+    return [r["feature"] for r in rows]
+
+
+@query("correlation_matrix", "M8", ctes=CANDS + """,
+tc AS (SELECT feature FROM (
+         SELECT feature, abs(CASE WHEN stddev_pop(value) * stddev_pop(reordered) = 0 THEN NULL
+                ELSE covar_pop(value, reordered) / (stddev_pop(value) * stddev_pop(reordered)) END) AS a
+         FROM lf GROUP BY feature) ORDER BY a DESC NULLS LAST, feature LIMIT 10),
+rl AS (SELECT rid, feature, value FROM (
+         UNPIVOT (SELECT row_number() OVER () AS rid, """ + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES) + """ FROM spl)
+         ON """ + ", ".join(FEATURES) + """ INTO NAME feature VALUE value)
+       WHERE feature IN (SELECT feature FROM tc))""", sql="""
+SELECT a.feature AS feature_a, b.feature AS feature_b,
+       CASE WHEN stddev_pop(a.value) * stddev_pop(b.value) = 0 THEN NULL
+            ELSE covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)) END AS r
+FROM rl a JOIN rl b ON a.rid = b.rid GROUP BY a.feature, b.feature""")
+def _corr_matrix(c):
+    return M.correlation_matrix(_split(c), _top_correlated(c))
+
+
+# ------------------------------------------------------------ trained models
+@query("logistic_scores", "M12,M19")
+def _lr(c):
+    return _scores(c, "logistic")
+
+
+@query("gbt_scores", "M13,M19")
+def _gbt(c):
+    return _scores(c, "gbt")
+
+
+@query("mlp_scores", "M14,M19")
+def _mlp(c):
+    return _scores(c, "mlp")
+
+
+@query("forest_importance", "M9")
+def _rf_imp(c):
+    _, model = _model(c, "random_forest")
+    return M.feature_importance(model, FEATURES)
+
+
+@query("combined_feature_score", "M10")
+def _combined(c):
+    _, model = _model(c, "random_forest")
+    return M.combined_importance(M.feature_importance(model, FEATURES),
+                                 M.target_correlation(_split(c), FEATURES))
+
+
+@query("univariate_selection", "M6")
+def _univariate(c):
+    return M.univariate_selection(_train(c), FEATURES, 10)
+
+
+@query("ensemble_scores", "M15")
+def _ensemble(c):
+    return M.ensemble(_scores(c, "gbt"), _scores(c, "random_forest"), 0.6, 0.4)
+
+
+@query("stacking_scores", "M16")
+def _stacking(c):
+    kinds = ("gbt", "random_forest", "logistic")
+    return M.stacking({k: _scores(c, k, "train") for k in kinds}, {k: _scores(c, k, "test") for k in kinds})
+
+
+@query("holdout_validation", "E15,M17,M18,E7,E8")
+def _holdout(c):
+    path, _ = _model(c, "gbt")
+    reloaded = M.load(path)
+    return E.global_evaluation(M.as_eval(M.score(reloaded, _test(c), FEATURES)))
+
+
+@query("trained_model_comparison", "E13,W4")
+def _trained_cmp(c):
+    reports = {k: E.global_evaluation(M.as_eval(_scores(c, k))) for k in ("logistic", "gbt", "random_forest", "mlp")}
+    reports["ensemble"] = E.global_evaluation(M.as_eval(M.ensemble(_scores(c, "gbt"), _scores(c, "random_forest"))))
+    return E.compare_models(reports)
+
+
+@query("model_recommendations", "W7,M19")
+def _model_recs(c):
+    return E.recommend(M.as_eval(_scores(c, "gbt")), 10)
+
+
+@query("model_demo_predictions", "M20")
+def _model_demo(c):
+    return demo_predictions(M.as_eval(_scores(c, "gbt")))
