@@ -204,3 +204,12 @@ def _model_recs(c):
 @query("model_demo_predictions", "M20")
 def _model_demo(c):
     return demo_predictions(M.as_eval(_scores(c, "gbt")))
+
+
+@query("stream_request_scores", "R1,W7,M18,M19")
+def _stream(c):
+    from basketlens.streaming.scoring import run_scoring
+    _, model = _model(c, "gbt")
+    features = _split(c).drop("reordered", "split")
+    sink = run_scoring(c.spark, c.sf_dir, features, model, FEATURES, k=5)
+    return c.spark.read.parquet(sink)
