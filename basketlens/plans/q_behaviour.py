@@ -4,13 +4,6 @@ from basketlens.operators import behaviour as B
 from basketlens.operators import kpi
 from basketlens.plans.registry import query
 
-SEGMENTS = """
-seg AS (
-  SELECT 'All Users' AS segment, * FROM c_orders
-  UNION ALL SELECT 'New Users (1-5 orders)', * FROM c_orders WHERE order_number <= 5
-  UNION ALL SELECT 'Regular Users (6-20 orders)', * FROM c_orders WHERE order_number BETWEEN 6 AND 20
-  UNION ALL SELECT 'Heavy Users (20+ orders)', * FROM c_orders WHERE order_number >= 20)"""
-
 USER_METRICS = """
 um AS (SELECT user_id, count(*) AS total_orders, max(order_number) AS max_order_num,
               avg(days_since_prior_order) AS avg_days_between FROM c_orders GROUP BY user_id)"""
@@ -40,20 +33,23 @@ def _overview(c):
     return B.overview_kpis(c.orders, c.items("prior"), c.products, c.departments)
 
 
-@query("segment_sizes", "P9", ctes=SEGMENTS, sql="""
-SELECT segment, count(*) AS orders, count(DISTINCT user_id) AS users FROM seg GROUP BY segment""")
+SEGMENT_FILTERS = [("All Users", "TRUE"), ("New Users (1-5 orders)", "order_number <= 5"),
+                   ("Regular Users (6-20 orders)", "order_number BETWEEN 6 AND 20"),
+                   ("Heavy Users (20+ orders)", "order_number >= 20")]
+
+
+@query("segment_sizes", "P9", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS segment, count(*) AS orders, count(DISTINCT user_id) AS users FROM c_orders WHERE {w}"
+    for n, w in SEGMENT_FILTERS))
 def _segment_sizes(c):
     return B.segment_sizes(c.orders)
 
 
-@query("time_headline", "A26,P9", ctes=SEGMENTS + """,
-hh AS (SELECT segment, order_hour_of_day AS v, count(*) AS n FROM seg GROUP BY ALL),
-dd AS (SELECT segment, order_dow AS v, count(*) AS n FROM seg GROUP BY ALL)""", sql="""
-SELECT s.segment, s.avg_order_number, s.active_users,
-       (SELECT v FROM hh WHERE hh.segment = s.segment ORDER BY n DESC, v LIMIT 1) AS peak_hour,
-       (SELECT v FROM dd WHERE dd.segment = s.segment ORDER BY n DESC, v LIMIT 1) AS peak_dow
-FROM (SELECT segment, avg(order_number) AS avg_order_number, count(DISTINCT user_id) AS active_users
-      FROM seg GROUP BY segment) s""")
+@query("time_headline", "A26,P9", sql=" UNION ALL ".join(
+    f"""SELECT '{n}' AS segment, avg(order_number) AS avg_order_number, count(DISTINCT user_id) AS active_users,
+       (SELECT order_hour_of_day FROM c_orders WHERE {w} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_hour,
+       (SELECT order_dow FROM c_orders WHERE {w} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_dow
+FROM c_orders WHERE {w}""" for n, w in SEGMENT_FILTERS))
 def _time_headline(c):
     return B.time_headline(c.orders)
 
