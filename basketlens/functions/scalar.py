@@ -151,3 +151,10 @@ def demo_score(user_id: Column, product_id: Column) -> Column:
 def safe_div(num: Column, den: Column) -> Column:
     """x / 0 -> null instead of an ANSI error."""
     return F.try_divide(num.cast("double"), den.cast("double"))
+
+
+def first_present(df_columns, names, default: str) -> Column:
+    """The first of ``names`` that exists in the frame (coalesced in
+    that order), else ``default``."""
+    present = [F.col(n) for n in names if n in df_columns]
+    return F.coalesce(*present, F.lit(default)) if present else F.lit(default)

@@ -231,3 +231,21 @@ def frequency_recency_crosstab(orders: DataFrame) -> DataFrame:
         F.when(F.col("__gf") == 1, F.lit("Total")).otherwise(F.col("frequency_score")).alias("frequency_score"),
         F.when(F.col("__gr") == 1, F.lit("Total")).otherwise(F.col("recency_score")).alias("recency_score"),
         "users")
+
+
+def eval_split_counts(orders: DataFrame) -> DataFrame:
+    """P10: prior orders feed training features, train/test orders the
+    evaluation side; orders and users per side."""
+    side = F.when(F.col("eval_set") == "prior", "train").when(F.col("eval_set").isin("train", "test"), "test")
+    return (orders.withColumn("side", side).groupBy("side")
+            .agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("user_id").alias("users")))
+
+
+def recency_bands(orders_raw: DataFrame) -> DataFrame:
+    """Users by days since their last order (relative to the latest
+    order date in the data): 0-90, 91-180, 181-365, >365."""
+    last = orders_raw.groupBy(F.col("o_custkey").alias("user_id")).agg(F.max("o_orderdate").alias("__last"))
+    latest = orders_raw.agg(F.max("o_orderdate").alias("__max"))
+    days = F.datediff("__max", "__last")
+    return (one_row_join(last, latest).withColumn("band", S.recency_band(days))
+            .groupBy("band").agg(F.count(F.lit(1)).alias("users")))

@@ -205,9 +205,10 @@ def recommend(scores: DataFrame, k: int = 10) -> DataFrame:
 
 def recommendations_per_department(recs: DataFrame, products: DataFrame, departments: DataFrame) -> DataFrame:
     """A35."""
-    return (recs.join(products.select("product_id", "department_id"), "product_id", "left")
-            .join(departments, "department_id", "left")
-            .groupBy("department").agg(F.count(F.lit(1)).alias("recommendations")))
+    joined = (recs.join(products.select("product_id", "department_id"), "product_id", "left")
+              .join(departments, "department_id", "left"))
+    label = S.first_present(joined.columns, ["department", "department_x"], "Unknown")
+    return joined.groupBy(label.alias("department")).agg(F.count(F.lit(1)).alias("recommendations"))
 
 
 def average_rank_desc(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -159,3 +159,16 @@ def outlier_counts(df: DataFrame, cols, iqr_k: float = 1.5, z: float = 3.0) -> D
              .alias("iqr_outliers"),
             F.count_if(F.abs(F.col("__x") - F.col("mu")) > z * F.col("sd")).alias("z_outliers")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def catalog_samples(tables: dict, max_rows: int = 1000, n: int = 5) -> DataFrame:
+    """Q3: up to n sample rows (first by the leading column) as JSON for each
+    table with at most ``max_rows`` rows; the row count is checked with a
+    bounded ``limit`` so large tables are never counted in full."""
+    parts = []
+    for name, df in tables.items():
+        if df.limit(max_rows + 1).count() > max_rows:
+            continue
+        parts.append(df.orderBy(df.columns[0]).limit(n)
+                     .select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row_json")))
+    return reduce(DataFrame.unionByName, parts)

@@ -123,7 +123,7 @@ FROM grid g LEFT JOIN cnt ON g.bin = cnt.bin"""
 _c, _s = _hist_sql("c_orders", "days_since_prior_order", 30)
 
 
-@query("gap_histogram", "A31", ctes=_c, sql=_s)
+@query("gap_histogram", "A31,P11", ctes=_c, sql=_s)
 def _gap_hist(c):
     return B.histogram(c.orders, "days_since_prior_order", 30)
 
@@ -223,3 +223,28 @@ SELECT CASE WHEN grouping(frequency_score) = 1 THEN 'Total' ELSE frequency_score
 FROM sc GROUP BY CUBE (frequency_score, recency_score)""")
 def _crosstab(c):
     return B.frequency_recency_crosstab(c.orders)
+
+
+@query("eval_split_counts", "P10", sql="""
+SELECT CASE WHEN eval_set = 'prior' THEN 'train' WHEN eval_set IN ('train', 'test') THEN 'test' END AS side,
+       count(*) AS orders, count(DISTINCT user_id) AS users FROM c_orders GROUP BY 1""")
+def _eval_split(c):
+    return B.eval_split_counts(c.orders)
+
+
+@query("hour_modes", "A33", sql="""
+SELECT order_hour_of_day, n FROM (SELECT order_hour_of_day, count(*) AS n FROM c_orders GROUP BY 1)
+WHERE n = (SELECT max(n) FROM (SELECT count(*) AS n FROM c_orders GROUP BY order_hour_of_day))""")
+def _hour_modes(c):
+    from basketlens.operators.stats import all_modes
+    return all_modes(c.orders, "order_hour_of_day")
+
+
+@query("recency_bands", "P26", ctes="""
+l AS (SELECT o_custkey AS user_id,
+             date_diff('day', CAST(max(o_orderdate) AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS d
+      FROM orders GROUP BY o_custkey)""", sql="""
+SELECT CASE WHEN d <= 90 THEN '0-90' WHEN d <= 180 THEN '91-180' WHEN d <= 365 THEN '181-365' ELSE '>365' END
+         AS band, count(*) AS users FROM l GROUP BY 1""")
+def _recency_bands(c):
+    return B.recency_bands(c.raw("orders"))

@@ -104,7 +104,7 @@ def _global_pr(c):
     return E.global_precision_recall_at_k(E.demo_scores(c.basket))
 
 
-@query("coverage_at_k", "E9,U4", ctes=SCORES + """,
+@query("coverage_at_k", "E9,U4,T10", ctes=SCORES + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM sc)""",
        sql=" UNION ALL ".join(
            f"SELECT {k} AS k, count(DISTINCT item_id) AS items, "
@@ -122,15 +122,15 @@ recs AS (SELECT user_id, item_id AS product_id, score AS reorder_probability,
          FROM sc QUALIFY rank <= 10)"""
 
 
-@query("recommendations", "W7,P18,M19", ctes=RECS, sql="SELECT * FROM recs")
+@query("recommendations", "W7,P18,M19,T10", ctes=RECS, sql="SELECT * FROM recs")
 def _recs(c):
     return E.recommend(E.demo_scores(c.basket), 10)
 
 
-@query("recommendations_per_department", "A35", ctes=RECS, sql="""
-SELECT d.department, count(*) AS recommendations FROM recs r
+@query("recommendations_per_department", "A35,P24", ctes=RECS, sql="""
+SELECT coalesce(d.department, 'Unknown') AS department, count(*) AS recommendations FROM recs r
 LEFT JOIN c_products p ON r.product_id = p.product_id
-LEFT JOIN c_departments d ON p.department_id = d.department_id GROUP BY d.department""")
+LEFT JOIN c_departments d ON p.department_id = d.department_id GROUP BY 1""")
 def _recs_dept(c):
     return E.recommendations_per_department(E.recommend(E.demo_scores(c.basket), 10), c.products, c.departments)
 

@@ -69,7 +69,7 @@ def _a3(c):
     return FT.user_diversity(c.basket, c.products)
 
 
-@query("user_features_src", "A1-A4,J4,P22", ctes=SRC_USER, sql="SELECT * FROM usrc")
+@query("user_features_src", "A1-A4,J4,P22,T12", ctes=SRC_USER, sql="SELECT * FROM usrc")
 def _usrc(c):
     return FT.user_features_src(clean.clean_orders(c.orders), c.basket, c.products)
 
@@ -197,7 +197,7 @@ TRAIN_FEATURES = """
        coalesce(x.up_order_rate, 0.0) AS up_order_rate, coalesce(x.up_reorder_rate, 0.0) AS up_reorder_rate"""
 
 
-@query("user_features", "A8,T1,T3", ctes=NB, sql="SELECT * FROM a8")
+@query("user_features", "A8,T1,T3,T12", ctes=NB, sql="SELECT * FROM a8")
 def _a8(c):
     return FT.user_features(c.orders, c.basket)
 

@@ -104,7 +104,7 @@ def _customer_tiers(c):
     return kpi.customer_tiers(c.orders)
 
 
-@query("gap_stats", "A18", ctes="""
+@query("gap_stats", "A18,P11", ctes="""
 g AS (SELECT days_since_prior_order AS x FROM c_orders WHERE days_since_prior_order IS NOT NULL),
 gm AS (SELECT x, count(*) AS n FROM g GROUP BY x)""", sql="""
 SELECT (SELECT avg(x) FROM g) AS mean_gap,
@@ -114,7 +114,7 @@ def _gap_stats(c):
     return kpi.gap_stats(c.orders)
 
 
-@query("customer_reorder_stats", "A19", ctes=ALL_ITEMS + """,
+@query("customer_reorder_stats", "A19,P25,T5", ctes=ALL_ITEMS + """,
 r AS (SELECT o.user_id, round_even(avg(ai.reordered), 3) AS rate
       FROM ai JOIN c_orders o ON ai.order_id = o.order_id GROUP BY o.user_id)""", sql="""
 SELECT count(*) AS customers, avg(rate) AS avg_reorder_rate,

@@ -138,7 +138,7 @@ def _corr_matrix(c):
 
 
 # ------------------------------------------------------------ trained models
-@query("logistic_scores", "M12,M19")
+@query("logistic_scores", "M12,M19,P20")
 def _lr(c):
     return _scores(c, "logistic")
 

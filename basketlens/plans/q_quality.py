@@ -159,3 +159,8 @@ FROM (SELECT {col} AS x FROM c_orders),
              avg({col}) AS mu, stddev_samp({col}) AS sd FROM c_orders)""" for col in OUTLIER_COLS))
 def _outliers(c):
     return Q.outlier_counts(c.orders, OUTLIER_COLS)
+
+
+@query("catalog_samples", "Q2,Q3")
+def _catalog_samples(c):
+    return Q.catalog_samples({"aisles": c.aisles, "departments": c.departments, "orders": c.orders})

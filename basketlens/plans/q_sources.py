@@ -20,7 +20,7 @@ def _sample_orders(c):
     return readers.sample_n(c.orders, 100, 42, "order_id")
 
 
-@query("orders_enriched", "P1-P5,P12-P14,P19", sql="""
+@query("orders_enriched", "P1-P5,P12-P14,P19,T14", sql="""
 SELECT order_id, user_id, eval_set, order_number,
        CAST(order_dow AS TINYINT) AS order_dow, CAST(order_hour_of_day AS TINYINT) AS order_hour_of_day,
        coalesce(days_since_prior_order, 0.0) AS days_since_prior_order,
@@ -50,7 +50,7 @@ TITLE = "array_to_string(list_transform(string_split(trim({c}), ' '), " \
         "lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
 
 
-@query("products_enriched", "J3,P6,P7,P8", sql=f"""
+@query("products_enriched", "J3,P6,P7,P8,T6", sql=f"""
 SELECT p.department_id, p.aisle_id, p.product_id,
        coalesce(trim(p.product_name), 'Unknown Product') AS product_name,
        {TITLE.format(c='a.aisle')} AS aisle, {TITLE.format(c='d.department')} AS department,
