@@ -100,18 +100,22 @@ def missing_count(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count_if(F.col(col).isNull()).alias(f"missing_{col}"))
 
 
+def _long(df: DataFrame, cols) -> DataFrame:
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    return df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
+
+
 def describe(df: DataFrame, cols=None) -> DataFrame:
     """Q12: pandas ``describe()``: count, mean, std (n-1), min, 25/50/75 %
-    (exact, linear), max; one row per column."""
+    (exact, linear), max; one row per column.  All columns are unpivoted
+    once, so one aggregate and one ordered scan serve every column."""
     cols = cols or numeric_columns(df)
-    parts = []
-    for c in cols:
-        basic = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                       F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-        q = exact_quantiles(df, c, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        parts.append(basic.withColumn("__k", F.lit(1)).join(q.withColumn("__k", F.lit(1)), "__k", "left")
-                     .drop("__k").withColumn("column", F.lit(c)))
-    return reduce(DataFrame.unionByName, parts)
+    lf = _long(df, cols)
+    basic = lf.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
+                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                     F.max("value").alias("max"))
+    q = exact_quantiles(lf, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column"])
+    return basic.join(q, "column", "left")
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
@@ -145,20 +149,18 @@ def low_cardinality(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def outlier_counts(df: DataFrame, cols, iqr_k: float = 1.5, z: float = 3.0) -> DataFrame:
     """Q17: IQR (k x IQR beyond the quartiles) and z-score (|z| > z, sample
-    std) outlier counts per column; quartiles are exact."""
-    parts = []
-    for c in cols:
-        q = exact_quantiles(df, c, {"q1": 0.25, "q3": 0.75})
-        m = df.agg(F.avg(c).alias("mu"), F.stddev_samp(c).alias("sd"))
-        stats = q.withColumn("__k", F.lit(1)).join(m.withColumn("__k", F.lit(1)), "__k")
-        iqr = F.col("q3") - F.col("q1")
-        flagged = df.select(F.col(c).alias("__x")).withColumn("__k", F.lit(1)).join(F.broadcast(stats), "__k")
-        parts.append(flagged.agg(
-            F.lit(c).alias("column"),
-            F.count_if((F.col("__x") < F.col("q1") - iqr_k * iqr) | (F.col("__x") > F.col("q3") + iqr_k * iqr))
-             .alias("iqr_outliers"),
-            F.count_if(F.abs(F.col("__x") - F.col("mu")) > z * F.col("sd")).alias("z_outliers")))
-    return reduce(DataFrame.unionByName, parts)
+    std) outlier counts per column; quartiles are exact.  One unpivot, one
+    ordered scan, and the per-column bounds (one row per column) joined back
+    by column name."""
+    lf = _long(df, cols)
+    q = exact_quantiles(lf, "value", {"q1": 0.25, "q3": 0.75}, by=["column"])
+    m = lf.groupBy("column").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
+    bounds = q.join(m, "column")
+    iqr = F.col("q3") - F.col("q1")
+    x = F.col("value")
+    return (lf.join(F.broadcast(bounds), "column").groupBy("column").agg(
+        F.count_if((x < F.col("q1") - iqr_k * iqr) | (x > F.col("q3") + iqr_k * iqr)).alias("iqr_outliers"),
+        F.count_if(F.abs(x - F.col("mu")) > z * F.col("sd")).alias("z_outliers")))
 
 
 def catalog_samples(tables: dict, max_rows: int = 1000, n: int = 5) -> DataFrame:
