@@ -27,6 +27,7 @@ form one group, like SQL windows.  Nulls in a summed column count as 0.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -37,6 +38,12 @@ from pyspark.sql import types as T
 
 from basketlens.session import ensure_checkpoint_dir
 
+try:  # ship this module's per-partition code with the task (executors need not have the package installed)
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to importing the package on workers
+    pass
+
 _PID = "__bl_pid"
 _CONST = "__bl_all"
 
