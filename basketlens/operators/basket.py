@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import scalar as S
+from basketlens.operators.common import with_scalars
 from basketlens.operators.ordered import ordered_scan
 from basketlens.operators.stats import mode_by
 
@@ -20,14 +21,13 @@ def ntile(df: DataFrame, col: str, n: int, out: str, tie: str, descending: bool
     window: the global rank comes from the skew-safe ordered scan, then the
     NTILE bucket rule (the first ``rows mod n`` buckets get one extra row)."""
     ranked = ordered_scan(df, [], [col, tie], counter="__rank", descending=descending)
-    total = df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
-    x = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
+    x = with_scalars(ranked, df.agg(F.count(F.lit(1)).alias("__n")))
     q = F.floor(F.col("__n") / n)
     r = F.col("__n") % n
     big = r * (q + 1)
     bucket = F.when(F.col("__rank") <= big, F.floor((F.col("__rank") - 1) / (q + 1)) + 1) \
         .otherwise(r + F.floor((F.col("__rank") - big - 1) / q) + 1)
-    return x.withColumn(out, bucket.cast("int")).drop("__rank", "__n", "__one")
+    return x.withColumn(out, bucket.cast("int")).drop("__rank", "__n")
 
 
 def rfm(orders_raw: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def rfm(orders_raw: DataFrame) -> DataFrame:
     per = orders_raw.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.max("o_orderdate").alias("__last"), F.count(F.lit(1)).alias("frequency"),
         F.sum("o_totalprice").alias("monetary"))
-    latest = orders_raw.agg(F.max("o_orderdate").alias("__max")).withColumn("__one", F.lit(1))
-    per = (per.withColumn("__one", F.lit(1)).join(F.broadcast(latest), "__one")
-           .withColumn("recency", F.datediff("__max", "__last")).drop("__one", "__max", "__last"))
+    latest = orders_raw.agg(F.max("o_orderdate").alias("__max"))
+    per = (with_scalars(per, latest)
+           .withColumn("recency", F.datediff("__max", "__last")).drop("__max", "__last"))
     per = ntile(per, "recency", 5, "r_score", "user_id", descending=True)
     per = ntile(per, "frequency", 5, "f_score", "user_id")
     per = ntile(per, "monetary", 5, "m_score", "user_id")
@@ -55,8 +55,8 @@ def rfm(orders_raw: DataFrame) -> DataFrame:
 def rfm_segments(rfm_table: DataFrame) -> DataFrame:
     """D1 summary: users and revenue share per segment."""
     per = rfm_table.groupBy("segment").agg(F.count(F.lit(1)).alias("users"), F.sum("monetary").alias("revenue"))
-    tot = per.agg(F.sum("users").alias("__u"), F.sum("revenue").alias("__r")).withColumn("__one", F.lit(1))
-    return (per.withColumn("__one", F.lit(1)).join(F.broadcast(tot), "__one")
+    tot = per.agg(F.sum("users").alias("__u"), F.sum("revenue").alias("__r"))
+    return (with_scalars(per, tot)
             .select("segment", "users", "revenue", (F.col("users") * 100.0 / F.col("__u")).alias("user_pct"),
                     (F.col("revenue") * 100.0 / F.col("__r")).alias("revenue_pct")))
 
@@ -70,16 +70,16 @@ def pair_rules(transactions: DataFrame, item: str, min_support: float, min_confi
     items - a bounded number of rows per order, however large the order -
     instead of all pairs of the basket."""
     tx = transactions.select("order_id", item).distinct()
-    n = tx.agg(F.countDistinct("order_id").alias("__n")).withColumn("__one", F.lit(1))
-    sup = (tx.groupBy(item).agg(F.count(F.lit(1)).alias("__cnt")).withColumn("__one", F.lit(1))
-           .join(F.broadcast(n), "__one").withColumn("support", F.col("__cnt") / F.col("__n")))
+    n = tx.agg(F.countDistinct("order_id").alias("__n"))
+    sup = (with_scalars(tx.groupBy(item).agg(F.count(F.lit(1)).alias("__cnt")), n)
+           .withColumn("support", F.col("__cnt") / F.col("__n")))
     freq = sup.where(F.col("support") >= min_support).select(item, "support")
     ftx = tx.join(freq.select(item), item, "left_semi")
     a = ftx.select("order_id", F.col(item).alias("antecedent"))
     b = ftx.select("order_id", F.col(item).alias("consequent"))
     pairs = (a.join(b, "order_id").where(F.col("antecedent") != F.col("consequent"))
-             .groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("__both"))
-             .withColumn("__one", F.lit(1)).join(F.broadcast(n), "__one")
+             .groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("__both")))
+    pairs = (with_scalars(pairs, n)
              .withColumn("support", F.col("__both") / F.col("__n"))
              .where(F.col("support") >= min_support))
     fa = freq.select(F.col(item).alias("antecedent"), F.col("support").alias("__sa"))
@@ -135,10 +135,9 @@ def spend_metrics(orders_raw: DataFrame, users: DataFrame) -> DataFrame:
     per_user = orders_raw.groupBy(F.col("o_custkey").alias("user_id")).agg(F.sum("o_totalprice").alias("spend"))
     seg = (per_user.join(users, "user_id", "left").groupBy("segment")
            .agg(F.count(F.lit(1)).alias("users"), F.sum("spend").alias("revenue"), F.avg("spend").alias("avg_spend")))
-    aov = orders_raw.agg(F.avg("o_totalprice").alias("aov")).withColumn("__one", F.lit(1))
-    clv = per_user.agg(F.avg("spend").alias("avg_customer_value")).withColumn("__one", F.lit(1))
-    return (seg.withColumn("__one", F.lit(1)).join(F.broadcast(aov), "__one").join(F.broadcast(clv), "__one")
-            .drop("__one"))
+    aov = orders_raw.agg(F.avg("o_totalprice").alias("aov"))
+    clv = per_user.agg(F.avg("spend").alias("avg_customer_value"))
+    return with_scalars(with_scalars(seg, aov), clv)
 
 
 def user_time_counts(orders: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import scalar as S
+from basketlens.operators.common import with_scalars
 from basketlens.operators.kpi import basket_sizes, one_row
 from basketlens.operators.ordered import ordered_scan
 from basketlens.operators.stats import exact_quantiles, mode_by
@@ -117,9 +118,8 @@ def retention_curve(orders: DataFrame) -> DataFrame:
 
 
 def one_row_join(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row (constant-key join)."""
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(single.withColumn("__one", F.lit(1))), "__one", "inner").drop("__one"))
+    """Attach the columns of a one-row frame to every row (scalar subqueries)."""
+    return with_scalars(df, single)
 
 
 def user_metrics(orders: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import scalar as S
+from basketlens.operators.common import side_by_side, with_scalars
 from basketlens.operators.kpi import one_row
 from basketlens.operators.ordered import ordered_scan
 
@@ -77,7 +78,8 @@ def rank_stats(scores: DataFrame, keys=("user_id",)) -> DataFrame:
     scanned = ordered_scan(groups, keys, ["score"], counter="__g", descending=True,
                            sums={"__cc": "__c", "__cp": "__p"})
     tot = groups.groupBy(*keys).agg(F.sum("__c").alias("n_rows"), F.sum("__p").alias("n_pos"))
-    j = scanned.join(tot, keys, "inner")
+    # per key: join the key totals; globally (no key): attach the one-row totals
+    j = scanned.join(tot, keys, "inner") if keys else with_scalars(scanned, tot)
     per = j.groupBy(*keys).agg(
         F.first("n_rows").alias("n_rows"), F.first("n_pos").alias("n_pos"),
         F.sum(F.try_divide(F.col("__p").cast("double"), F.col("n_pos").cast("double"))
@@ -126,16 +128,11 @@ def evaluate(scores: DataFrame, keys=("user_id",), ks=KS) -> DataFrame:
             .drop("tp", "fp", "fn", "tn"))
 
 
-def _global(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("__all", F.lit(0))
-
-
 def global_evaluation(scores: DataFrame, ks=KS) -> DataFrame:
     """One row: sample counts, positive rate, classification, AUC/AP/
     log-loss and the global ranking metrics at every k."""
-    g = _global(scores)
-    rs = rank_stats(g, ["__all"])
-    cl = classification(g, ["__all"])
+    rs = rank_stats(scores, [])
+    cl = classification(scores, [])
     kmax = max(ks)
     top = (scores.orderBy(F.desc("score"), F.asc("user_id"), F.asc("item_id")).limit(kmax)
            .withColumn("__rn", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("user_id"),
@@ -145,8 +142,8 @@ def global_evaluation(scores: DataFrame, ks=KS) -> DataFrame:
         aggs.append(F.sum(F.when(F.col("__rn") <= k, F.col("label")).otherwise(0)).alias(f"__h{k}"))
         aggs.append(F.sum(F.when(F.col("__rn") <= k, F.col("label") / F.log2(F.col("__rn") + 1))
                           .otherwise(0.0)).alias(f"__d{k}"))
-    hits = top.agg(*aggs).withColumn("__all", F.lit(0))
-    x = rs.join(cl, "__all").join(hits, "__all")
+    hits = top.agg(*aggs)
+    x = side_by_side(rs, cl, hits)
     cols = []
     P = F.col("n_pos")
     for k in ks:
@@ -188,9 +185,8 @@ def coverage_at_k(scores: DataFrame, catalogue: DataFrame, ks=KS) -> DataFrame:
     total = catalogue.agg(F.count(F.lit(1)).alias("__t"))
     parts = [top.where(F.col("__rn") <= k).agg(F.countDistinct("item_id").alias("items"))
              .withColumn("k", F.lit(k)) for k in ks]
-    cov = reduce(DataFrame.unionByName, parts).withColumn("__one", F.lit(1))
-    return (cov.join(total.withColumn("__one", F.lit(1)), "__one")
-            .select("k", "items", (F.col("items") / F.col("__t")).alias("coverage")))
+    cov = reduce(DataFrame.unionByName, parts)
+    return with_scalars(cov, total).select("k", "items", (F.col("items") / F.col("__t")).alias("coverage"))
 
 
 def recommend(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -253,16 +249,16 @@ def confusion_and_drift(scores: DataFrame, group_col: str, expected: str, actual
     """Confusion counts at 0.5 and the population stability index of
     the score between two groups over ``bins`` equal bins on [0, 1]
     (empty-bin shares floored at 1e-6)."""
-    cl = classification(scores.withColumn("__all", F.lit(0)), ["__all"]).select("tp", "fp", "fn", "tn")
+    cl = classification(scores, []).select("tp", "fp", "fn", "tn")
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
     counts = scores.groupBy(b.alias("bin")).agg(
         F.count_if(F.col(group_col) == expected).alias("__e"), F.count_if(F.col(group_col) == actual).alias("__a"))
-    tot = counts.agg(F.sum("__e").alias("__te"), F.sum("__a").alias("__ta")).withColumn("__one", F.lit(1))
-    shares = counts.withColumn("__one", F.lit(1)).join(tot, "__one")
+    tot = counts.agg(F.sum("__e").alias("__te"), F.sum("__a").alias("__ta"))
+    shares = with_scalars(counts, tot)
     e = F.greatest(F.col("__e") / F.col("__te"), F.lit(1e-6))
     a = F.greatest(F.col("__a") / F.col("__ta"), F.lit(1e-6))
     psi = shares.agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
-    return cl.withColumn("__one", F.lit(1)).join(psi.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return side_by_side(cl, psi)
 
 
 def candidate_pairs(basket: DataFrame) -> DataFrame:

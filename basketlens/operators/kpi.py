@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import scalar as S
+from basketlens.operators.common import side_by_side, with_scalars
 from basketlens.operators.stats import exact_quantiles, mode_by
 
-ONE = "__one"
-
-
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Side-by-side join of single-row aggregates (equi-join on a constant)."""
-    tagged = [f.withColumn(ONE, F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, ONE, "inner"), tagged).drop(ONE)
+    """Several single-row aggregates side by side (scalar subqueries)."""
+    return side_by_side(*frames)
 
 
 def all_items(prior: DataFrame, train: DataFrame) -> DataFrame:
@@ -101,8 +96,9 @@ def customer_tiers(orders: DataFrame) -> DataFrame:
     """A17 + P16 + W9: tier distribution with share of customers in %."""
     per_user = customer_orders(orders).withColumn("customer_type", S.customer_tier(F.col("total_orders")))
     dist = per_user.groupBy("customer_type").agg(F.count(F.lit(1)).alias("customers"))
-    # the window runs over the 3-row tier table, not over users
-    return dist.withColumn("pct", F.col("customers") * 100.0 / F.sum("customers").over(Window.partitionBy()))
+    total = dist.agg(F.sum("customers").alias("__t"))
+    return with_scalars(dist, total).select("customer_type", "customers",
+                                            (F.col("customers") * 100.0 / F.col("__t")).alias("pct"))
 
 
 def gap_stats(orders: DataFrame) -> DataFrame:

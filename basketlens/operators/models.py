@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions import scalar as S
+from basketlens.operators.common import with_scalars
 from basketlens.operators.stats import exact_quantiles, mode_by
 
 LABEL = "reordered"
@@ -77,9 +78,8 @@ def split_summary(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weights n / (2 n_c)."""
     per = df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
-    tot = per.agg(F.sum("n").alias("__t")).withColumn("__one", F.lit(1))
-    return (per.withColumn("__one", F.lit(1)).join(F.broadcast(tot), "__one")
-            .select(LABEL, "n", (F.col("__t") / (2.0 * F.col("n"))).alias("weight")))
+    tot = per.agg(F.sum("n").alias("__t"))
+    return with_scalars(per, tot).select(LABEL, "n", (F.col("__t") / (2.0 * F.col("n"))).alias("weight"))
 
 
 def with_weights(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.operators.common import side_by_side
 from basketlens.operators.stats import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -30,8 +31,7 @@ def table_summary(name: str, df: DataFrame) -> DataFrame:
     """Q1: rows, columns, total nulls, duplicate rows."""
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     base = df.agg(F.count(F.lit(1)).alias("rows"), nulls.cast("long").alias("total_nulls"))
-    return (base.withColumn("__k", F.lit(1))
-            .join(duplicate_rows(df).withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return (side_by_side(base, duplicate_rows(df))
             .select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("cols"),
                     "total_nulls", "duplicate_rows"))
 
@@ -55,9 +55,8 @@ def null_audit(name: str, df: DataFrame) -> DataFrame:
 
 def duplicate_report(name: str, df: DataFrame) -> DataFrame:
     """Q6: duplicate rows and their % of rows."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("__k", F.lit(1))
-    d = duplicate_rows(df).withColumn("__k", F.lit(1))
-    return rows.join(d, "__k").select(F.lit(name).alias("table"), "duplicate_rows",
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    return side_by_side(rows, duplicate_rows(df)).select(F.lit(name).alias("table"), "duplicate_rows",
                                       (F.col("duplicate_rows") * 100.0 / F.col("rows")).alias("duplicate_pct"))
 
 

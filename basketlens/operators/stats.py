@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.operators.common import with_scalars
 from basketlens.operators.ordered import ordered_scan
 
 
@@ -35,7 +36,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Mapping[str, float],
     qarr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"))
                      for name, q in qs.items()])
     pos = (F.col("__q.q") * (F.col("__n") - 1))
-    x = (ranked.join(totals, by, "inner")
+    joined = (ranked.join(totals, by, "inner") if user_by
+              else with_scalars(ranked, totals.select("__n")))
+    x = (joined
          .withColumn("__q", F.explode(qarr))
          .withColumn("__pos", pos)
          .withColumn("__lo", F.floor("__pos"))
@@ -70,4 +73,4 @@ def all_modes(df: DataFrame, col: str) -> DataFrame:
     """Every value that reaches the top frequency (pandas ``mode()``)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.max("n").alias("__m"))
-    return counts.join(F.broadcast(top), F.col("n") == F.col("__m"), "inner").select(col, "n")
+    return with_scalars(counts, top).where(F.col("n") == F.col("__m")).select(col, "n")
