@@ -91,6 +91,29 @@ def pair_rules(transactions: DataFrame, item: str, min_support: float, min_confi
             .select("antecedent", "consequent", F.col("__both").alias("orders"), "support", "confidence", "lift"))
 
 
+def frequent_itemsets(transactions: DataFrame, item: str, min_support: float,
+                      min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """D2 for itemsets of any size: MLlib ``FPGrowth`` (parallel FP-growth).
+    Each order's array holds only its frequent items (Apriori: an itemset
+    is frequent only if all its items are), so an array is bounded by
+    (mean basket / min_support) however large the order."""
+    from pyspark.ml.fpm import FPGrowth
+    tx = transactions.select("order_id", item).distinct()
+    n = tx.agg(F.countDistinct("order_id").alias("__n"))
+    sup = with_scalars(tx.groupBy(item).agg(F.count(F.lit(1)).alias("__cnt")), n)
+    freq = sup.where(F.col("__cnt") / F.col("__n") >= min_support).select(item)
+    baskets = (tx.join(freq, item, "left_semi").groupBy("order_id")
+               .agg(F.array_sort(F.collect_set(item)).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    total = n.select(F.col("__n").alias("__orders"))
+    itemsets = with_scalars(model.freqItemsets, total).select(
+        F.array_sort("items").alias("items"), "freq", (F.col("freq") / F.col("__orders")).alias("support"))
+    rules = model.associationRules.select(F.array_sort("antecedent").alias("antecedent"),
+                                          F.array_sort("consequent").alias("consequent"),
+                                          "confidence", "lift", "support")
+    return itemsets, rules
+
+
 def category_copurchase(user_categories: DataFrame, category: str) -> DataFrame:
     """D3: share of buyers of category A who also bought B.  Users x
     categories are pivoted to flags and all A-B counts come from one

@@ -55,6 +55,20 @@ def _rules(c):
     return BK.pair_rules(tx, "item", 0.005, 0.05)
 
 
+def _name_tx(c):
+    return c.items("prior").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
+
+
+@query("frequent_itemsets", "D2")
+def _itemsets(c):
+    return BK.frequent_itemsets(_name_tx(c), "item", 0.005, 0.05)[0]
+
+
+@query("association_rules", "D2")
+def _assoc(c):
+    return BK.frequent_itemsets(_name_tx(c), "item", 0.005, 0.05)[1]
+
+
 @query("department_copurchase", "D3", ctes="""
 ud AS (SELECT DISTINCT b.user_id, d.department FROM c_basket b JOIN c_products p ON b.product_id = p.product_id
        JOIN c_departments d ON p.department_id = d.department_id WHERE b.eval_set = 'prior'),
