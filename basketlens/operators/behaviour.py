@@ -138,23 +138,32 @@ def lifecycle_metrics(orders: DataFrame) -> DataFrame:
         F.count_if(F.col("total_orders") >= 10).alias("loyal_customers"))
 
 
-def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, by=()) -> DataFrame:
     """Fixed-width histogram with numpy's edges (last bin closed; a
-    constant column uses [v-0.5, v+0.5]).  Every bin is returned, empty
-    ones with 0; only the one-row min/max crosses to the bins."""
-    vals = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("__x"))
-    rng = vals.agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
-    rng = rng.select(F.when(F.col("__mn") == F.col("__mx"), F.col("__mn") - 0.5).otherwise(F.col("__mn")).alias("__lo"),
+    constant column uses [v-0.5, v+0.5]), optionally per group ``by`` with
+    the group's own edges (one ``hist`` call per group) and a density
+    column.  Every bin is returned, empty ones with 0; only the per-group
+    min/max travel to the rows."""
+    by = list(by)
+    vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__x"))
+    rng = vals.groupBy(*by).agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
+                                F.count(F.lit(1)).alias("__n"))
+    rng = rng.select(*by, "__n",
+                     F.when(F.col("__mn") == F.col("__mx"), F.col("__mn") - 0.5).otherwise(F.col("__mn")).alias("__lo"),
                      F.when(F.col("__mn") == F.col("__mx"), F.col("__mx") + 0.5).otherwise(F.col("__mx")).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     idx = F.least(F.floor((F.col("__x") - F.col("__lo")) * F.lit(float(bins))
                           / (F.col("__hi") - F.col("__lo"))), F.lit(bins - 1)).cast("int")
-    counts = one_row_join(vals, rng).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "__lo", "__hi")
-    return (grid.join(counts, "bin", "left")
-            .select("bin", (F.col("__lo") + F.col("bin") * width).alias("bin_start"),
-                    (F.col("__lo") + (F.col("bin") + 1) * width).alias("bin_end"),
-                    F.coalesce(F.col("count"), F.lit(0)).alias("count")))
+    placed = vals.join(rng, by, "inner") if by else one_row_join(vals, rng)
+    counts = placed.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = rng.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "__lo", "__hi", "__n")
+    out = (grid.join(counts, [*by, "bin"], "left")
+           .select(*by, "bin", (F.col("__lo") + F.col("bin") * width).alias("bin_start"),
+                   (F.col("__lo") + (F.col("bin") + 1) * width).alias("bin_end"),
+                   F.coalesce(F.col("count"), F.lit(0)).alias("count"), "__n"))
+    if by:
+        out = out.withColumn("density", F.col("count") / (F.col("__n") * (F.col("bin_end") - F.col("bin_start"))))
+    return out.drop("__n")
 
 
 def gap_box_by_order_group(orders: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Dashboard aggregates: A11, A23-A34, A37, G1, G2, P9, W3, W8."""
 
+from pyspark.sql import functions as F
+
 from basketlens.operators import behaviour as B
 from basketlens.operators import kpi
 from basketlens.plans.registry import query
@@ -248,3 +250,24 @@ SELECT CASE WHEN d <= 90 THEN '0-90' WHEN d <= 180 THEN '91-180' WHEN d <= 365 T
          AS band, count(*) AS users FROM l GROUP BY 1""")
 def _recency_bands(c):
     return B.recency_bands(c.raw("orders"))
+
+
+_c, _s = _hist_sql("""(SELECT o.user_id, round_even(avg(i.reordered), 3) AS rate FROM
+  (SELECT * FROM c_prior UNION ALL SELECT * FROM c_train) i JOIN c_orders o ON i.order_id = o.order_id
+  GROUP BY o.user_id)""", "rate", 20)
+
+
+@query("reorder_rate_histogram", "A31,A19", ctes=_c, sql=_s)
+def _rate_hist(c):
+    items = kpi.all_items(c.items("prior"), c.items("train"))
+    rates = (items.join(c.orders.select("order_id", "user_id"), "order_id").groupBy("user_id")
+             .agg(F.bround(F.avg("reordered"), 3).alias("rate")))
+    return B.histogram(rates, "rate", 20)
+
+
+_c, _s = _hist_sql("(SELECT user_id, avg(days_since_prior_order) AS g FROM c_orders GROUP BY user_id)", "g", 20)
+
+
+@query("avg_gap_histogram", "A31,A29", ctes=_c, sql=_s)
+def _avg_gap_hist(c):
+    return B.histogram(B.user_metrics(c.orders), "avg_days_between", 20)

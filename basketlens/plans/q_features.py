@@ -244,3 +244,21 @@ SELECT count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
        avg(reordered) AS positive_rate FROM ts""")
 def _q14(c):
     return FT.dataset_cardinality(FT.training_set(c.orders, c.basket, c.products))
+
+
+@query("feature_histogram_by_label", "A31", ctes=NB + ", cand AS (" + CANDIDATES_SQL + """),
+v AS (SELECT reordered, CAST(up_order_rate AS DOUBLE) AS x FROM cand WHERE up_order_rate IS NOT NULL),
+r AS (SELECT reordered, count(*) AS n,
+             CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+             CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM v GROUP BY reordered),
+cnt AS (SELECT v.reordered, CAST(least(floor((x - lo) * 50.0 / (hi - lo)), 49) AS INTEGER) AS bin, count(*) AS k
+        FROM v JOIN r ON v.reordered = r.reordered GROUP BY 1, 2),
+grid AS (SELECT reordered, CAST(b AS INTEGER) AS bin, lo, hi, n FROM r, range(0, 50) t(b))""", sql="""
+SELECT g.reordered, g.bin, g.lo + g.bin * ((g.hi - g.lo) / 50.0) AS bin_start,
+       g.lo + (g.bin + 1) * ((g.hi - g.lo) / 50.0) AS bin_end, coalesce(cnt.k, 0) AS count,
+       coalesce(cnt.k, 0) / (g.n * ((g.lo + (g.bin + 1) * ((g.hi - g.lo) / 50.0))
+                                   - (g.lo + g.bin * ((g.hi - g.lo) / 50.0)))) AS density
+FROM grid g LEFT JOIN cnt ON g.reordered = cnt.reordered AND g.bin = cnt.bin""")
+def _feature_hist(c):
+    from basketlens.operators.behaviour import histogram
+    return histogram(FT.candidate_training_set(c.orders, c.basket, c.products), "up_order_rate", 50, by=["reordered"])
