@@ -57,8 +57,8 @@ def rfm_segments(rfm_table: DataFrame) -> DataFrame:
     per = rfm_table.groupBy("segment").agg(F.count(F.lit(1)).alias("users"), F.sum("monetary").alias("revenue"))
     tot = per.agg(F.sum("users").alias("__u"), F.sum("revenue").alias("__r"))
     return (with_scalars(per, tot)
-            .select("segment", "users", "revenue", (F.col("users") * 100.0 / F.col("__u")).alias("user_pct"),
-                    (F.col("revenue") * 100.0 / F.col("__r")).alias("revenue_pct")))
+            .select("segment", "users", "revenue", S.safe_div(F.col("users") * 100.0, F.col("__u")).alias("user_pct"),
+                    S.safe_div(F.col("revenue") * 100.0, F.col("__r")).alias("revenue_pct")))
 
 
 def pair_rules(transactions: DataFrame, item: str, min_support: float, min_confidence: float) -> DataFrame:

@@ -148,7 +148,7 @@ def histogram(df: DataFrame, col: str, bins: int, by=()) -> DataFrame:
     vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__x"))
     rng = vals.groupBy(*by).agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
                                 F.count(F.lit(1)).alias("__n"))
-    rng = rng.select(*by, "__n",
+    rng = rng.where(F.col("__n") > 0).select(*by, "__n",
                      F.when(F.col("__mn") == F.col("__mx"), F.col("__mn") - 0.5).otherwise(F.col("__mn")).alias("__lo"),
                      F.when(F.col("__mn") == F.col("__mx"), F.col("__mx") + 0.5).otherwise(F.col("__mx")).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))

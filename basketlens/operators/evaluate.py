@@ -186,7 +186,7 @@ def coverage_at_k(scores: DataFrame, catalogue: DataFrame, ks=KS) -> DataFrame:
     parts = [top.where(F.col("__rn") <= k).agg(F.countDistinct("item_id").alias("items"))
              .withColumn("k", F.lit(k)) for k in ks]
     cov = reduce(DataFrame.unionByName, parts)
-    return with_scalars(cov, total).select("k", "items", (F.col("items") / F.col("__t")).alias("coverage"))
+    return with_scalars(cov, total).select("k", "items", S.safe_div(F.col("items"), F.col("__t")).alias("coverage"))
 
 
 def recommend(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -255,8 +255,8 @@ def confusion_and_drift(scores: DataFrame, group_col: str, expected: str, actual
         F.count_if(F.col(group_col) == expected).alias("__e"), F.count_if(F.col(group_col) == actual).alias("__a"))
     tot = counts.agg(F.sum("__e").alias("__te"), F.sum("__a").alias("__ta"))
     shares = with_scalars(counts, tot)
-    e = F.greatest(F.col("__e") / F.col("__te"), F.lit(1e-6))
-    a = F.greatest(F.col("__a") / F.col("__ta"), F.lit(1e-6))
+    e = F.greatest(S.safe_div(F.col("__e"), F.col("__te")), F.lit(1e-6))
+    a = F.greatest(S.safe_div(F.col("__a"), F.col("__ta")), F.lit(1e-6))
     psi = shares.agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
     return side_by_side(cl, psi)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.functions import scalar as S
 from basketlens.operators.common import side_by_side
 from basketlens.operators.stats import exact_quantiles
 
@@ -45,7 +46,7 @@ def column_profile(name: str, df: DataFrame) -> DataFrame:
     pairs = ", ".join(f"'{c}', '{types[c]}', __n{i}" for i, c in enumerate(df.columns))
     long = agg.selectExpr("__rows", f"stack({len(df.columns)}, {pairs}) AS (column, dtype, nulls)")
     return long.select(F.lit(name).alias("table"), "column", "dtype", "nulls",
-                       (F.col("nulls") * 100.0 / F.col("__rows")).alias("null_pct"))
+                       S.safe_div(F.col("nulls") * 100.0, F.col("__rows")).alias("null_pct"))
 
 
 def null_audit(name: str, df: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def duplicate_report(name: str, df: DataFrame) -> DataFrame:
     """Q6: duplicate rows and their % of rows."""
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     return side_by_side(rows, duplicate_rows(df)).select(F.lit(name).alias("table"), "duplicate_rows",
-                                      (F.col("duplicate_rows") * 100.0 / F.col("rows")).alias("duplicate_pct"))
+                                      S.safe_div(F.col("duplicate_rows") * 100.0, F.col("rows")).alias("duplicate_pct"))
 
 
 def id_ranges(name: str, df: DataFrame, cols) -> DataFrame:
@@ -142,7 +143,7 @@ def low_cardinality(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")] + [F.countDistinct(c).alias(f"nu{i}") for i, c in enumerate(cols)]
     pairs = ", ".join(f"'{c}', nu{i}" for i, c in enumerate(cols))
     out = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {pairs}) AS (column, nunique)", "rows")
-    return out.withColumn("ratio", F.col("nunique") / F.col("rows")) \
+    return out.withColumn("ratio", S.safe_div(F.col("nunique"), F.col("rows"))) \
               .withColumn("low_cardinality", F.col("ratio") < threshold)
 
 

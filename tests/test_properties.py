@@ -75,3 +75,17 @@ def test_no_cartesian_products(canon_small):
                  "department_copurchase", "rfm_scores", "gap_histogram"):
         plan = _plan(reg[name].build(canon_small))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_empty_table_profiles(spark):
+    from basketlens.operators import kpi
+    from basketlens.operators import quality as Q
+    empty = spark.createDataFrame([], "order_id long, user_id long, eval_set string, order_number int, "
+                                      "order_dow int, order_hour_of_day int, days_since_prior_order double")
+    assert Q.table_summary("o", empty).first()["rows"] == 0
+    assert Q.duplicate_report("o", empty).first()["duplicate_rows"] == 0
+    assert all(r["null_pct"] is None for r in Q.column_profile("o", empty).collect())
+    assert Q.low_cardinality(empty).first()["ratio"] is None
+    assert B.histogram(empty, "days_since_prior_order", 5).count() == 0
+    assert B.retention_curve(empty).count() == 0
+    assert kpi.gap_stats(empty).first()["median_gap"] is None
