@@ -3,8 +3,6 @@ order-sequence features (W10-W13)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
