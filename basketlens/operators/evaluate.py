@@ -134,6 +134,7 @@ def global_evaluation(scores: DataFrame, ks=KS) -> DataFrame:
     rs = rank_stats(scores, [])
     cl = classification(scores, [])
     kmax = max(ks)
+    # per-partition top-kmax, then a window over at most kmax rows
     top = (scores.orderBy(F.desc("score"), F.asc("user_id"), F.asc("item_id")).limit(kmax)
            .withColumn("__rn", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("user_id"),
                                                                    F.asc("item_id")))))

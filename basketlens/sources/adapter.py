@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.operators.ordered import ordered_scan
@@ -88,12 +88,18 @@ def derive_basket(lines: DataFrame, orders: DataFrame) -> DataFrame:
                     "days_since_prior_order"))
 
 
-def derive_products(part_raw: DataFrame) -> DataFrame:
-    # department ids: dense rank over the distinct p_type values; that window
-    # runs on the distinct set (one row per department), not on the catalogue.
-    types = part_raw.select("p_type").distinct()
-    dept = types.select("p_type", F.dense_rank().over(Window.orderBy("p_type"))
-                        .cast("int").alias("department_id"))
+def department_ids(part_raw: DataFrame) -> DataFrame:
+    """Dense rank of the distinct p_type values, as (department_id,
+    department): the global ordered scan numbers the distinct set, so no
+    single-partition window is needed."""
+    types = part_raw.select(F.col("p_type").alias("department")).where(F.col("department").isNotNull()).distinct()
+    ranked = ordered_scan(types, [], ["department"], counter="__r")
+    return ranked.select(F.col("__r").cast("int").alias("department_id"), "department")
+
+
+def derive_products(part_raw: DataFrame, departments: DataFrame | None = None) -> DataFrame:
+    dept = (departments if departments is not None else department_ids(part_raw)) \
+        .select(F.col("department").alias("p_type"), "department_id")
     return (part_raw.join(dept, "p_type", "left")
             .select(F.col("p_partkey").alias("product_id"),
                     F.col("p_name").alias("product_name"),
@@ -107,9 +113,7 @@ def derive_aisles(part_raw: DataFrame) -> DataFrame:
 
 
 def derive_departments(part_raw: DataFrame) -> DataFrame:
-    types = part_raw.select(F.col("p_type").alias("department")).distinct()
-    return types.select(F.dense_rank().over(Window.orderBy("department")).cast("int")
-                        .alias("department_id"), "department")
+    return department_ids(part_raw)
 
 
 @dataclass
@@ -164,16 +168,16 @@ class Canon:
                 .select("order_id", "product_id", "add_to_cart_order", "reordered"))
 
     @property
-    def products(self) -> DataFrame:
-        return derive_products(self.raw("part"))
+    def departments(self) -> DataFrame:
+        return self._memo("departments", lambda: derive_departments(self.raw("part")))
 
     @property
-    def aisles(self) -> DataFrame:
-        return derive_aisles(self.raw("part"))
+    def products(self) -> DataFrame:
+        return self._memo("products", lambda: derive_products(self.raw("part"), self.departments))
 
     @property
-    def departments(self) -> DataFrame:
-        return derive_departments(self.raw("part"))
+    def aisles(self) -> DataFrame:
+        return self._memo("aisles", lambda: derive_aisles(self.raw("part")))
 
     @property
     def product_values(self) -> DataFrame:
