@@ -210,7 +210,8 @@ def recommendations_per_department(recs: DataFrame, products: DataFrame, departm
 
 def average_rank_desc(df: DataFrame, col: str, out: str) -> DataFrame:
     """Pandas ``rank(ascending=False)`` (average of tied positions, nulls
-    stay null).  Runs on the model-comparison table (one row per model)."""
+    stay null).  Runs on the model-comparison table (one row per model), so
+    the unpartitioned window is bounded by the number of models."""
     w = Window.orderBy(F.desc_nulls_last(col))
     ties = Window.partitionBy(col)
     r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
