@@ -172,5 +172,6 @@ def catalog_samples(tables: dict, max_rows: int = 1000, n: int = 5) -> DataFrame
         if df.limit(max_rows + 1).count() > max_rows:
             continue
         parts.append(df.orderBy(df.columns[0]).limit(n)
-                     .select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row_json")))
+                     .select(F.lit(name).alias("table"),
+                             F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row_json")))
     return reduce(DataFrame.unionByName, parts)

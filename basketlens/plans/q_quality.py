@@ -161,6 +161,14 @@ def _outliers(c):
     return Q.outlier_counts(c.orders, OUTLIER_COLS)
 
 
-@query("catalog_samples", "Q2,Q3")
+def _sample_sql(name, cte, cols, key):
+    return (f"SELECT '{name}' AS \"table\", CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in cols)})) AS VARCHAR) AS row_json "
+            f"FROM (SELECT * FROM {cte} ORDER BY {key} LIMIT 5) WHERE (SELECT count(*) FROM {cte}) <= 1000")
+
+
+@query("catalog_samples", "Q2,Q3", sql=" UNION ALL ".join([
+    _sample_sql("aisles", "c_aisles", ["aisle_id", "aisle"], "aisle_id"),
+    _sample_sql("departments", "c_departments", ["department_id", "department"], "department_id"),
+    _sample_sql("orders", "c_orders", [n for n, _ in TABLES["orders"][1]], "order_id")]))
 def _catalog_samples(c):
     return Q.catalog_samples({"aisles": c.aisles, "departments": c.departments, "orders": c.orders})
