@@ -157,15 +157,20 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 # --------------------------------------------------------------- training
-def classifier(kind: str, n_features: int, weighted: bool = True):
+def classifier(kind: str, n_features: int, weighted: bool = True, total_weight: float = 1.0):
     w = {"weightCol": "weight"} if weighted else {}
-    if kind == "logistic":      # M12: max_iter 1000, balanced
-        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, **w)
+    if kind == "logistic":      # M12: max_iter 1000, balanced, L2 with C = 1 and tol 1e-4 as scikit-learn:
+        # its objective 0.5|w|^2 + C sum(w_i loss_i) equals MLlib's with regParam = 1 / (C * sum of weights)
+        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, tol=1e-4,
+                                  regParam=1.0 / max(total_weight, 1.0), elasticNetParam=0.0,
+                                  standardization=False, **w)
     if kind == "gbt":           # M13: 100 trees, depth 6, learning rate 0.1
         return GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=100, maxDepth=6, stepSize=0.1,
                              seed=SPLIT_SEED, **w)
-    if kind == "random_forest":  # M9 / M15 member: 100 trees
-        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=100, seed=SPLIT_SEED, **w)
+    if kind == "random_forest":  # M9 / M15 member: 100 trees, sqrt features per split; scikit-learn grows
+        # unbounded trees, MLlib caps depth at 30 - depth 12 keeps each tree bounded at scale
+        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=100, maxDepth=12,
+                                      featureSubsetStrategy="sqrt", seed=SPLIT_SEED, **w)
     if kind == "mlp":           # M14: 512-256-128, 50 full passes (the reference's 50 epochs);
         # no dropout / batch-norm layers exist in MLlib
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol=LABEL,
@@ -176,8 +181,9 @@ def classifier(kind: str, n_features: int, weighted: bool = True):
 def fit(kind: str, train: DataFrame, cols, scaler: SQLTransformer) -> PipelineModel:
     """Scaler + assembler + classifier as one pipeline."""
     assembler = VectorAssembler(inputCols=[f"s_{c}" for c in cols], outputCol="features")
-    clf = classifier(kind, len(cols), weighted=kind != "mlp")
     data = with_weights(train) if kind != "mlp" else train
+    total = data.agg(F.sum("weight")).first()[0] if kind == "logistic" else 1.0
+    clf = classifier(kind, len(cols), weighted=kind != "mlp", total_weight=float(total or 1.0))
     # Iterative learners re-read their input every pass: spread it over all
     # cores (a small table is often one partition after AQE) and cache it.
     from pyspark import StorageLevel
