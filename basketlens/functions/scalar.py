@@ -5,32 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's behaviour (labels, bin edges,
-# thresholds).  Kept together, in natural order, as plain text.
-# ---------------------------------------------------------------------------
-DAY_NAMES = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
-WEEKEND_DAYS = [0, 6]
-PEAK_HOURS = (10, 16)                      # inclusive
-PEAK_DAYS = [0, 1, 6]                      # Sunday, Monday, Saturday
-HOUR_BUCKETS = [(6, "night"), (12, "morning"), (18, "afternoon"), (24, "evening")]   # right-closed, 0 included
-DAYS_BUCKETS = [(0, "first_order"), (7, "week"), (14, "two_weeks"), (30, "month")]    # right-closed; above -> long_time
-ORDER_GROUP_BINS = [(0, 5, "1-5"), (5, 10, "6-10"), (10, 20, "11-20"), (20, 100, "21-100")]  # (lo, hi]
-FREQUENCY_BINS = [(1, 5, "1-4"), (5, 10, "5-9"), (10, 20, "10-19"), (20, 50, "20-49"), (50, 100, "50+")]  # [lo, hi)
-TIERS = [(5, "Light Users"), (10, "Medium Users")]     # <= bound; else Heavy Users
-JOURNEY = [(1, "One-time Buyer"), (5, "New Customer"), (15, "Regular Customer")]   # <= bound; else Loyal Customer
-CONFIDENCE = [(0.8, "high"), (0.6, "medium")]              # > bound; else low
-RECENCY_BANDS = [(90, "0-90"), (180, "91-180"), (365, "181-365")]   # <= bound; else >365
-SEGMENTS = [("All Users", None, None), ("New Users (1-5 orders)", None, 5),
-            ("Regular Users (6-20 orders)", 6, 20), ("Heavy Users (20+ orders)", 20, None)]  # order_number bounds, inclusive
-RECENCY_LABELS = ["High", "Medium-High", "Medium-Low", "Low"]       # quartiles of mean gap, ascending
-FREQUENCY_LABELS = ["Low", "Medium-Low", "Medium-High", "High"]     # quartiles of order count, ascending
-PEAK_LABELS = ["Peak Hours (10-16)", "Off-Peak Hours", "Peak Days (Sun,Mon,Sat)", "Off-Peak Days"]
-RECENCY_FILL = 30.0
-SYNTHETIC_EPOCH = "2023-01-01"
-UNKNOWN_PRODUCT = "Unknown Product"
-HASH_MULTIPLIER = 2654435761               # Knuth multiplicative hash, modulo 2^32
-HASH_MODULUS = 4294967296
+from basketlens.functions.fixed import *  # noqa: F401,F403 - the fixed values, re-exported
+from basketlens.functions.fixed import (CONFIDENCE, DAY_NAMES, DAYS_BUCKETS, FREQUENCY_BINS, HASH_MODULUS,
+                                        HASH_MULTIPLIER, HOUR_BUCKETS, JOURNEY, ORDER_GROUP_BINS, PEAK_DAYS,
+                                        PEAK_HOURS, RECENCY_BANDS, SYNTHETIC_EPOCH, TIERS, UNKNOWN_PRODUCT,
+                                        WEEKEND_DAYS)
 
 
 def is_weekend(dow: Column) -> Column:

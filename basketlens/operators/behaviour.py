@@ -37,7 +37,8 @@ def overview_kpis(orders: DataFrame, items: DataFrame, products: DataFrame,
     number > 5; departments_count via the enriched catalogue (J3)."""
     sizes = basket_sizes(items)
     per_user = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
-                                             F.max((F.col("order_number") > 5).cast("int")).alias("ret"))
+                                             F.max((F.col("order_number") > S.RETENTION_ORDER_NUMBER).cast("int"))
+                                             .alias("ret"))
     detail = (items.select("product_id")
               .join(products.select("product_id", "department_id"), "product_id", "left")
               .join(departments, "department_id", "left"))
@@ -134,8 +135,8 @@ def lifecycle_metrics(orders: DataFrame) -> DataFrame:
     return user_metrics(orders).agg(
         F.avg("total_orders").alias("avg_orders"), F.avg("max_order_num").alias("avg_lifetime"),
         F.avg("avg_days_between").alias("avg_frequency"),
-        (F.avg((F.col("total_orders") >= 10).cast("int")) * 100).alias("loyalty_rate"),
-        F.count_if(F.col("total_orders") >= 10).alias("loyal_customers"))
+        (F.avg((F.col("total_orders") >= S.LOYAL_MIN_ORDERS).cast("int")) * 100).alias("loyalty_rate"),
+        F.count_if(F.col("total_orders") >= S.LOYAL_MIN_ORDERS).alias("loyal_customers"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by=()) -> DataFrame:

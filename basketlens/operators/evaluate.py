@@ -19,13 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.functions import fixed as FX
 from basketlens.functions import scalar as S
 from basketlens.operators.common import side_by_side, with_scalars
 from basketlens.operators.kpi import one_row
 from basketlens.operators.ordered import ordered_scan
 
-KS = (5, 10, 20, 50)
-THRESHOLD = 0.5
+KS = FX.RANKING_KS
+THRESHOLD = FX.THRESHOLD
 EPS = 2.220446049250313e-16       # float64 machine epsilon: log-loss clipping
 
 
@@ -168,7 +169,7 @@ def global_evaluation(scores: DataFrame, ks=KS) -> DataFrame:
         F.col("average_precision").alias("mean_average_precision"), *cols)
 
 
-def global_precision_recall_at_k(scores: DataFrame, ks=(10, 20, 50)) -> DataFrame:
+def global_precision_recall_at_k(scores: DataFrame, ks=FX.GLOBAL_KS) -> DataFrame:
     """precision@k / recall@k over all rows, only for k <= rows."""
     ev = global_evaluation(scores, ks)
     parts = [ev.where(F.col("total_samples") >= k)
@@ -190,7 +191,7 @@ def coverage_at_k(scores: DataFrame, catalogue: DataFrame, ks=KS) -> DataFrame:
     return with_scalars(cov, total).select("k", "items", S.safe_div(F.col("items"), F.col("__t")).alias("coverage"))
 
 
-def recommend(scores: DataFrame, k: int = 10) -> DataFrame:
+def recommend(scores: DataFrame, k: int = FX.RECOMMEND_K) -> DataFrame:
     """W7 / M19 output: at most k products per user by descending
     probability (ties by product id), with the 0.5 prediction and P18 band."""
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))

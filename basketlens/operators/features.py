@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.functions import fixed as FX
 from basketlens.operators.stats import mode_by
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -178,7 +179,7 @@ def user_product_features(orders: DataFrame, basket: DataFrame) -> DataFrame:
 
 
 UP_FILLS = {"up_orders_count": 0, "up_reorder_count": 0, "up_avg_cart_position": 0.0,
-            "up_last_order_number": 0, "user_max_order_number": 0, "up_days_since_last_purchase": 999,
+            "up_last_order_number": 0, "user_max_order_number": 0, "up_days_since_last_purchase": FX.NEVER_BOUGHT_DAYS,
             "user_total_orders_y": 0, "up_order_rate": 0.0, "up_reorder_rate": 0.0}
 KEYS = ["user_id", "product_id"]
 LABEL = "reordered"

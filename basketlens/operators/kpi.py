@@ -57,7 +57,7 @@ def basket_size_stats(items: DataFrame) -> DataFrame:
         exact_quantiles(sizes, "basket_size", {"q25": 0.25, "median": 0.5, "q75": 0.75}))
 
 
-def top_products(items: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
+def top_products(items: DataFrame, products: DataFrame, n: int = S.TOP_PRODUCTS) -> DataFrame:
     """A13 + J8: most purchased products, then the name lookup of the n winners."""
     counts = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("purchases"))
     top = counts.orderBy(F.desc("purchases"), F.asc("product_id")).limit(n)
@@ -65,7 +65,7 @@ def top_products(items: DataFrame, products: DataFrame, n: int = 10) -> DataFram
 
 
 def department_popularity(items: DataFrame, products: DataFrame, departments: DataFrame,
-                          n: int = 5) -> DataFrame:
+                          n: int = S.TOP_DEPARTMENTS) -> DataFrame:
     """Purchases per department (items x products), top n, with names."""
     counts = (items.join(products.select("product_id", "department_id"), "product_id", "inner")
               .groupBy("department_id").agg(F.count(F.lit(1)).alias("purchases")))
@@ -115,12 +115,12 @@ def customer_reorder_stats(orders: DataFrame, items: DataFrame) -> DataFrame:
     then mean and counts above 0.8 / below 0.3."""
     per_user = (items.join(orders.select("order_id", "user_id"), "order_id", "inner")
                 .groupBy("user_id")
-                .agg(F.bround(F.avg("reordered"), 3).alias("rate")))
+                .agg(F.bround(F.avg("reordered"), S.RATE_DECIMALS).alias("rate")))
     return per_user.agg(
         F.count(F.lit(1)).alias("customers"),
         F.avg("rate").alias("avg_reorder_rate"),
-        F.count_if(F.col("rate") > 0.8).alias("customers_high"),
-        F.count_if(F.col("rate") < 0.3).alias("customers_low"))
+        F.count_if(F.col("rate") > S.HIGH_REORDER_RATE).alias("customers_high"),
+        F.count_if(F.col("rate") < S.LOW_REORDER_RATE).alias("customers_low"))
 
 
 def product_stats(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -153,12 +153,13 @@ def aisle_stats(pstats: DataFrame, aisles: DataFrame) -> DataFrame:
     return _group_stats(pstats, "aisle_id", aisles, "total_aisle_orders")
 
 
-def top_by_orders(pstats: DataFrame, n: int = 10) -> DataFrame:
+def top_by_orders(pstats: DataFrame, n: int = S.TOP_PRODUCTS) -> DataFrame:
     """Nlargest total_orders (ties: product id)."""
     return pstats.orderBy(F.desc("total_orders"), F.asc("product_id")).limit(n)
 
 
-def top_reorder_rate(pstats: DataFrame, min_orders: int = 10, n: int = 10) -> DataFrame:
+def top_reorder_rate(pstats: DataFrame, min_orders: int = S.MIN_ORDERS_FOR_RATE,
+                     n: int = S.TOP_PRODUCTS) -> DataFrame:
     """HAVING total_orders >= min_orders, nlargest reorder_rate."""
     return (pstats.where(F.col("total_orders") >= min_orders)
             .orderBy(F.desc("reorder_rate"), F.asc("product_id")).limit(n))

@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.functions import fixed as FX
 from basketlens.functions import scalar as S
 from basketlens.operators.common import with_scalars
 from basketlens.operators.stats import exact_quantiles, mode_by
 
 LABEL = "reordered"
 KEYS = ("user_id", "product_id")
-SPLIT_SEED = 42
-TRAIN_FRACTION = 0.8
+SPLIT_SEED = FX.SPLIT_SEED
+TRAIN_FRACTION = FX.TRAIN_FRACTION
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -119,7 +120,7 @@ def scaling_stage(params: DataFrame, cols, kind: str = "standard") -> SQLTransfo
     return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
 
 
-def variance_kbest(train: DataFrame, cols, k: int = 20) -> DataFrame:
+def variance_kbest(train: DataFrame, cols, k: int = FX.VARIANCE_K) -> DataFrame:
     """M5: the k features of largest sample variance (ties by name)."""
     v = long_features(train, cols).groupBy("feature").agg(F.var_samp("value").alias("variance"))
     return v.orderBy(F.desc_nulls_last("variance"), F.asc("feature")).limit(k)
@@ -161,20 +162,22 @@ def classifier(kind: str, n_features: int, weighted: bool = True, total_weight:
     w = {"weightCol": "weight"} if weighted else {}
     if kind == "logistic":      # M12: max_iter 1000, balanced, L2 with C = 1 and tol 1e-4 as scikit-learn:
         # its objective 0.5|w|^2 + C sum(w_i loss_i) equals MLlib's with regParam = 1 / (C * sum of weights)
-        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, tol=1e-4,
-                                  regParam=1.0 / max(total_weight, 1.0), elasticNetParam=0.0,
+        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=FX.LR_MAX_ITER, tol=FX.LR_TOL,
+                                  regParam=1.0 / (FX.LR_C * max(total_weight, 1.0)), elasticNetParam=0.0,
                                   standardization=False, **w)
     if kind == "gbt":           # M13: 100 trees, depth 6, learning rate 0.1
-        return GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=100, maxDepth=6, stepSize=0.1,
+        return GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=FX.GBT_TREES, maxDepth=FX.GBT_DEPTH,
+                             stepSize=FX.GBT_LEARNING_RATE,
                              seed=SPLIT_SEED, **w)
     if kind == "random_forest":  # M9 / M15 member: 100 trees, sqrt features per split; scikit-learn grows
         # unbounded trees, MLlib caps depth at 30 - depth 12 keeps each tree bounded at scale
-        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=100, maxDepth=12,
+        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=FX.RF_TREES, maxDepth=12,
                                       featureSubsetStrategy="sqrt", seed=SPLIT_SEED, **w)
     if kind == "mlp":           # M14: 512-256-128, 50 full passes (the reference's 50 epochs);
         # no dropout / batch-norm layers exist in MLlib
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol=LABEL,
-                                              layers=[n_features, 512, 256, 128, 2], maxIter=50, seed=SPLIT_SEED)
+                                              layers=[n_features, *FX.MLP_HIDDEN, 2], maxIter=FX.MLP_EPOCHS,
+                                              seed=SPLIT_SEED)
     raise ValueError(kind)
 
 
@@ -212,7 +215,7 @@ def score(model: PipelineModel, df: DataFrame, cols) -> DataFrame:
     prob = vector_to_array(F.col("probability"))[1]
     keep = [c for c in df.columns if c in (*KEYS, LABEL, "split")]
     return scored.select(*keep, prob.alias("reorder_probability"),
-                         (prob >= 0.5).cast("int").alias("reorder_prediction"))
+                         (prob >= FX.THRESHOLD).cast("int").alias("reorder_prediction"))
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -242,8 +245,8 @@ def feature_importance(model: PipelineModel, cols) -> DataFrame:
 def combined_importance(importance: DataFrame, correlation: DataFrame) -> DataFrame:
     """0.6 * importance + 0.4 * |r|, ranked."""
     return (importance.join(correlation.select("feature", "abs_correlation"), "feature", "left")
-            .withColumn("combined_score", 0.6 * F.col("importance")
-                        + 0.4 * F.coalesce(F.col("abs_correlation"), F.lit(0.0)))
+            .withColumn("combined_score", FX.IMPORTANCE_WEIGHTS[0] * F.col("importance")
+                        + FX.IMPORTANCE_WEIGHTS[1] * F.coalesce(F.col("abs_correlation"), F.lit(0.0)))
             .orderBy(F.desc("combined_score"), F.asc("feature")))
 
 
@@ -260,7 +263,8 @@ def univariate_selection(train: DataFrame, cols, k: int = 10) -> DataFrame:
                                  "feature string, position int")
 
 
-def ensemble(scored_a: DataFrame, scored_b: DataFrame, wa: float = 0.6, wb: float = 0.4) -> DataFrame:
+def ensemble(scored_a: DataFrame, scored_b: DataFrame, wa: float = FX.ENSEMBLE_WEIGHTS[0],
+             wb: float = FX.ENSEMBLE_WEIGHTS[1]) -> DataFrame:
     """Weighted mean of two members' probabilities, threshold > 0.5."""
     a = scored_a.select(*KEYS, LABEL, F.col("reorder_probability").alias("__pa"))
     b = scored_b.select(*KEYS, F.col("reorder_probability").alias("__pb"))

@@ -137,7 +137,7 @@ def apply_narrowing(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(plan[c]).alias(c) if c in plan else F.col(c) for c in df.columns])
 
 
-def low_cardinality(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def low_cardinality(df: DataFrame, threshold: float = S.LOW_CARDINALITY_RATIO) -> DataFrame:
     """Q16: string columns with distinct/rows below ``threshold``."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = [F.count(F.lit(1)).alias("rows")] + [F.countDistinct(c).alias(f"nu{i}") for i, c in enumerate(cols)]
@@ -147,7 +147,7 @@ def low_cardinality(df: DataFrame, threshold: float = 0.5) -> DataFrame:
               .withColumn("low_cardinality", F.col("ratio") < threshold)
 
 
-def outlier_counts(df: DataFrame, cols, iqr_k: float = 1.5, z: float = 3.0) -> DataFrame:
+def outlier_counts(df: DataFrame, cols, iqr_k: float = S.IQR_FACTOR, z: float = S.Z_LIMIT) -> DataFrame:
     """Q17: IQR (k x IQR beyond the quartiles) and z-score (|z| > z, sample
     std) outlier counts per column; quartiles are exact.  One unpivot, one
     ordered scan, and the per-column bounds (one row per column) joined back
@@ -163,7 +163,7 @@ def outlier_counts(df: DataFrame, cols, iqr_k: float = 1.5, z: float = 3.0) -> D
         F.count_if(F.abs(x - F.col("mu")) > z * F.col("sd")).alias("z_outliers")))
 
 
-def catalog_samples(tables: dict, max_rows: int = 1000, n: int = 5) -> DataFrame:
+def catalog_samples(tables: dict, max_rows: int = S.SAMPLE_MAX_TABLE_ROWS, n: int = S.SAMPLE_ROWS) -> DataFrame:
     """Q3: up to n sample rows (first by the leading column) as JSON for each
     table with at most ``max_rows`` rows; the row count is checked with a
     bounded ``limit`` so large tables are never counted in full."""

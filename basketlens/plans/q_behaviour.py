@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from basketlens.functions import fixed as FX
 from basketlens.operators import behaviour as B
 from basketlens.operators import kpi
 from basketlens.plans.registry import query
@@ -122,28 +123,28 @@ SELECT g.bin, g.lo + g.bin * ((g.hi - g.lo) / {float(bins)}) AS bin_start,
 FROM grid g LEFT JOIN cnt ON g.bin = cnt.bin"""
 
 
-_c, _s = _hist_sql("c_orders", "days_since_prior_order", 30)
+_c, _s = _hist_sql("c_orders", "days_since_prior_order", FX.GAP_BINS)
 
 
 @query("gap_histogram", "A31,P11", ctes=_c, sql=_s)
 def _gap_hist(c):
-    return B.histogram(c.orders, "days_since_prior_order", 30)
+    return B.histogram(c.orders, "days_since_prior_order", FX.GAP_BINS)
 
 
-_c, _s = _hist_sql("(SELECT order_id, count(*) AS n FROM c_prior GROUP BY order_id)", "n", 20)
+_c, _s = _hist_sql("(SELECT order_id, count(*) AS n FROM c_prior GROUP BY order_id)", "n", FX.DIST_BINS)
 
 
 @query("basket_size_histogram", "A31", ctes=_c, sql=_s)
 def _basket_hist(c):
-    return B.histogram(kpi.basket_sizes(c.items("prior")), "basket_size", 20)
+    return B.histogram(kpi.basket_sizes(c.items("prior")), "basket_size", FX.DIST_BINS)
 
 
-_c, _s = _hist_sql("(SELECT user_id, count(*) AS n FROM c_orders GROUP BY user_id)", "n", 20)
+_c, _s = _hist_sql("(SELECT user_id, count(*) AS n FROM c_orders GROUP BY user_id)", "n", FX.DIST_BINS)
 
 
 @query("orders_per_user_histogram", "A31", ctes=_c, sql=_s)
 def _opu_hist(c):
-    return B.histogram(B.user_metrics(c.orders), "total_orders", 20)
+    return B.histogram(B.user_metrics(c.orders), "total_orders", FX.DIST_BINS)
 
 
 @query("gap_box_by_order_group", "A32,P14", ctes="""
@@ -254,7 +255,7 @@ def _recency_bands(c):
 
 _c, _s = _hist_sql("""(SELECT o.user_id, round_even(avg(i.reordered), 3) AS rate FROM
   (SELECT * FROM c_prior UNION ALL SELECT * FROM c_train) i JOIN c_orders o ON i.order_id = o.order_id
-  GROUP BY o.user_id)""", "rate", 20)
+  GROUP BY o.user_id)""", "rate", FX.DIST_BINS)
 
 
 @query("reorder_rate_histogram", "A31,A19", ctes=_c, sql=_s)
@@ -262,12 +263,12 @@ def _rate_hist(c):
     items = kpi.all_items(c.items("prior"), c.items("train"))
     rates = (items.join(c.orders.select("order_id", "user_id"), "order_id").groupBy("user_id")
              .agg(F.bround(F.avg("reordered"), 3).alias("rate")))
-    return B.histogram(rates, "rate", 20)
+    return B.histogram(rates, "rate", FX.DIST_BINS)
 
 
-_c, _s = _hist_sql("(SELECT user_id, avg(days_since_prior_order) AS g FROM c_orders GROUP BY user_id)", "g", 20)
+_c, _s = _hist_sql("(SELECT user_id, avg(days_since_prior_order) AS g FROM c_orders GROUP BY user_id)", "g", FX.DIST_BINS)
 
 
 @query("avg_gap_histogram", "A31,A29", ctes=_c, sql=_s)
 def _avg_gap_hist(c):
-    return B.histogram(B.user_metrics(c.orders), "avg_days_between", 20)
+    return B.histogram(B.user_metrics(c.orders), "avg_days_between", FX.DIST_BINS)

@@ -1,5 +1,6 @@
 """Feature tables and training sets: A1-A8e, P20-P23, J4-J7, J9, J11, Q14."""
 
+from basketlens.functions import fixed as FX
 from basketlens.operators import clean
 from basketlens.operators import features as FT
 from basketlens.plans.registry import query
@@ -261,4 +262,4 @@ SELECT g.reordered, g.bin, g.lo + g.bin * ((g.hi - g.lo) / 50.0) AS bin_start,
 FROM grid g LEFT JOIN cnt ON g.reordered = cnt.reordered AND g.bin = cnt.bin""")
 def _feature_hist(c):
     from basketlens.operators.behaviour import histogram
-    return histogram(FT.candidate_training_set(c.orders, c.basket, c.products), "up_order_rate", 50, by=["reordered"])
+    return histogram(FT.candidate_training_set(c.orders, c.basket, c.products), "up_order_rate", FX.LABEL_HIST_BINS, by=["reordered"])
