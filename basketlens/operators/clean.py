@@ -44,9 +44,12 @@ def dedup_items(items: DataFrame, keys=("order_id", "product_id"), order_col: st
 
 
 def cluster_items(items: DataFrame) -> DataFrame:
-    """Co-locate an order's lines and sort them by cart position (for the
-    staging write; hash partitioning keeps tasks balanced)."""
-    return items.repartition("order_id").sortWithinPartitions("order_id", "add_to_cart_order")
+    """Lines sorted by (order_id, add_to_cart_order) for the staging
+    write.  Range partitioning on both columns keeps an order's lines
+    contiguous and in cart order across the output, and splits a very large
+    order over neighbouring tasks instead of one (hash on order_id would)."""
+    return (items.repartitionByRange("order_id", "add_to_cart_order")
+            .sortWithinPartitions("order_id", "add_to_cart_order"))
 
 
 def clean_products(products: DataFrame) -> DataFrame:
