@@ -46,11 +46,14 @@ def archive(spark: SparkSession, src: str, dst: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Q4: catalog persisted as JSON lines."""
+    """Q4: catalog persisted as JSON lines in one file.  For report-sized
+    frames only (the catalog has one row per table and column)."""
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def export_kpis(frames: dict[str, DataFrame], root: str) -> None:
-    """The KPI export set, each as CSV (dashboard format)."""
+    """The KPI export set, each as one CSV file (dashboard format); the
+    frames are aggregates bounded by dimensions (days, hours, departments,
+    aisles, top-50), never raw facts."""
     for name, df in frames.items():
         write_csv(df.coalesce(1), f"{root.rstrip('/')}/{name}")
