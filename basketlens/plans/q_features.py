@@ -263,3 +263,45 @@ FROM grid g LEFT JOIN cnt ON g.reordered = cnt.reordered AND g.bin = cnt.bin""")
 def _feature_hist(c):
     from basketlens.operators.behaviour import histogram
     return histogram(FT.candidate_training_set(c.orders, c.basket, c.products), "up_order_rate", FX.LABEL_HIST_BINS, by=["reordered"])
+
+
+NAME_CTES = """
+n_ids AS (SELECT CAST(row_number() OVER (ORDER BY p_name) AS BIGINT) AS name_id, p_name
+          FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)),
+n_products AS (SELECT i.name_id AS product_id, i.p_name AS product_name,
+                      min(CAST(substr(p.p_brand, 7) AS INTEGER)) AS aisle_id, min(d.department_id) AS department_id
+               FROM part p JOIN n_ids i ON p.p_name = i.p_name
+               LEFT JOIN c_departments d ON p.p_type = d.department GROUP BY i.name_id, i.p_name),
+n_basket0 AS (SELECT b.order_id, i.name_id AS product_id, min(b.add_to_cart_order) AS add_to_cart_order,
+                     min(b.eval_set) AS eval_set, min(b.user_id) AS user_id, min(b.order_number) AS order_number,
+                     min(b.order_dow) AS order_dow, min(b.order_hour_of_day) AS order_hour_of_day,
+                     min(b.days_since_prior_order) AS days_since_prior_order
+              FROM c_basket b JOIN part p ON b.product_id = p.p_partkey JOIN n_ids i ON p.p_name = i.p_name
+              GROUP BY b.order_id, i.name_id),
+n_basket AS (SELECT order_id, product_id, add_to_cart_order,
+                    CAST(CASE WHEN order_number > min(order_number) OVER (PARTITION BY user_id, product_id)
+                              THEN 1 ELSE 0 END AS INTEGER) AS reordered,
+                    eval_set, user_id, order_number, order_dow, order_hour_of_day, days_since_prior_order
+             FROM n_basket0)"""
+NAME_NB = NAME_CTES + "," + NB.replace("c_basket", "n_basket").replace("c_products", "n_products")
+NAME_CANDIDATES_SQL = CANDIDATES_SQL.replace("c_basket", "n_basket")
+
+
+@query("name_level_products", "M-key (SURVEY 7.1)", ctes=NAME_CTES, sql="SELECT * FROM n_products")
+def _name_products(c):
+    return c.name_products
+
+
+@query("name_level_basket_summary", "M-key (SURVEY 7.1)", ctes=NAME_CTES, sql="""
+SELECT eval_set, count(*) AS lines, CAST(sum(reordered) AS BIGINT) AS reorders,
+       count(DISTINCT product_id) AS names FROM n_basket GROUP BY eval_set""")
+def _name_basket_summary(c):
+    from pyspark.sql import functions as F
+    return c.name_basket.groupBy("eval_set").agg(F.count(F.lit(1)).alias("lines"),
+                                                 F.sum("reordered").cast("long").alias("reorders"),
+                                                 F.countDistinct("product_id").alias("names"))
+
+
+@query("name_level_candidate_set", "A8d,J11 (name key)", ctes=NAME_NB, sql=NAME_CANDIDATES_SQL)
+def _name_cands(c):
+    return FT.candidate_training_set(c.orders, c.name_basket, c.name_products)

@@ -213,3 +213,27 @@ def _stream(c):
     features = _split(c).drop("reordered", "split")
     sink = run_scoring(c.spark, c.sf_dir, features, model, FEATURES, k=5)
     return c.spark.read.parquet(sink)
+
+
+def _name_split(c) -> DataFrame:
+    return _memo(c, "ml_name_split", lambda: M.user_split(
+        FT.candidate_training_set(c.orders, c.name_basket, c.name_products)).checkpoint(eager=True))
+
+
+def _name_scores(c, kind):
+    def build():
+        split = _name_split(c)
+        train = split.where(F.col("split") == "train")
+        scaler = _memo(c, "ml_name_scaler",
+                       lambda: M.scaling_stage(M.scaler_params(train, FEATURES), FEATURES))
+        model = M.fit(kind, train, FEATURES, scaler)
+        return M.score(model, split.where(F.col("split") == "test"), FEATURES).checkpoint(eager=True)
+    return _memo(c, ("ml_name_scores", kind), build)
+
+
+@query("name_level_model_comparison", "E13,M12,M13,M15 (name key)")
+def _name_cmp(c):
+    reports = {k: E.global_evaluation(M.as_eval(_name_scores(c, k))) for k in ("logistic", "gbt", "random_forest")}
+    reports["ensemble"] = E.global_evaluation(M.as_eval(M.ensemble(_name_scores(c, "gbt"),
+                                                                  _name_scores(c, "random_forest"))))
+    return E.compare_models(reports)

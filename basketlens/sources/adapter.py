@@ -116,6 +116,38 @@ def derive_departments(part_raw: DataFrame) -> DataFrame:
     return department_ids(part_raw)
 
 
+def name_ids(part_raw: DataFrame) -> DataFrame:
+    """Dense ids of the distinct product names (ordered scan over the
+    distinct set, like the department ids)."""
+    names = part_raw.select("p_name").where(F.col("p_name").isNotNull()).distinct()
+    return ordered_scan(names, [], ["p_name"], counter="name_id").select("name_id", "p_name")
+
+
+def derive_name_products(part_raw: DataFrame, names: DataFrame, departments: DataFrame) -> DataFrame:
+    """Name-level catalogue: product_id = name id; aisle / department = the
+    smallest id among the parts carrying the name."""
+    dept = departments.select(F.col("department").alias("p_type"), "department_id")
+    return (part_raw.join(names, "p_name", "inner").join(dept, "p_type", "left")
+            .groupBy(F.col("name_id").alias("product_id"), F.col("p_name").alias("product_name"))
+            .agg(F.min(F.substring("p_brand", 7, 12).cast("int")).alias("aisle_id"),
+                 F.min("department_id").alias("department_id")))
+
+
+def derive_name_basket(basket: DataFrame, part_raw: DataFrame, names: DataFrame) -> DataFrame:
+    """Lines regrouped per (order, product name): cart position = the first
+    of the name's lines, order-level columns carried, ``reordered`` recomputed
+    at name level (the user bought the name in an earlier order)."""
+    to_name = part_raw.select(F.col("p_partkey").alias("product_id"), "p_name").join(names, "p_name")
+    order_cols = ["eval_set", "user_id", "order_number", "order_dow", "order_hour_of_day", "days_since_prior_order"]
+    per = (basket.join(to_name, "product_id", "inner")
+           .groupBy("order_id", F.col("name_id").alias("product_id"))
+           .agg(F.min("add_to_cart_order").alias("add_to_cart_order"), *[F.min(c).alias(c) for c in order_cols]))
+    first = per.groupBy("user_id", "product_id").agg(F.min("order_number").alias("__first"))
+    return (per.join(first, ["user_id", "product_id"], "inner")
+            .withColumn("reordered", (F.col("order_number") > F.col("__first")).cast("int"))
+            .select("order_id", "product_id", "add_to_cart_order", "reordered", *order_cols))
+
+
 @dataclass
 class Canon:
     """The canonical table set for one data folder."""
@@ -175,6 +207,22 @@ class Canon:
     def products(self) -> DataFrame:
         return self._memo("products", lambda: derive_products(self.raw("part"), self.departments))
 
+    @property
+    def names(self) -> DataFrame:
+        return self._memo("names", lambda: name_ids(self.raw("part")))
+
+    @property
+    def name_products(self) -> DataFrame:
+        """Catalogue keyed by product name."""
+        return self._memo("name_products", lambda: derive_name_products(self.raw("part"), self.names,
+                                                                        self.departments))
+
+    @property
+    def name_basket(self) -> DataFrame:
+        """The basket keyed by product name, staged like ``basket``."""
+        return self._memo("name_basket", lambda: self._stage(
+            "name_basket", derive_name_basket(self.basket, self.raw("part"), self.names), ["user_id", "order_id"]))
+
     @property
     def aisles(self) -> DataFrame:
         return self._memo("aisles", lambda: derive_aisles(self.raw("part")))
