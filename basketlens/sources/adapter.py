@@ -242,14 +242,14 @@ class Canon:
                         F.col("c_mktsegment").alias("segment")))
 
 
-_CANON: dict[tuple[str, str], Canon] = {}
+_CANON: dict[tuple, Canon] = {}
 
 
 def canon(spark: SparkSession, sf_dir: str) -> Canon:
     """Session-wide memo of the canonical tables for ``sf_dir``."""
     apply_runtime_conf(spark)
     ensure_checkpoint_dir(spark)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     if key not in _CANON:
         _CANON[key] = Canon(spark, sf_dir.rstrip("/"))
     return _CANON[key]
