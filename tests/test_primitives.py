@@ -75,3 +75,11 @@ def test_mode_ties_take_smallest(spark):
     got = {r["k"]: r["v"] for r in mode_by(df, ["k"], "v").collect()}
     assert got == {1: 2, 2: 7}
     assert sorted(r["v"] for r in all_modes(df, "v").collect()) == [2, 3]
+
+
+def test_range_partitioning_splits_the_hot_key(spark):
+    df = _hot_frame(spark, 30000)
+    ranged = df.repartitionByRange(16, "k", "o").groupBy(F.spark_partition_id().alias("p")).count().toPandas()
+    hashed = df.repartition(16, "k").groupBy(F.spark_partition_id().alias("p")).count().toPandas()
+    assert ranged["count"].max() < 2 * ranged["count"].mean()      # the layout ordered_scan works on
+    assert hashed["count"].max() >= 30000 / 3                     # what a per-key window would get
