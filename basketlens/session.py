@@ -8,7 +8,6 @@ in local mode (tests, bench) do we make a throw-away folder under /tmp.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,13 +31,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "16g")
-    if not os.environ.get("SPARK_CHECKPOINT_UNSET_OK"):
-        conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="basketlens-ckpt-", dir="/tmp"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(spark)   # the session's own setting wins; a scratch folder only if none is set
     return spark
 
 
