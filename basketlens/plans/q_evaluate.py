@@ -226,7 +226,7 @@ def _demo_summary(c):
 
 
 SCORERS = {"hash_baseline": "CAST((x.user_id * 31 + x.product_id * 17) % 1000 AS DOUBLE) / 1000.0",
-           "pair_order_rate": "up_order_rate", "product_reorder_rate": "product_reorder_rate"}
+           "pair_order_rate": "x.up_order_rate", "product_reorder_rate": "x.product_reorder_rate"}
 
 
 def _scorer_frames(c) -> dict[str, DataFrame]:
@@ -242,7 +242,7 @@ _cand_body = q_features.CANDIDATES_SQL
 _model_ctes = q_features.NB + ",\ncand AS (" + _cand_body + ")"
 for _name, _expr in SCORERS.items():
     _model_ctes += (f",\nsc_{_name} AS (SELECT x.user_id, x.product_id AS item_id, x.reordered AS label, "
-                    f"{_expr.replace('x.', 'x.') if 'x.' in _expr else 'x.' + _expr} AS score FROM cand x)")
+                    f"{_expr} AS score FROM cand x)")
     _model_ctes += ",\nscg_" + _name + " AS (SELECT 0 AS g, user_id, score, label, row_number() OVER " \
         "(ORDER BY score DESC, user_id, item_id) AS item_id FROM sc_" + _name + ")," + \
         eval_ctes("scg_" + _name, "g", "m_" + _name)
