@@ -201,6 +201,12 @@ def recommend(scores: DataFrame, k: int = FX.RECOMMEND_K) -> DataFrame:
                     S.confidence_band(F.col("score")).alias("confidence"), "rank"))
 
 
+def recommend_for_user(scores: DataFrame, user_id: int, k: int = FX.RECOMMEND_K) -> DataFrame:
+    """W7 for one user (``predict_user_next_products``): the filter is pushed
+    below the ranking, so only that user's rows are scored and ranked."""
+    return recommend(scores.where(F.col("user_id") == user_id), k)
+
+
 def recommendations_per_department(recs: DataFrame, products: DataFrame, departments: DataFrame) -> DataFrame:
     """A35."""
     joined = (recs.join(products.select("product_id", "department_id"), "product_id", "left")

@@ -218,6 +218,11 @@ def score(model: PipelineModel, df: DataFrame, cols) -> DataFrame:
                          (prob >= FX.THRESHOLD).cast("int").alias("reorder_prediction"))
 
 
+def score_batches(model: PipelineModel, frames, cols) -> list[DataFrame]:
+    """M19 over a list of frames: one scored frame per input, in order."""
+    return [score(model, f, cols) for f in frames]
+
+
 def save(model: PipelineModel, path: str) -> None:
     """M17 persist (scaler constants, feature order and model together)."""
     model.write().overwrite().save(path)

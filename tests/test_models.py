@@ -80,3 +80,15 @@ def test_class_weights_and_split(spark):
     assert w[1] == pytest.approx(400 / (2 * 100)) and w[0] == pytest.approx(400 / (2 * 300))
     sp = M.user_split(df).groupBy("user_id").agg(F.countDistinct("split").alias("n"))
     assert sp.where("n > 1").count() == 0
+
+
+def test_score_batches_keeps_arity(fixture_df, fitted):
+    parts = [fixture_df.where(f"product_id = {p}") for p in (101, 102, 103)]
+    out = M.score_batches(fitted, parts, COLS)
+    assert [o.count() for o in out] == [1, 1, 1]
+
+
+def test_recommend_for_one_user(fixture_df, fitted):
+    recs = E.recommend_for_user(M.as_eval(M.score(fitted, fixture_df, COLS)), 1, 2).toPandas()
+    assert set(recs["user_id"]) == {1} and len(recs) == 2
+    assert E.recommend_for_user(M.as_eval(M.score(fitted, fixture_df, COLS)), 999, 2).count() == 0
