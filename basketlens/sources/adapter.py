@@ -242,6 +242,38 @@ class Canon:
                         F.col("c_mktsegment").alias("segment")))
 
 
+ORDER_COLS = ["order_id", "user_id", "eval_set", "order_number", "order_dow", "order_hour_of_day",
+              "days_since_prior_order"]
+BASKET_COLS = ["order_id", "product_id", "add_to_cart_order", "reordered", "eval_set", "user_id", "order_number",
+               "order_dow", "order_hour_of_day", "days_since_prior_order"]
+
+
+def canon_from_tables(spark: SparkSession, tables: dict[str, DataFrame], name: str = "tables") -> Canon:
+    """The canonical set from the reference's own tables (``orders``,
+    ``order_products__prior`` / ``__train`` [/ ``__test``], ``products``,
+    ``aisles``, ``departments``, e.g. from ``readers.read_all``): the lines
+    are tagged with their eval set, joined once with their order and staged
+    like the derived tables.  ``reordered`` is taken as given."""
+    ensure_checkpoint_dir(spark)
+    c = Canon(spark, f"{name}:{id(tables)}")
+    orders = tables["orders"].select(
+        F.col("order_id").cast("long"), F.col("user_id").cast("long"), F.col("eval_set").cast("string"),
+        *[F.col(x).cast("int") for x in ("order_number", "order_dow", "order_hour_of_day")],
+        F.col("days_since_prior_order").cast("double"))
+    c._cache["orders"] = c._stage("orders", orders, ["user_id", "order_number"])
+    parts = [tables[f"order_products__{e}"] for e in ("prior", "train", "test") if f"order_products__{e}" in tables]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    lines = lines.select(F.col("order_id").cast("long"), F.col("product_id").cast("long"),
+                         F.col("add_to_cart_order").cast("int"), F.col("reordered").cast("int"))
+    basket = lines.join(c._cache["orders"], "order_id", "inner").select(*BASKET_COLS)
+    c._cache["basket"] = c._stage("basket", basket, ["user_id", "order_id"])
+    for t in ("products", "aisles", "departments"):
+        c._cache[t] = tables[t]
+    return c
+
+
 _CANON: dict[tuple, Canon] = {}
 
 
