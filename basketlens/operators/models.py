@@ -48,11 +48,13 @@ def long_features(df: DataFrame, cols) -> DataFrame:
 
 def imputation_values(df: DataFrame, numeric, categorical=()) -> DataFrame:
     """M1: exact median per numeric column (one ordered scan for all of
-    them) and first mode per categorical column (else 'unknown')."""
+    them) and first mode per categorical column (else 'unknown'), as
+    (feature, median double, mode string)."""
     med = exact_quantiles(long_features(df, numeric), "value", {"median": 0.5}, by=["feature"])
-    out = med.select("feature", F.col("median").cast("string").alias("fill"))
+    out = med.select("feature", "median", F.lit(None).cast("string").alias("mode"))
     for c in categorical:
-        m = mode_by(df, [], c, "fill").select(F.lit(c).alias("feature"), F.col("fill").cast("string"))
+        m = mode_by(df, [], c, "mode").select(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("median"),
+                                              F.coalesce(F.col("mode").cast("string"), F.lit("unknown")).alias("mode"))
         out = out.unionByName(m)
     return out
 

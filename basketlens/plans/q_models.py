@@ -91,7 +91,7 @@ def _scaler_params(c):
 
 
 @query("imputation_values", "M1,T13", ctes=CANDS, sql="""
-SELECT feature, CAST(quantile_cont(value, 0.5) AS VARCHAR) AS fill FROM lf GROUP BY feature""")
+SELECT feature, quantile_cont(value, 0.5) AS median, CAST(NULL AS VARCHAR) AS mode FROM lf GROUP BY feature""")
 def _impute(c):
     return M.imputation_values(_split(c), FEATURES)
 
