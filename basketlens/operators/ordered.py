@@ -19,6 +19,11 @@ without that hot task:
    is derived from that small table and broadcast back - the broadcast size is
    bounded by the number of partitions, never by the data.
 
+Why a Python pass: a JVM-only variant (``row_number`` over
+``partitionBy(spark_partition_id(), key)``) would need a second full hash
+shuffle, because a range layout does not satisfy that window's distribution;
+the Arrow-batched pass stays inside the task that already holds the rows.
+
 Result equals ``row_number()`` / ``sum() ... rowsBetween(unboundedPreceding,
 currentRow)`` / ``lag()`` over ``partitionBy(keys).orderBy(order)`` provided
 ``keys + order`` is a total order (callers add a unique tie-break).  Null keys
@@ -72,7 +77,13 @@ def _keys_equal(a: tuple, b: tuple) -> bool:
 
 
 def _local_scan(keys, counter, sums, lags):
-    """Per-partition pass: numbers rows per key, running sums, lags."""
+    """Per-partition pass: numbers rows per key, running sums, lags.
+
+    Vectorised on segment starts: a row's position is its index minus the
+    index where its key's run began; integer running sums are prefix sums
+    minus the prefix at the run start (exact in int64); floating sums use a
+    per-run cumulative sum (no cancellation); lags are a shift masked at run
+    starts.  State carries across the Arrow batches of one partition."""
 
     def run(batches):
         carry_key = None
@@ -84,23 +95,28 @@ def _local_scan(keys, counter, sums, lags):
                 continue
             kdf = pdf[keys]
             same = _same_as_previous(kdf)
-            first_key = tuple(kdf.iloc[0])
-            same[0] = carry_key is not None and _keys_equal(first_key, carry_key)
-            seg = np.cumsum(~same)          # segment 0 continues the carried key
-            cont = seg == 0
-            grouped_idx = pd.Series(seg, index=pdf.index)
-            n = grouped_idx.groupby(seg).cumcount().to_numpy() + 1
-            n = n + np.where(cont, carry_n, 0)
-            pdf[counter] = n.astype("int64")
+            same[0] = carry_key is not None and _keys_equal(tuple(kdf.iloc[0]), carry_key)
+            starts = ~same
+            idx = np.arange(len(pdf))
+            run_start = np.maximum.accumulate(np.where(starts, idx, 0))
+            cont = (run_start == 0) & bool(same[0])      # rows continuing the carried key
+            pdf[counter] = (idx - run_start + 1 + np.where(cont, carry_n, 0)).astype("int64")
             for out, src in sums.items():
-                vals = pdf[src].fillna(0)
-                cs = vals.groupby(seg).cumsum().to_numpy()
-                pdf[out] = cs + np.where(cont, carry_s[out], 0)
+                col = pdf[src]
+                if pd.api.types.is_integer_dtype(col.dtype):
+                    v = col.to_numpy(dtype="int64")
+                    pre = np.cumsum(v)
+                    res = pre - (pre[run_start] - v[run_start])
+                else:
+                    res = col.fillna(0).groupby(np.cumsum(starts)).cumsum().to_numpy()
+                pdf[out] = res + np.where(cont, carry_s[out], 0)
             for out, src in lags.items():
-                lagged = pdf[src].groupby(seg).shift(1)
-                if cont[0] and carry_key is not None:
+                mask = starts.copy()
+                lagged = pdf[src].shift(1)
+                if cont[0]:
+                    mask[0] = False
                     lagged.iloc[0] = carry_l[out]
-                pdf[out] = lagged
+                pdf[out] = lagged.mask(mask)
             carry_key = tuple(kdf.iloc[-1])
             carry_n = int(pdf[counter].iloc[-1])
             carry_s = {o: pdf[o].iloc[-1] for o in sums}
