@@ -11,8 +11,9 @@ without that hot task:
 2. ``sortWithinPartitions`` + ``mapInPandas``: one streaming pass per partition
    numbers rows / accumulates sums per key (vectorised numpy, carry between
    Arrow batches);
-3. reliable ``checkpoint()`` (shared ``spark.checkpoint.dir``): the partition
-   layout is now fixed, lineage is cut, lost executors recompute nothing;
+3. the scanned rows are written as a Parquet table in the shared
+   ``spark.checkpoint.dir`` and read back: the partition layout (kept as a
+   column) is fixed, lineage is cut, lost executors recompute nothing;
 4. one partial aggregate gives, per partition, its first key and its last row
    (one row per partition: a table bounded by the partition count);
 5. the carry of each partition (count/sums/last values of the key it continues)
@@ -33,6 +34,7 @@ form one group, like SQL windows.  Nulls in a summed column count as 0.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -164,7 +166,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     for o, src in lags.items():
         out_fields.append(T.StructField(o, by_name[src].dataType, True))
     scanned = ranged.mapInPandas(_local_scan(keys_eff, counter, sums, lags), T.StructType(out_fields))
-    scanned = scanned.checkpoint(eager=True)
+    # Fix the layout and cut lineage: a Parquet table in the shared checkpoint
+    # folder (columnar and compressed, cheaper to write and re-read than an
+    # RDD checkpoint of rows).
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scans/{uuid.uuid4().hex}"
+    scanned.write.mode("overwrite").parquet(path)
+    scanned = spark.read.schema(T.StructType(out_fields)).parquet(path)
 
     kstruct = F.struct(*[F.col(k) for k in keys_eff])
     last_parts = [kstruct.alias("k"), F.col(counter).alias("n")]
