@@ -50,15 +50,18 @@ def top_k_per_request(batch: DataFrame, k: int) -> DataFrame:
     """W7 inside a micro-batch (a static frame): k best products per event."""
     w = Window.partitionBy("event_id").orderBy(F.desc("reorder_probability"), F.asc("product_id"))
     return (batch.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("reorder_prediction", (F.col("reorder_probability") >= 0.5).cast("int"))
+            .withColumn("reorder_prediction", (F.col("reorder_probability") >= S.THRESHOLD).cast("int"))
             .withColumn("confidence", S.confidence_band(F.col("reorder_probability"))))
 
 
 def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model: PipelineModel, cols,
-                k: int = 5, pattern: str = "events.parquet", out_dir: str | None = None) -> str:
+                k: int = 5, pattern: str = "events.parquet", out_dir: str | None = None,
+                root: str | None = None) -> str:
     """Run the scoring stream to completion (availableNow) and return the
-    sink folder.  Sink and checkpoint live under ``spark.checkpoint.dir``."""
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/scoring-{uuid.uuid4().hex}"
+    sink folder.  Sink and checkpoint live under ``spark.checkpoint.dir``
+    unless ``root`` names a folder; re-running with the same ``root``
+    resumes from its checkpoint (already processed files are skipped)."""
+    root = root or ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/scoring-{uuid.uuid4().hex}"
     sink = out_dir or root + "/out"
     scored = score_requests(request_stream(spark, source_dir, pattern), features, model, cols)
 

@@ -22,3 +22,20 @@ def test_stream_scoring(spark, tmp_path):
     sizes = out.groupby("event_id").size().to_dict()
     assert sizes == {1: 2, 2: 2, 3: 2}
     assert out["reorder_probability"].between(0, 1).all()
+
+
+def test_stream_restart_does_not_duplicate(spark, tmp_path):
+    src = tmp_path / "src2"
+    ev = pd.DataFrame({"event_id": [7, 8], "ts": pd.to_datetime(["2024-01-02"] * 2), "user_id": [1, 2],
+                       "event_type": ["view"] * 2, "value": [1.0] * 2, "props": ["{}"] * 2})
+    spark.createDataFrame(ev).write.parquet(str(src / "part"))
+    feats = spark.createDataFrame([(1, 10, 0.1, 1.0, 1), (1, 11, 0.9, 0.0, 0), (2, 20, 0.3, 0.2, 0),
+                                   (2, 21, 0.8, 0.1, 1)],
+                                  "user_id long, product_id long, f1 double, f2 double, reordered int")
+    model = M.fit("logistic", feats, COLS, M.scaling_stage(M.scaler_params(feats, COLS), COLS))
+    root = str(tmp_path / "stream")
+    sink = run_scoring(spark, str(src / "part"), feats.drop("reordered"), model, COLS, k=1, pattern="*.parquet",
+                       root=root)
+    first = spark.read.parquet(sink).count()
+    run_scoring(spark, str(src / "part"), feats.drop("reordered"), model, COLS, k=1, pattern="*.parquet", root=root)
+    assert spark.read.parquet(sink).count() == first == 2
