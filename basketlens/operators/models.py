@@ -277,7 +277,7 @@ def ensemble(scored_a: DataFrame, scored_b: DataFrame, wa: float = FX.ENSEMBLE_W
     b = scored_b.select(*KEYS, F.col("reorder_probability").alias("__pb"))
     p = wa * F.col("__pa") + wb * F.col("__pb")
     return a.join(b, list(KEYS), "inner").select(*KEYS, LABEL, p.alias("reorder_probability"),
-                                                   (p > 0.5).cast("int").alias("reorder_prediction"))
+                                                   (p > FX.THRESHOLD).cast("int").alias("reorder_prediction"))
 
 
 def stacking(train_scores: dict[str, DataFrame], test_scores: dict[str, DataFrame]) -> DataFrame:
@@ -292,7 +292,7 @@ def stacking(train_scores: dict[str, DataFrame], test_scores: dict[str, DataFram
     model = Pipeline(stages=[asm, lr]).fit(wide(train_scores))
     out = model.transform(wide(test_scores))
     prob = vector_to_array(F.col("probability"))[1]
-    return out.select(*KEYS, LABEL, prob.alias("reorder_probability"), (prob >= 0.5).cast("int").alias("reorder_prediction"))
+    return out.select(*KEYS, LABEL, prob.alias("reorder_probability"), (prob >= FX.THRESHOLD).cast("int").alias("reorder_prediction"))
 
 
 def as_eval(scored: DataFrame) -> DataFrame:
