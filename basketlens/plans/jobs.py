@@ -42,8 +42,8 @@ def integrity_report(c: Canon) -> DataFrame:
 
 
 def data_catalog(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q2: per table shape and duplicates plus per column type and nulls, one
-    long table (level = table / column)."""
+    """Q2: per table shape and duplicates, per column type and nulls, and an
+    ``__all__`` row with the overall total rows; one long table."""
     shapes = [Q.table_summary(n, df).select("table", F.lit(None).cast("string").alias("column"),
                                             F.lit(None).cast("string").alias("dtype"),
                                             F.col("rows"), F.col("cols"), F.col("duplicate_rows"),
@@ -53,7 +53,13 @@ def data_catalog(tables: dict[str, DataFrame]) -> DataFrame:
                                            F.lit(None).cast("int").alias("cols"),
                                            F.lit(None).cast("long").alias("duplicate_rows"), "nulls")
             for n, df in tables.items()]
-    return reduce(DataFrame.unionByName, shapes + cols)
+    out = reduce(DataFrame.unionByName, shapes + cols)
+    total = (reduce(DataFrame.unionByName, shapes).agg(F.sum("rows").alias("rows"))
+             .select(F.lit("__all__").alias("table"), F.lit(None).cast("string").alias("column"),
+                     F.lit(None).cast("string").alias("dtype"), F.col("rows").cast("long"),
+                     F.lit(None).cast("int").alias("cols"), F.lit(None).cast("long").alias("duplicate_rows"),
+                     F.lit(None).cast("long").alias("nulls")))
+    return out.unionByName(total)
 
 
 def run_etl(c: Canon, root: str, partition_cols=("eval_set",)) -> dict:
