@@ -237,3 +237,19 @@ def _name_cmp(c):
     reports["ensemble"] = E.global_evaluation(M.as_eval(M.ensemble(_name_scores(c, "gbt"),
                                                                   _name_scores(c, "random_forest"))))
     return E.compare_models(reports)
+
+
+@query("scaled_test_features", "M3,M18", ctes=CANDS + """,
+tp AS (SELECT feature, avg(value) AS mean,
+              CASE WHEN stddev_pop(value) = 0 OR stddev_pop(value) IS NULL THEN 1.0 ELSE stddev_pop(value) END AS sd
+       FROM lf WHERE split = 'train' GROUP BY feature),
+tl AS (UNPIVOT (SELECT user_id, product_id, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)
+       + """ FROM spl WHERE split = 'test') ON """ + ", ".join(FEATURES) + """ INTO NAME feature VALUE value)""",
+       sql="""
+SELECT tl.user_id, tl.product_id, tl.feature, (tl.value - tp.mean) / tp.sd AS scaled
+FROM tl JOIN tp ON tl.feature = tp.feature""")
+def _scaled(c):
+    # the pipeline's own scaling stage (SQLTransformer with the train constants) on the test side
+    scaled = _scaler(c).transform(_test(c))
+    pairs = ", ".join(f"'{f}', `s_{f}`" for f in FEATURES)
+    return scaled.selectExpr("user_id", "product_id", f"stack({len(FEATURES)}, {pairs}) AS (feature, scaled)")
