@@ -44,6 +44,16 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def one_row_per_id(rows: DataFrame) -> DataFrame:
+    """``rows`` unless values of ``id`` repeat; then the least row of each id by the other columns, in reverse order
+    (the text first).  Repeats are looked for on the id column alone."""
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    rest = [c for c in reversed(rows.columns) if c != "id"]
+    least = rows.groupBy("id").agg(F.min(F.struct(*rest)).alias("r"))
+    return stage(least.select(*(F.col("id") if c == "id" else F.col("r")[c].alias(c) for c in rows.columns)), "unique")
+
+
 def text_bytes(col: str = "text"):
     """The text as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.expr("X''"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketlens.llm import decontaminate, fertility, ngram_jaccard, packing, secret_scan, token_orc
+from basketlens.llm import (
+    backoff_lm, decontaminate, fertility, ngram_jaccard, packing, secret_scan, suffix_dedup, token_orc, unit_dedup, warc_revisit)
 from basketlens.llm.common import read_table
 
 
@@ -14,10 +16,28 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_revisit.resolve_revisits(warc_revisit.page_records(read_table(spark, sf_dir, "pages")))
+    return out.withColumn("headers", warc_revisit.headers_text(F.col("headers")))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_lm.backoff_scores(read_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokens_round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.unit_dedup(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_quality(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +56,92 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op5_token_orc, op7_tokeniser_fertility, op8_secret_scan,
-                            op9_decontamination, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f for f in (
+        op1_ngram_jaccard, op2_warc_revisit, op3_suffix_dedup, op4_stupid_backoff, op5_token_orc, op6_line_dedup,
+        op7_tokeniser_fertility, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+_OP2 = r"""
+WITH p AS (SELECT * FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+rec AS (
+  SELECT page_id * 2 AS record_id, url, page_id AS captured, 'response' AS type, md5(html) AS etag,
+         NULL::VARCHAR AS last_modified, md5(html) AS payload_digest,
+         [{'k': 'Content-Type', 'v': 'text/html'}, {'k': 'ETag', 'v': md5(html)}] AS h
+  FROM p UNION ALL
+  SELECT page_id * 2 + 1, regexp_extract(url, '^[^:]+://[^/?#]+(/[a-z]{2})?'), page_id,
+         CASE WHEN page_id % 5 = 0 THEN 'response' ELSE 'revisit' END,
+         CASE WHEN page_id % 11 < 9 THEN (CASE WHEN page_id % 2 = 0 THEN 'W/' ELSE '' END) || '"v' || (page_id // 50) || '"' END,
+         CASE WHEN page_id % 11 < 10 THEN 'day ' || (page_id // 50) END,
+         CASE WHEN page_id % 5 = 0 THEN md5(html) END,
+         [{'k': 'Date', 'v': page_id::VARCHAR}, {'k': 'content-length', 'v': length(html)::VARCHAR},
+          {'k': 'Server', 'v': 's' || (page_id % 3)}]
+  FROM p),
+u AS (SELECT *, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM rec),
+c AS (
+  SELECT *, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''),
+         '([?&])(utm_[a-z]+|gclid|fbclid|ref)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&/]+$', '') AS canonical_url
+  FROM u),
+r AS (
+  SELECT *, last_value(CASE WHEN type = 'response' THEN {'id': record_id, 'etag': etag, 'lm': last_modified,
+      'digest': payload_digest, 'h': h} END IGNORE NULLS) OVER (
+      PARTITION BY canonical_url ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref
+  FROM c),
+s AS (
+  SELECT *, CASE WHEN type = 'response' THEN 'full' WHEN ref IS NULL THEN 'unresolved'
+      WHEN etag IS NOT NULL AND ref.etag IS NOT NULL THEN
+        CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(ref.etag, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+      WHEN last_modified IS NOT NULL AND ref.lm IS NOT NULL THEN
+        CASE WHEN last_modified = ref.lm THEN 'resolved' ELSE 'validator_mismatch' END
+      ELSE 'unvalidated' END AS status
+  FROM r),
+m AS (
+  SELECT *, list_filter(h, lambda x: lower(x.k) IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')) AS upd
+  FROM s)
+SELECT record_id, canonical_url, captured, type, status,
+  CASE WHEN status IN ('resolved', 'validator_mismatch', 'unvalidated') THEN ref.id END AS refers_to,
+  CASE WHEN status = 'resolved' THEN ref.digest WHEN type = 'response' THEN payload_digest END AS payload_digest,
+  array_to_string(list_transform(list_sort(CASE WHEN status = 'resolved' THEN list_concat(
+      list_filter(ref.h, lambda x: NOT list_contains(list_transform(upd, lambda y: lower(y.k)), lower(x.k))), upd) ELSE h END),
+    lambda x: x.k || '=' || x.v), ';') AS headers
+FROM m
+"""
+
+_OP4 = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM t WHERE len(w) > 0),
+uni AS (SELECT b, count(*) AS n FROM p GROUP BY b),
+bi AS (SELECT a, b, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY a, b),
+n AS (SELECT count(*) AS n FROM p),
+s AS (
+  SELECT p.doc_id, p.a IS NOT NULL AND bi.n < 2 AS backed,
+    CASE WHEN p.a IS NULL THEN ln(y.n) - ln(n.n) WHEN bi.n >= 2 THEN ln(bi.n) - ln(x.n)
+         ELSE ln(0.4) + (ln(y.n) - ln(n.n)) END AS l
+  FROM p CROSS JOIN n JOIN uni y ON y.b = p.b LEFT JOIN uni x ON x.b = p.a LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_backoffs, round(coalesce(l, 0), 4) AS log_score,
+  round(l / len(w), 4) AS mean_log_score
+FROM t LEFT JOIN (SELECT doc_id, sum(l) AS l, sum(backed::INT) AS k FROM s GROUP BY doc_id) g ON g.doc_id = t.doc_id
+"""
+
+_OP6 = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM t),
+v AS (
+  SELECT *, regexp_extract_all(translate(line, {_AZ}), {_WORD}) AS w,
+    (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1)::BIGINT AS s
+  FROM u),
+x AS (
+  SELECT *, len(w) >= 5 AS unit, row_number() OVER (PARTITION BY CASE WHEN len(w) >= 5 THEN array_to_string(w, ' ') END
+    ORDER BY doc_id, pos) AS k
+  FROM v)
+SELECT doc_id, count(*) FILTER (unit) AS n_units, count(*) FILTER (unit AND k > 1) AS n_removed,
+  coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY pos) FILTER (unit AND k > 1), '') AS removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (unit AND k > 1)), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
+
+#: The others have no SQL form that runs on whole tables (tokenisers, automata, similarity joins): they are tested
+#: against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op2_warc_revisit": _OP2, "op4_stupid_backoff": _OP4, "op6_line_dedup": _OP6}
