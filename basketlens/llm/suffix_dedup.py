@@ -38,8 +38,8 @@ from basketlens.llm.common import GOLDEN, mix64, one_row_per_id, ragged, run_lis
 LENGTH, GRAM, BLOCK = 400, 32, 8
 #: Windows in one stretch at most (runs of one hash, as in periodic text, are cut).
 STRETCH = 512
-#: Bytes that one transform takes: small shards together, one shard alone.
-CHUNK_BYTES, GROUP_BYTES = 1_000_000, 4_000_000
+#: Bytes that one transform takes: small shards together (so much that its arrays stay in the cache), one shard alone.
+CHUNK_BYTES, GROUP_BYTES = 128_000, 4_000_000
 _PART = 2_000_000      # bytes of one long text handled at a time
 
 
@@ -111,7 +111,7 @@ def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Order, dense rank and number of ranks of 64-bit keys."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     step = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
     rank = np.empty(len(key), np.int64)
