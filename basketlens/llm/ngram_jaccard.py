@@ -16,8 +16,11 @@
 4. Documents that share a part meet at the part's smallest document (a star,
    not all pairs); surviving pairs are verified on the exact shingle sets, and
    links are closed to components.  Parts whose documents are then still in
-   several components are taken up again with other pivots, and in the end by
-   all pairs between different components, so no link that matters is lost.
+   several components are looked at again: small ones (SMALL documents) by
+   pair, large ones around a pivot.  All their documents are compared with the
+   pivot, and dealt into new, smaller groups by a prefix filter on their
+   differences from it, until no group is open.  No link that matters is lost,
+   and no large group is expanded into pairs.
 
 A second, one-bit-per-shingle parity sketch of 256 bits travels with each
 document; its Hamming distance is checked before texts are fetched.
@@ -31,17 +34,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import GOLDEN, Words, drop_staged, mix64, ragged, stage, steps
+from basketlens.llm.common import GOLDEN, Words, drop_staged, mix64, one_row_per_id, ragged, stage, steps
 
 #: Size bands grow by two steps of the size ratio that links allow.
 BAND_STEPS = 2
 #: Slack parts: half as many as needed, so that only well-filled parts are kept.
 LEAST_SLACK = 4
-#: Rounds with one pivot per part before all pairs between components are listed.
-PIVOT_ROUNDS = 2
+#: Documents of a part up to which its pairs are listed; larger parts are dealt anew around a pivot.
+SMALL = 64
 SKETCH_WORDS = 4
 
 
@@ -194,25 +197,77 @@ def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where((least * den >= most * num) & (bits * (den + num) <= (den - num) * (F.col("a_n") + F.col("b_n"))))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact shingle sets reach num / den: both texts meet in one row, sets are compared there."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
+def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Per pair of texts: both set sizes and whether they link; the shingles of one set only, with their rows."""
+    a, a_n = shingle_sets(one, n)
+    b, b_n = shingle_sets(two, n)
+    row = np.concatenate([np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n)])
+    both = np.concatenate([a, b])
+    order = _by_row(both, row, len(a_n))
+    s, r = both[order], row[order]
+    twice = np.zeros(len(s) + 1, bool)
+    twice[1:-1] = (s[1:] == s[:-1]) & (r[1:] == r[:-1])
+    common = np.bincount(r[twice[:-1]], minlength=len(a_n))
+    alone = ~(twice[:-1] | twice[1:])
+    return np.stack([a_n, b_n]), common * den >= num * (a_n + b_n - common), s[alone], r[alone]
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
+
+def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose exact shingle sets reach num / den: both texts meet in one row, sets are compared there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for outer in steps(batches, "ta"):
             for b in steps(iter([outer]), "tb"):
-                one, one_n = shingle_sets(b.column("ta"), n)
-                two, two_n = shingle_sets(b.column("tb"), n)
-                row = np.concatenate([np.repeat(np.arange(len(one_n)), one_n), np.repeat(np.arange(len(two_n)), two_n)])
-                both = np.concatenate([one, two])
-                order = _by_row(both, row, len(one_n))
-                s, r = both[order], row[order]
-                common = np.bincount(r[1:][(s[1:] == s[:-1]) & (r[1:] == r[:-1])], minlength=len(one_n))
-                linked = common * den >= num * (one_n + two_n - common)
+                linked = _differences(b.column("ta"), b.column("tb"), n, num, den)[1]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(linked))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _against_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """For documents a and pivots b: linked, set sizes, and the shingles x that one of the two lacks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for outer in steps(batches, "ta"):
+            for b in steps(iter([outer]), "tb"):
+                size, linked, x, row = _differences(b.column("ta"), b.column("tb"), n, num, den)
+                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    b.column("a"), b.column("b"), pa.array(linked), pa.array(size[0]), pa.array(size[1]),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64)))],
+                    names=["a", "b", "linked", "n_a", "n_b", "x"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, x array<long>")
+
+
+def _regroup(star: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, id, side): documents of a large part dealt anew by what tells them from their pivot.
+
+    X and Y, the differences of two documents from the pivot, differ by as
+    much as the documents do.  Where one of the two is not linked to the pivot,
+    a link between them needs |X & Y| >= (|X| + |Y| - D) / 2 > 0, so both have a
+    common shingle among the first |X| - overlap + 1, rarest first (prefix
+    filter).  Two unlinked documents meet with side 0, an unlinked (2) and a
+    linked one (1) under keys of their own, with shorter prefixes.
+    """
+    c, size = f"({den} - {num})", "size(x)"
+    most = f"floor({c} * (n_a + floor(n_a * {den} / {num})) / ({den} + {num}))"          # D for any partner
+    least = f"floor({c} * (ceil(n_a * {num} / {den}) + n_b) / ({den} + {num})) + 1"      # |Y| of an unlinked partner
+    s = star.withColumns({
+        "to_unlinked": F.expr(f"CASE WHEN linked THEN 0 ELSE {size} - greatest(1, ceil(({size} + {least} - {most}) / 2)) + 1 END"),
+        "across": F.expr(f"CASE WHEN linked THEN {size} - floor(({size} + {c} * (n_b - n_a) / ({den} + {num})) / 2) "
+                         f"ELSE {size} - greatest(1, {size} - {most}) + 1 END")})
+    e = s.select("a", "b", "linked", "to_unlinked", "across", F.explode("x").alias("e"))
+    often = e.groupBy("b", "e").agg(F.count("*").alias("f"))
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
+    e = e.join(often, ["b", "e"]).withColumn("k", first).where("f > 1")
+    near = e.where("not linked and k <= to_unlinked").select(F.xxhash64("b", "e", F.lit(0)).alias("key"), "a", F.lit(0).alias("side"))
+    far = e.where("k <= across").select(
+        F.xxhash64("b", "e", F.lit(1)).alias("key"), "a", F.when(F.col("linked"), 1).otherwise(2).alias("side"))
+    return near.unionAll(far).withColumnRenamed("a", "id").distinct()
 
 
 def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -241,30 +296,49 @@ def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     tried = stage(candidates(members.select(F.col("id").alias("a"), "b")), "tried")
     links = stage(verify(tried, texts, n, num, den), "links")
     comp = components(links)
-    company = members.groupBy("id").agg(F.sum("c").alias("w"))
-    crowd = members.where("c > 2")
-    for k in range(PIVOT_ROUNDS + 1):
-        # parts whose documents are still in several components
-        placed = crowd.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        open_ = stage(placed.join(split.select("key"), "key"), "open")
+    company = stage(members.groupBy("id").agg(F.sum("c").alias("w")), "company")
+    groups = members.where("c > 2").select("key", "id", F.lit(0).alias("side"))
+    rounds = 0
+    while True:
+        # parts that hold documents of several components, and a pair of them that is not known yet
+        placed = groups.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = placed.groupBy("key").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.min("side").alias("lo"), F.max("side").alias("hi"),
+            F.count("*").alias("m")).where("x <> y and (lo = 0 or lo <> hi)").select("key", "m")
+        open_ = stage(placed.join(split, "key"), "open")
         if open_.isEmpty():
             break
-        if k < PIVOT_ROUNDS:
-            # the document with most company is the likeliest original of near copies; then the one with least
-            pick = F.max if k % 2 == 0 else F.min
-            pivot = open_.join(company, "id").groupBy("key").agg(pick(F.struct("w", "id", "component")).alias("p"))
-            new = open_.join(pivot, "key").where("component <> p.component").select(
-                F.col("id").alias("a"), F.col("p.id").alias("b"))
-        else:
-            new = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key AND x.component < y.component")).select(
-                F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        new = stage(candidates(new).join(tried, ["a", "b"], "left_anti"), "tried")
+        few = open_.where(f"m <= {SMALL}")
+        pairs = few.alias("x").join(few.alias("y"), F.expr(
+            "x.key = y.key AND x.id < y.id AND x.component <> y.component AND x.side + y.side IN (0, 3)")).select(
+            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        new = stage(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(new)
-        fresh = stage(verify(new, texts, n, num, den), "links")
+        fresh = verify(new, texts, n, num, den)
+        # the document with most company is the likeliest original of near copies
+        large = open_.where(f"m > {SMALL}")
+        more = not large.isEmpty()
+        if more:
+            pivot = large.join(company, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
+            if not rounds:
+                # parts of one cluster take one pivot: the best of all parts that their documents are in
+                best = large.join(pivot, "key").groupBy("id").agg(F.max("p").alias("p"))
+                pivot = large.join(best, "id").groupBy("key").agg(F.max("p").alias("p"))
+            rounds += 1
+            star = large.join(pivot, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b")).where("a <> b").distinct()
+            star = stage(_against_pivot(star, texts, n, num, den), "star")
+            fresh = fresh.unionAll(star.where("linked").select("a", "b"))
+            groups = stage(_regroup(star, num, den), "groups")
+        # only links between components change anything
+        side = comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        other = comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        fresh = stage(fresh.join(side, "a", "left").join(other, "b", "left").where(
+            "coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "links")
         if not fresh.isEmpty():
             links = links.unionAll(fresh)
             comp = components(links)
+        if not more:
+            break
     # copies follow their representative; their own component is known by it
     placed = base.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return placed.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -282,17 +356,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     out; of rows that repeat an id, the one with the smallest text counts.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
-    return _join_groups(_one_row_per_id(rows), n, num, den).select(
+    return _join_groups(one_row_per_id(rows), n, num, den).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _one_row_per_id(rows: DataFrame) -> DataFrame:
-    """``rows`` unless ids repeat; then the smallest text of each id (ids are counted on the id column alone)."""
-    if rows.groupBy("id").count().where("count > 1").isEmpty():
-        return rows
-    return stage(rows.groupBy("id").agg(F.min("text").alias("text")), "unique")
-
-
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of links (that of the smallest id); columns unchanged.
