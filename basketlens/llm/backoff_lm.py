@@ -219,7 +219,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
                                    np.where(can, np.log(alpha) + log, log))
                     backed = can & ~seen
                 n_words = np.bincount(row, minlength=len(ids))
-                s = np.bincount(row, log, len(ids))
+                s = np.bincount(row, log, len(ids)).astype(float)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(n_words.astype(np.int64)),
                     pa.array(np.bincount(row, backed, len(ids)).astype(np.int64)), pa.array(s),
