@@ -9,7 +9,7 @@ PEAK_HOURS = (10, 16)                      # inclusive
 PEAK_DAYS = [0, 1, 6]                      # Sunday, Monday, Saturday
 HOUR_BUCKETS = [(6, "night"), (12, "morning"), (18, "afternoon"), (24, "evening")]   # right-closed, 0 included
 DAYS_BUCKETS = [(0, "first_order"), (7, "week"), (14, "two_weeks"), (30, "month")]    # right-closed; above -> long_time
-ORDER_GROUP_BINS = [(0, 5, "1-5"), (5, 10, "6-10"), (10, 20, "11-20"), (20, 100, "21-100")]  # (lo, hi]
+ORDER_GROUP_BINS = [(0, 5, "1-5"), (5, 10, "6-10"), (10, 20, "11-20"), (20, 100, "20+")]  # (lo, hi]
 FREQUENCY_BINS = [(1, 5, "1-4"), (5, 10, "5-9"), (10, 20, "10-19"), (20, 50, "20-49"), (50, 100, "50+")]  # [lo, hi)
 TIERS = [(5, "Light Users"), (10, "Medium Users")]     # <= bound; else Heavy Users
 JOURNEY = [(1, "One-time Buyer"), (5, "New Customer"), (15, "Regular Customer")]   # <= bound; else Loyal Customer
@@ -36,7 +36,8 @@ HIGH_REORDER_RATE = 0.8           # A19
 LOW_REORDER_RATE = 0.3            # A19
 RATE_DECIMALS = 3                 # A19 rounding (half-even)
 GAP_BINS = 30                     # A31
-DIST_BINS = 20                    # A31 basket size, orders per user, reorder rate, mean gap
+BASKET_BINS = 30                  # A31 basket size, prior and train
+DIST_BINS = 20                    # A31 orders per user, reorder rate, mean gap
 LABEL_HIST_BINS = 50              # A31 per label value
 IQR_FACTOR = 1.5                  # Q17
 Z_LIMIT = 3.0                     # Q17
@@ -70,4 +71,4 @@ MLP_EPOCHS = 50
 ENSEMBLE_WEIGHTS = (0.6, 0.4)     # M15
 IMPORTANCE_WEIGHTS = (0.6, 0.4)   # M10: forest importance, |correlation|
 TOP_CORRELATED = 10               # M8
-VARIANCE_K = 20                   # M5
+K_BEST = 100                      # M5; all features where there are fewer

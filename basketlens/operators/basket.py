@@ -11,8 +11,6 @@ from basketlens.operators.common import with_scalars
 from basketlens.operators.ordered import ordered_scan
 from basketlens.operators.stats import mode_by
 
-MAX_PIVOT_VALUES = 64       # D3 pivots departments; a catalogue dimension, checked before use
-
 
 def ntile(df: DataFrame, col: str, n: int, out: str, tie: str, descending: bool = False) -> DataFrame:
     """SQL ``NTILE(n) OVER (ORDER BY col, tie)`` without a single-partition
@@ -113,29 +111,19 @@ def frequent_itemsets(transactions: DataFrame, item: str, min_support: float,
 
 
 def category_copurchase(user_categories: DataFrame, category: str) -> DataFrame:
-    """D3: share of buyers of category A who also bought B.  Users x
-    categories are pivoted to flags and all A-B counts come from one
-    aggregate (no pair rows at all); the category list is a dimension whose
-    size is checked first."""
-    values = [r[0] for r in user_categories.select(category).distinct().orderBy(category)
-              .limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(values) > MAX_PIVOT_VALUES:
-        raise ValueError(f"more than {MAX_PIVOT_VALUES} {category} values; use pair_rules instead")
-    flags = (user_categories.select("user_id", category).distinct()
-             .groupBy("user_id").pivot(category, values).agg(F.lit(1)).na.fill(0))
-    names = {v: f"`{v}`" for v in values}
-    aggs, rows = [], []
-    for i, a in enumerate(values):
-        aggs.append(F.sum(F.col(names[a])).alias(f"n_{i}"))
-        for j, b in enumerate(values):
-            if a != b:
-                aggs.append(F.sum(F.col(names[a]) * F.col(names[b])).alias(f"b_{i}_{j}"))
-                rows.append((a, b, f"b_{i}_{j}", f"n_{i}"))
-    esc = lambda v: v.replace("'", "\\'")
-    pairs = ", ".join(f"'{esc(a)}', '{esc(b)}', CAST({bn} AS BIGINT), CAST({nn} AS BIGINT)" for a, b, bn, nn in rows)
-    out = flags.agg(*aggs).selectExpr(
-        f"stack({len(rows)}, {pairs}) AS (category_a, category_b, buyers_both, buyers_a)")
-    return out.withColumn("share", F.col("buyers_both") / F.col("buyers_a"))
+    """D3: share of buyers of category A who also bought B, for any number of
+    categories.  Each user's distinct categories meet in one direction (a < b)
+    and the counts are mirrored, so a user adds at most half the square of the
+    categories that they bought."""
+    uc = user_categories.select("user_id", F.col(category).alias("c")).distinct()
+    buyers = uc.groupBy("c").agg(F.count(F.lit(1)).alias("buyers_a"))
+    pairs = (uc.withColumnRenamed("c", "a").join(uc.withColumnRenamed("c", "b"), "user_id").where("a < b")
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    both = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("category_a"), F.col("b").alias("category_b"), F.col("n").alias("buyers_both")),
+        F.struct(F.col("b").alias("category_a"), F.col("a").alias("category_b"), F.col("n").alias("buyers_both")))).alias("p")).select("p.*")
+    return (both.join(buyers.withColumnRenamed("c", "category_a"), "category_a")
+            .select("category_a", "category_b", "buyers_both", "buyers_a", (F.col("buyers_both") / F.col("buyers_a")).alias("share")))
 
 
 def spend_by_country(orders_raw: DataFrame, users: DataFrame) -> DataFrame:
@@ -169,9 +157,8 @@ def user_time_counts(orders: DataFrame) -> DataFrame:
 
 
 def product_time_counts(basket: DataFrame) -> DataFrame:
-    """Weekend / morning lines and mean gap per product (prior lines)."""
-    pb = basket.where(F.col("eval_set") == "prior")
-    return pb.groupBy("product_id").agg(
+    """Weekend / morning lines and mean gap per product (all lines)."""
+    return basket.groupBy("product_id").agg(
         F.count_if(S.is_weekend(F.col("order_dow")) == 1).alias("product_weekend_orders"),
         F.count_if(S.hour_bucket(F.col("order_hour_of_day")) == "morning").alias("product_morning_orders"),
         F.avg("days_since_prior_order").alias("product_avg_days_since_prior"))
@@ -188,7 +175,7 @@ def negative_candidates(basket: DataFrame, products: DataFrame, n: int = 20) ->
     w = Window.partitionBy("department_id").orderBy(F.desc("__n"), F.asc("product_id"))
     top = pop.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select("department_id", "product_id")
     fav = mode_by(pb, ["user_id"], "department_id", "department_id")
-    hist = pb.select("user_id", "product_id").distinct()
+    hist = basket.select("user_id", "product_id").distinct()      # a train purchase is bought, too
     return fav.join(top, "department_id", "inner").join(hist, ["user_id", "product_id"], "left_anti") \
         .select("user_id", "product_id", "department_id")
 

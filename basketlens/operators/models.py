@@ -122,7 +122,7 @@ def scaling_stage(params: DataFrame, cols, kind: str = "standard") -> SQLTransfo
     return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
 
 
-def variance_kbest(train: DataFrame, cols, k: int = FX.VARIANCE_K) -> DataFrame:
+def variance_kbest(train: DataFrame, cols, k: int = FX.K_BEST) -> DataFrame:
     """M5: the k features of largest sample variance (ties by name)."""
     v = long_features(train, cols).groupBy("feature").agg(F.var_samp("value").alias("variance"))
     return v.orderBy(F.desc_nulls_last("variance"), F.asc("feature")).limit(k)
@@ -160,6 +160,9 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 # --------------------------------------------------------------- training
+FOREST_DEPTH = 30      # MLlib's largest depth; a smaller one trades accuracy for memory
+
+
 def classifier(kind: str, n_features: int, weighted: bool = True, total_weight: float = 1.0):
     w = {"weightCol": "weight"} if weighted else {}
     if kind == "logistic":      # M12: max_iter 1000, balanced, L2 with C = 1 and tol 1e-4 as scikit-learn:
@@ -172,8 +175,8 @@ def classifier(kind: str, n_features: int, weighted: bool = True, total_weight:
                              stepSize=FX.GBT_LEARNING_RATE,
                              seed=SPLIT_SEED, **w)
     if kind == "random_forest":  # M9 / M15 member: 100 trees, sqrt features per split; scikit-learn grows
-        # unbounded trees, MLlib caps depth at 30 - depth 12 keeps each tree bounded at scale
-        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=FX.RF_TREES, maxDepth=12,
+        # unbounded trees, MLlib ends at depth 30
+        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=FX.RF_TREES, maxDepth=FOREST_DEPTH,
                                       featureSubsetStrategy="sqrt", seed=SPLIT_SEED, **w)
     if kind == "mlp":           # M14: 512-256-128, 50 full passes (the reference's 50 epochs);
         # no dropout / batch-norm layers exist in MLlib

@@ -39,6 +39,8 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,43 +89,50 @@ def _local_scan(keys, counter, sums, lags):
     per-run cumulative sum (no cancellation); lags are a shift masked at run
     starts.  State carries across the Arrow batches of one partition."""
 
+    needed = list(dict.fromkeys([*keys, *sums.values(), *lags.values()]))
+    nullable = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
     def run(batches):
         carry_key = None
         carry_n = 0
         carry_s = {o: 0 for o in sums}
         carry_l = {o: None for o in lags}
-        for pdf in batches:
-            if len(pdf) == 0:
+        for b in batches:
+            if b.num_rows == 0:
                 continue
+            # nullable integer types: a null must not turn 64-bit values into floats
+            pdf = pa.Table.from_batches([b.select(needed)]).to_pandas(types_mapper=nullable.get)
             kdf = pdf[keys]
             same = _same_as_previous(kdf)
-            same[0] = carry_key is not None and _keys_equal(tuple(kdf.iloc[0]), carry_key)
+            same[0] = carry_key is not None and _keys_equal(tuple(kdf[c].iloc[0] for c in keys), carry_key)
             starts = ~same
             idx = np.arange(len(pdf))
             run_start = np.maximum.accumulate(np.where(starts, idx, 0))
             cont = (run_start == 0) & bool(same[0])      # rows continuing the carried key
-            pdf[counter] = (idx - run_start + 1 + np.where(cont, carry_n, 0)).astype("int64")
+            number = (idx - run_start + 1 + np.where(cont, carry_n, 0)).astype("int64")
+            new = [pa.array(number, pa.int64())]
             for out, src in sums.items():
                 col = pdf[src]
                 if pd.api.types.is_integer_dtype(col.dtype):
-                    v = col.to_numpy(dtype="int64")
+                    v = col.fillna(0).to_numpy(dtype="int64")
                     pre = np.cumsum(v)
                     res = pre - (pre[run_start] - v[run_start])
                 else:
-                    res = col.fillna(0).groupby(np.cumsum(starts)).cumsum().to_numpy()
-                pdf[out] = res + np.where(cont, carry_s[out], 0)
+                    res = col.astype(float).fillna(0).groupby(np.cumsum(starts)).cumsum().to_numpy()
+                res = res + np.where(cont, carry_s[out], 0)
+                carry_s[out] = res[-1]
+                new.append(pa.array(res))
             for out, src in lags.items():
-                mask = starts.copy()
-                lagged = pdf[src].shift(1)
-                if cont[0]:
-                    mask[0] = False
-                    lagged.iloc[0] = carry_l[out]
-                pdf[out] = lagged.mask(mask)
-            carry_key = tuple(kdf.iloc[-1])
-            carry_n = int(pdf[counter].iloc[-1])
-            carry_s = {o: pdf[o].iloc[-1] for o in sums}
-            carry_l = {o: pdf[src].iloc[-1] for o, src in lags.items()}
-            yield pdf
+                # the value of the row before, in Arrow: exact for every type
+                col = b.column(src)
+                before = pa.concat_arrays([pa.array([carry_l[out]], col.type), col.slice(0, len(col) - 1)])
+                gone = starts.copy()
+                gone[0] = not cont[0]
+                new.append(pc.if_else(pa.array(gone), pa.scalar(None, col.type), before))
+                carry_l[out] = col[-1].as_py()
+            carry_key = tuple(kdf[c].iloc[-1] for c in keys)
+            carry_n = int(number[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, counter, *sums, *lags])
 
     return run
 
@@ -165,7 +174,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         out_fields.append(T.StructField(o, T.LongType() if integral else T.DoubleType(), True))
     for o, src in lags.items():
         out_fields.append(T.StructField(o, by_name[src].dataType, True))
-    scanned = ranged.mapInPandas(_local_scan(keys_eff, counter, sums, lags), T.StructType(out_fields))
+    scanned = ranged.mapInArrow(_local_scan(keys_eff, counter, sums, lags), T.StructType(out_fields))
     # Fix the layout and cut lineage: a Parquet table in the shared checkpoint
     # folder (columnar and compressed, cheaper to write and re-read than an
     # RDD checkpoint of rows).

@@ -71,14 +71,14 @@ def _assoc(c):
 
 @query("department_copurchase", "D3", ctes="""
 ud AS (SELECT DISTINCT b.user_id, d.department FROM c_basket b JOIN c_products p ON b.product_id = p.product_id
-       JOIN c_departments d ON p.department_id = d.department_id WHERE b.eval_set = 'prior'),
+       JOIN c_departments d ON p.department_id = d.department_id),
 na AS (SELECT department, count(*) AS n FROM ud GROUP BY department)""", sql="""
 SELECT a.department AS category_a, b.department AS category_b, count(*) AS buyers_both, na.n AS buyers_a,
        count(*) / na.n AS share
 FROM ud a JOIN ud b ON a.user_id = b.user_id AND a.department <> b.department
 JOIN na ON a.department = na.department GROUP BY a.department, b.department, na.n""")
 def _copurchase(c):
-    ud = (c.basket.where(F.col("eval_set") == "prior").join(c.products, "product_id")
+    ud = (c.basket.join(c.products, "product_id")
           .join(c.departments, "department_id").select("user_id", "department"))
     return BK.category_copurchase(ud, "department")
 
@@ -119,7 +119,7 @@ def _user_time(c):
 SELECT product_id, count(*) FILTER (WHERE order_dow IN (0, 6)) AS product_weekend_orders,
        count(*) FILTER (WHERE order_hour_of_day > 6 AND order_hour_of_day <= 12) AS product_morning_orders,
        avg(days_since_prior_order) AS product_avg_days_since_prior
-FROM c_basket WHERE eval_set = 'prior' GROUP BY product_id""")
+FROM c_basket GROUP BY product_id""")
 def _product_time(c):
     return BK.product_time_counts(c.basket)
 
@@ -135,7 +135,7 @@ fav AS (SELECT user_id, department_id FROM (
                  ORDER BY count(*) DESC, department_id) AS r FROM pb GROUP BY user_id, department_id) WHERE r = 1)""",
        sql="""
 SELECT f.user_id, t.product_id, f.department_id FROM fav f JOIN top t ON f.department_id = t.department_id
-WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.user_id = f.user_id AND pb.product_id = t.product_id)""")
+WHERE NOT EXISTS (SELECT 1 FROM c_basket pb WHERE pb.user_id = f.user_id AND pb.product_id = t.product_id)""")
 def _negatives(c):
     return BK.negative_candidates(c.basket, c.products, 20)
 

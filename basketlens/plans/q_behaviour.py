@@ -131,12 +131,12 @@ def _gap_hist(c):
     return B.histogram(c.orders, "days_since_prior_order", FX.GAP_BINS)
 
 
-_c, _s = _hist_sql("(SELECT order_id, count(*) AS n FROM c_prior GROUP BY order_id)", "n", FX.DIST_BINS)
+_c, _s = _hist_sql("(SELECT order_id, count(*) AS n FROM c_basket WHERE eval_set IN ('prior', 'train') GROUP BY order_id)", "n", 30)
 
 
 @query("basket_size_histogram", "A31", ctes=_c, sql=_s)
 def _basket_hist(c):
-    return B.histogram(kpi.basket_sizes(c.items("prior")), "basket_size", FX.DIST_BINS)
+    return B.histogram(kpi.basket_sizes(kpi.all_items(c.items("prior"), c.items("train"))), "basket_size", FX.BASKET_BINS)
 
 
 _c, _s = _hist_sql("(SELECT user_id, count(*) AS n FROM c_orders GROUP BY user_id)", "n", FX.DIST_BINS)
@@ -152,7 +152,7 @@ g AS (SELECT days_since_prior_order AS x,
              CASE WHEN order_number > 0 AND order_number <= 5 THEN '1-5'
                   WHEN order_number > 5 AND order_number <= 10 THEN '6-10'
                   WHEN order_number > 10 AND order_number <= 20 THEN '11-20'
-                  WHEN order_number > 20 AND order_number <= 100 THEN '21-100' END AS order_group
+                  WHEN order_number > 20 AND order_number <= 100 THEN '20+' END AS order_group
       FROM c_orders WHERE days_since_prior_order IS NOT NULL)""", sql="""
 SELECT order_group, min(x) AS min, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
        quantile_cont(x, 0.75) AS q3, max(x) AS max

@@ -55,7 +55,7 @@ def _scaler(c):
 def _model(c, kind):
     def build():
         model = M.fit(kind, _train(c), FEATURES, _scaler(c))
-        path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/models/{kind}"
+        path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/models/{kind}-{uuid.uuid4().hex}"     # one folder for each fit
         M.save(model, path)
         return path, model
     return _memo(c, ("ml_model", kind), build)
@@ -98,9 +98,9 @@ def _impute(c):
 
 @query("variance_kbest", "M5", ctes=CANDS, sql="""
 SELECT feature, var_samp(value) AS variance FROM lf WHERE split = 'train'
-GROUP BY feature ORDER BY variance DESC NULLS LAST, feature LIMIT 20""")
+GROUP BY feature ORDER BY variance DESC NULLS LAST, feature LIMIT 100""")
 def _kbest(c):
-    return M.variance_kbest(_train(c), FEATURES, 20)
+    return M.variance_kbest(_train(c), FEATURES)
 
 
 @query("target_correlation", "M7,T7", ctes=CANDS, sql="""

@@ -39,7 +39,7 @@ SELECT order_id, user_id, eval_set, order_number,
        CASE WHEN order_number > 0 AND order_number <= 5 THEN '1-5'
             WHEN order_number > 5 AND order_number <= 10 THEN '6-10'
             WHEN order_number > 10 AND order_number <= 20 THEN '11-20'
-            WHEN order_number > 20 AND order_number <= 100 THEN '21-100' END AS order_group,
+            WHEN order_number > 20 AND order_number <= 100 THEN '20+' END AS order_group,
        CAST(DATE '2023-01-01' + CAST(order_id % 365 AS INTEGER) AS DATE) AS order_date
 FROM c_orders""")
 def _orders_enriched(c):

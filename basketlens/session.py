@@ -44,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring the context if needed.
 
     Order: the context's own dir, then ``spark.checkpoint.dir``; a local-mode
-    session with neither gets a fresh /tmp folder, a cluster session falls back
-    to ``<warehouse>/_checkpoints`` (shared storage), never a local disk.
+    session with neither gets a fresh /tmp folder.  A cluster session must name
+    a folder that all executors share: the warehouse's default and /tmp are
+    folders of one machine, so there is no fallback.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,8 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.master.startswith("local"):
             target = tempfile.mkdtemp(prefix="basketlens-ckpt-", dir="/tmp")
         else:
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            target = wh.rstrip("/") + "/_checkpoints"
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 

@@ -26,6 +26,8 @@ queries.
 
 from __future__ import annotations
 
+import uuid
+
 import hashlib
 from dataclasses import dataclass, field
 
@@ -255,7 +257,7 @@ def canon_from_tables(spark: SparkSession, tables: dict[str, DataFrame], name: s
     are tagged with their eval set, joined once with their order and staged
     like the derived tables.  ``reordered`` is taken as given."""
     ensure_checkpoint_dir(spark)
-    c = Canon(spark, f"{name}:{id(tables)}")
+    c = Canon(spark, f"{name}:{uuid.uuid4().hex}")
     orders = tables["orders"].select(
         F.col("order_id").cast("long"), F.col("user_id").cast("long"), F.col("eval_set").cast("string"),
         *[F.col(x).cast("int") for x in ("order_number", "order_dow", "order_hour_of_day")],

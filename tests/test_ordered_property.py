@@ -36,3 +36,18 @@ def test_ordered_scan_equals_windows(spark, n, n_keys, parts, null_keys, descend
     assert (a["rn"].to_numpy() == b["rn"].to_numpy()).all()
     assert (a["cs"].to_numpy() == b["cs"].to_numpy()).all()
     assert a["prev"].fillna(-1).astype("int64").equals(b["prev"].fillna(-1).astype("int64"))
+
+
+def test_exact_for_large_ids_and_nulls(spark):
+    """Ids, payloads, sums and lags above 2^53, with nulls beside them, stay exact."""
+    from basketlens.operators.ordered import ordered_scan
+    big = 2**53
+    rows = [(big, 1, big + 3, 1), (big + 1, 1, None, big + 1), (big + 1, 2, 2**62 + 1, None), (None, 1, 7, 5),
+            (None, 2, None, 6), (2**63 - 1, 1, -2**63, 1), (2**63 - 1, 2, 2**63 - 1, 2)]
+    df = spark.createDataFrame(rows, "k long, o long, v long, s long")
+    got = {(r["k"], r["o"]): (r["v"], r["seq"], r["run"], r["prev"]) for r in
+           ordered_scan(df, ["k"], ["o"], sums={"run": "s"}, lags={"prev": "v"}).collect()}
+    assert got == {
+        (big, 1): (big + 3, 1, 1, None), (big + 1, 1): (None, 1, big + 1, None), (big + 1, 2): (2**62 + 1, 2, big + 1, None),
+        (None, 1): (7, 1, 5, None), (None, 2): (None, 2, 11, 7),
+        (2**63 - 1, 1): (-2**63, 1, 1, None), (2**63 - 1, 2): (2**63 - 1, 2, 3, -2**63)}

@@ -12,7 +12,7 @@ def _one(spark, expr, values, typ="double"):
 
 def test_order_group_outside_bins_is_null(spark):
     assert _one(spark, S.order_group, [0, 5, 6, 20, 21, 100, 101], "int") == \
-        [None, "1-5", "6-10", "11-20", "21-100", "21-100", None]
+        [None, "1-5", "6-10", "11-20", "20+", "20+", None]
 
 
 def test_frequency_bins_left_closed_and_100_null(spark):
