@@ -1,6 +1,8 @@
 """ML queries: M1-M20, E13, E15, W7 on model scores.  Statistics have DuckDB
 twins; trained-model outputs are checked by row count and properties."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
