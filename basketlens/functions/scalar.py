@@ -121,12 +121,6 @@ def unit_hash(key: Column, seed: int) -> Column:
     return key_hash(key, seed) / F.lit(float(HASH_MODULUS))
 
 
-def demo_score(user_id: Column, product_id: Column) -> Column:
-    """Deterministic stand-in score for ranking evaluation when no model is
-    given: ((user*31 + product*17) mod 1000) / 1000."""
-    return ((user_id * 31 + product_id * 17) % 1000) / F.lit(1000.0)
-
-
 def safe_div(num: Column, den: Column) -> Column:
     """x / 0 -> null instead of an ANSI error."""
     return F.try_divide(num.cast("double"), den.cast("double"))

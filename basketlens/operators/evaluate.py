@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from basketlens.functions import fixed as FX
 from basketlens.functions import scalar as S
 from basketlens.operators.common import side_by_side, with_scalars
+from basketlens.operators.features import user_product_features
 from basketlens.operators.kpi import one_row
 from basketlens.operators.ordered import ordered_scan
 
@@ -270,16 +271,17 @@ def confusion_and_drift(scores: DataFrame, group_col: str, expected: str, actual
     return side_by_side(cl, psi)
 
 
-def candidate_pairs(basket: DataFrame) -> DataFrame:
-    """Evaluation candidates: every prior (user, product) pair of a user with
-    a train order; label 1 when the product is in that order."""
-    prior = basket.where(F.col("eval_set") == "prior").select("user_id", F.col("product_id").alias("item_id"))
-    train = basket.where(F.col("eval_set") == "train").select("user_id", F.col("product_id").alias("item_id"))
-    pairs = prior.distinct().join(train.select("user_id").distinct(), "user_id", "left_semi")
-    return (pairs.join(train.withColumn("label", F.lit(1)), ["user_id", "item_id"], "left")
-            .withColumn("label", F.coalesce(F.col("label"), F.lit(0))))
+def history_scores(orders: DataFrame, basket: DataFrame) -> DataFrame:
+    """(user_id, item_id, score) of every prior pair of every user: the share
+    of the user's prior orders that hold the product."""
+    return user_product_features(orders, basket).select(
+        "user_id", F.col("product_id").alias("item_id"), F.col("up_order_rate").alias("score"))
 
 
-def demo_scores(basket: DataFrame) -> DataFrame:
-    """Candidates scored by the deterministic stand-in model."""
-    return candidate_pairs(basket).withColumn("score", S.demo_score(F.col("user_id"), F.col("item_id")))
+def labelled_scores(orders: DataFrame, basket: DataFrame) -> DataFrame:
+    """Evaluation rows: the scored pairs of users with a train order; label 1
+    when the product is in that order."""
+    train = basket.where(F.col("eval_set") == "train").select("user_id", F.col("product_id").alias("item_id"))
+    pairs = history_scores(orders, basket).join(train.select("user_id").distinct(), "user_id", "left_semi")
+    return (pairs.join(train.distinct().withColumn("label", F.lit(1)), ["user_id", "item_id"], "left")
+            .withColumn("label", F.coalesce(F.col("label"), F.lit(0))))

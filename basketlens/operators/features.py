@@ -199,6 +199,19 @@ def training_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> D
     return fill_numeric(out, 0)
 
 
+def _with_features(pairs: DataFrame, orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
+    uf = user_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_x")
+    pf = product_features(basket, products)
+    return fill_numeric(pairs.join(uf, "user_id", "left").join(pf, "product_id", "left"), 0)
+
+
+def candidate_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
+    """Scoring candidates: every prior (user, product) pair of every user,
+    with the 30 features and no label."""
+    up = user_product_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_y")
+    return _with_features(up, orders, basket, products)
+
+
 def candidate_training_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
     """Leakage-free variant (our default for models): every prior (user,
     product) pair of a user who has a train order; label 1 when the product
@@ -209,10 +222,7 @@ def candidate_training_set(orders: DataFrame, basket: DataFrame, products: DataF
     cands = up.join(train_users, "user_id", "left_semi")  # J11
     labelled = (cands.join(train_lines.withColumn(LABEL, F.lit(1)), KEYS, "left")
                 .withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(0))))
-    uf = user_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_x")
-    pf = product_features(basket, products)
-    out = labelled.join(uf, "user_id", "left").join(pf, "product_id", "left")
-    return fill_numeric(out, 0)
+    return _with_features(labelled, orders, basket, products)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -1,4 +1,4 @@
-"""Evaluation: E1-E14, E16, E17, W4, W7, A35, A36, M20 (deterministic scorer)."""
+"""Evaluation: E1-E14, E16, E17, W4, W7, A35, A36, M20 (scores: up_order_rate)."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,16 @@ from basketlens.plans.evaluate_helpers import demo_predictions, demo_summary
 
 KS = E.KS
 
+#: Scores of all users with a history (hs) and of the evaluation pairs with their label (sc).
 SCORES = """
-trl AS (SELECT user_id, product_id FROM c_basket WHERE eval_set = 'train'),
-evp AS (SELECT DISTINCT user_id, product_id FROM c_basket
-        WHERE eval_set = 'prior' AND user_id IN (SELECT user_id FROM trl)),
-sc AS (SELECT p.user_id, p.product_id AS item_id, CASE WHEN t.product_id IS NULL THEN 0 ELSE 1 END AS label,
-              CAST((p.user_id * 31 + p.product_id * 17) % 1000 AS DOUBLE) / 1000.0 AS score
-       FROM evp p LEFT JOIN trl t ON p.user_id = t.user_id AND p.product_id = t.product_id)"""
+trl AS (SELECT DISTINCT user_id, product_id FROM c_basket WHERE eval_set = 'train'),
+hs AS (SELECT h.user_id, h.product_id AS item_id, h.n / t.n AS score
+       FROM (SELECT user_id, product_id, count(order_id) AS n FROM c_basket WHERE eval_set = 'prior' GROUP BY ALL) h
+       JOIN (SELECT user_id, count(*) AS n FROM c_orders WHERE eval_set = 'prior' GROUP BY user_id) t
+         ON h.user_id = t.user_id),
+sc AS (SELECT h.user_id, h.item_id, CASE WHEN t.product_id IS NULL THEN 0 ELSE 1 END AS label, h.score
+       FROM hs h LEFT JOIN trl t ON h.user_id = t.user_id AND h.item_id = t.product_id
+       WHERE h.user_id IN (SELECT user_id FROM trl))"""
 
 
 def eval_ctes(src: str, key: str, tag: str) -> str:
@@ -69,13 +72,13 @@ def eval_ctes(src: str, key: str, tag: str) -> str:
 
 @query("eval_scores", "E10 input", ctes=SCORES, sql="SELECT * FROM sc")
 def _scores(c):
-    return E.demo_scores(c.basket)
+    return E.labelled_scores(c.orders, c.basket)
 
 
 @query("per_user_evaluation", "E1-E8,E10", ctes=SCORES + "," + eval_ctes("sc", "user_id", "ev"),
        sql="SELECT * FROM ev")
 def _per_user(c):
-    return E.evaluate(E.demo_scores(c.basket), ["user_id"])
+    return E.evaluate(E.labelled_scores(c.orders, c.basket), ["user_id"])
 
 
 def _global_select(tag: str) -> str:
@@ -94,14 +97,14 @@ scg AS (SELECT 0 AS g, user_id, score, label,
 
 @query("global_evaluation", "E11", ctes=GLOBAL, sql=_global_select("gl"))
 def _global(c):
-    return E.global_evaluation(E.demo_scores(c.basket))
+    return E.global_evaluation(E.labelled_scores(c.orders, c.basket))
 
 
 @query("global_precision_recall_at_k", "E12", ctes=GLOBAL, sql=" UNION ALL ".join(
     f"SELECT {k} AS k, precision_at_{k} AS precision, recall_at_{k} AS recall FROM gl WHERE n_rows >= {k}"
     for k in (10, 20, 50)))
 def _global_pr(c):
-    return E.global_precision_recall_at_k(E.demo_scores(c.basket))
+    return E.global_precision_recall_at_k(E.labelled_scores(c.orders, c.basket))
 
 
 @query("coverage_at_k", "E9,U4,T10", ctes=SCORES + """,
@@ -111,7 +114,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ite
            f"count(DISTINCT item_id) / (SELECT count(*) FROM c_products) AS coverage FROM r WHERE rn <= {k}"
            for k in KS))
 def _coverage(c):
-    return E.coverage_at_k(E.demo_scores(c.basket), c.products)
+    return E.coverage_at_k(E.labelled_scores(c.orders, c.basket), c.products)
 
 
 RECS = SCORES + """,
@@ -119,12 +122,12 @@ recs AS (SELECT user_id, item_id AS product_id, score AS reorder_probability,
                 CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS reorder_prediction,
                 CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.6 THEN 'medium' ELSE 'low' END AS confidence,
                 CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
-         FROM sc QUALIFY rank <= 10)"""
+         FROM hs QUALIFY rank <= 10)"""
 
 
 @query("recommendations", "W7,P18,M19,T10", ctes=RECS, sql="SELECT * FROM recs")
 def _recs(c):
-    return E.recommend(E.demo_scores(c.basket), 10)
+    return E.recommend(E.history_scores(c.orders, c.basket), 10)
 
 
 @query("recommendations_per_department", "A35,P24", ctes=RECS, sql="""
@@ -132,7 +135,7 @@ SELECT coalesce(d.department, 'Unknown') AS department, count(*) AS recommendati
 LEFT JOIN c_products p ON r.product_id = p.product_id
 LEFT JOIN c_departments d ON p.department_id = d.department_id GROUP BY 1""")
 def _recs_dept(c):
-    return E.recommendations_per_department(E.recommend(E.demo_scores(c.basket), 10), c.products, c.departments)
+    return E.recommendations_per_department(E.recommend(E.history_scores(c.orders, c.basket), 10), c.products, c.departments)
 
 
 @query("business_metrics", "E14,J12", ctes=RECS + """,
@@ -148,7 +151,7 @@ SELECT (SELECT s FROM pv) AS predicted_revenue, (SELECT s FROM av) AS actual_rev
        (SELECT avg(n) FROM (SELECT order_id, count(*) AS n FROM pred GROUP BY order_id)) AS avg_predicted_basket_size,
        (SELECT avg(n) FROM (SELECT order_id, count(*) AS n FROM act GROUP BY order_id)) AS avg_actual_basket_size""")
 def _business(c):
-    recs = E.recommend(E.demo_scores(c.basket), 10)
+    recs = E.recommend(E.history_scores(c.orders, c.basket), 10)
     train = c.basket.where(F.col("eval_set") == "train")
     orders = train.select("user_id", "order_id").distinct()
     pred = recs.join(orders, "user_id", "inner").select("order_id", "product_id")
@@ -156,7 +159,7 @@ def _business(c):
 
 
 def _segmented(c) -> DataFrame:
-    s = E.demo_scores(c.basket)
+    s = E.labelled_scores(c.orders, c.basket)
     prior_orders = c.orders.where(F.col("eval_set") == "prior").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("__n"))
     train_orders = c.orders.where(F.col("eval_set") == "train").select("user_id", "order_dow")
@@ -184,8 +187,9 @@ seg AS (
 @query("segment_metrics", "E16", ctes=SEGMENTED + "," + eval_ctes("seg", "segment", "sg"), sql="""
 SELECT segment, n_rows, n_pos, accuracy, auc_roc FROM sg""")
 def _segments(c):
-    ev = E.evaluate(_segmented(c), ["segment"])
-    return ev.select("segment", "n_rows", "n_pos", "accuracy", "auc_roc")
+    s = _segmented(c)
+    return (E.rank_stats(s, ["segment"]).join(E.classification(s, ["segment"]), "segment")
+            .select("segment", "n_rows", "n_pos", "accuracy", "auc_roc"))
 
 
 @query("error_breakdown", "E17", ctes=SCORES + f""",
@@ -200,7 +204,7 @@ SELECT CAST(sum(pred * label) AS BIGINT) AS tp, CAST(sum(pred * (1 - label)) AS
        CAST(sum((1 - pred) * label) AS BIGINT) AS fn, CAST(sum((1 - pred) * (1 - label)) AS BIGINT) AS tn, (SELECT sum((a - e) * ln(a / e)) FROM sh) AS psi
 FROM (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM sc)""")
 def _errors(c):
-    s = E.demo_scores(c.basket).withColumn(
+    s = E.labelled_scores(c.orders, c.basket).withColumn(
         "split", F.when(S.key_hash(F.col("user_id"), 7) < 0.8 * S.HASH_MODULUS, "train").otherwise("test"))
     return E.confusion_and_drift(s, "split", "train", "test")
 
@@ -215,25 +219,25 @@ demo AS (SELECT user_id, item_id AS product_id, label AS actual_reordered,
 
 @query("demo_predictions", "M20,S13", ctes=DEMO, sql="SELECT * FROM demo")
 def _demo(c):
-    return demo_predictions(E.demo_scores(c.basket))
+    return demo_predictions(E.labelled_scores(c.orders, c.basket))
 
 
 @query("demo_prediction_summary", "A36", ctes=DEMO, sql="""
 SELECT count(*) AS rows, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
        avg(prediction_correct) AS accuracy FROM demo""")
 def _demo_summary(c):
-    return demo_summary(demo_predictions(E.demo_scores(c.basket)))
+    return demo_summary(demo_predictions(E.labelled_scores(c.orders, c.basket)))
 
 
-SCORERS = {"hash_baseline": "CAST((x.user_id * 31 + x.product_id * 17) % 1000 AS DOUBLE) / 1000.0",
-           "pair_order_rate": "x.up_order_rate", "product_reorder_rate": "x.product_reorder_rate"}
+SCORERS = {"pair_reorder_rate": "x.up_reorder_rate", "pair_order_rate": "x.up_order_rate",
+            "product_reorder_rate": "x.product_reorder_rate"}
 
 
 def _scorer_frames(c) -> dict[str, DataFrame]:
     cands = FT.candidate_training_set(c.orders, c.basket, c.products)
     base = cands.select("user_id", F.col("product_id").alias("item_id"), F.col("reordered").alias("label"),
-                        "up_order_rate", "product_reorder_rate")
-    return {"hash_baseline": base.withColumn("score", S.demo_score(F.col("user_id"), F.col("item_id"))),
+                        "up_reorder_rate", "up_order_rate", "product_reorder_rate")
+    return {"pair_reorder_rate": base.withColumn("score", F.col("up_reorder_rate")),
             "pair_order_rate": base.withColumn("score", F.col("up_order_rate")),
             "product_reorder_rate": base.withColumn("score", F.col("product_reorder_rate"))}
 

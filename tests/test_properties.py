@@ -54,7 +54,7 @@ def _plan(df):
 
 
 def test_top_k_is_partially_limited_before_shuffle(spark, canon_small):
-    recs = E.recommend(E.demo_scores(canon_small.basket), 10)
+    recs = E.recommend(E.history_scores(canon_small.orders, canon_small.basket), 10)
     plan = recs._jdf.queryExecution().executedPlan().toString()
     recs.count()
     final = recs._jdf.queryExecution().executedPlan().toString()
