@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from basketlens.llm.common import Words, ragged
+from basketlens.llm.common import Words, held, ragged
 
 #: Distinct pieces of which a worker remembers the ids; beyond it a piece is simply encoded again.
 MEMO_PIECES = 500_000
@@ -142,10 +142,5 @@ class Encoder:
         return ids, per_row
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return held(("bpe", path), lambda: Encoder(path))

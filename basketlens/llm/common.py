@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -67,18 +69,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_HELD: dict[tuple, Any] = {}
+
+
+def release() -> None:
+    """Give memory that a worker no longer needs back to its machine."""
+    gc.collect()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def held(key: tuple, build: Callable[[], Any]) -> Any:
+    """What a worker keeps from one task to the next (a vocabulary, an automaton).
+
+    One thing at a time: Spark uses its workers for all stages, and what each
+    operator of a chain holds would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def hold_nothing() -> None:
+    """For operators that keep nothing: drops what the one before them kept."""
+    held((), object)
+
+
+def split(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch that hold at most STEP_BYTES of ``col`` (one row at least)."""
+    if batch.num_rows == 0:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(col))), 0)
+    end = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + STEP_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def steps(batches: Iterator[pa.RecordBatch], col: str = "text") -> Iterator[pa.RecordBatch]:
-    """Split Arrow batches so that each holds at most STEP_BYTES of ``col`` (one row at least)."""
+    """The parts of all batches of a task, whose memory is given back at its end."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(col))), 0)
-        end = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + STEP_BYTES, "right")))
-            yield batch.slice(i, j - i)
-            i = j
+        yield from split(batch, col)
+    release()
 
 
 class Words:

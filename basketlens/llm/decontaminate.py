@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from basketlens.llm.common import run_list, stage, steps, text_bytes
+from basketlens.llm.common import held, run_list, stage, steps, text_bytes
 
 WINDOW = 10
 #: Words of benchmark items in one automaton (about 400 bytes a word in a task).
@@ -164,15 +164,9 @@ def groups(benchmark: DataFrame, id_col: str, text_col: str, group_words: int) -
     return out
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
 def _built(key: str, shared, window: int) -> Automaton:
-    """A worker keeps one automaton: that of the group it works on."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(shared.value, window)
-    return _BUILT[key]
+    """The automaton of the group that a worker works on."""
+    return held(("automaton", key), lambda: Automaton(shared.value, window))
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

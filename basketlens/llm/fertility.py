@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from basketlens.llm.common import Words, mix64, ragged, steps, text_bytes
+from basketlens.llm.common import Words, held, mix64, ragged, steps, text_bytes
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -74,13 +74,8 @@ class _Pieces:
         return out
 
 
-_LOADED: dict[str, _Pieces] = {}
-
-
 def _pieces(path: str) -> _Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = _Pieces(path)
-    return _LOADED[path]
+    return held(("pieces", path), lambda: _Pieces(path))
 
 
 def _repeat_words(words: Words) -> np.ndarray:

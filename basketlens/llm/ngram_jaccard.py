@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import GOLDEN, Words, drop_staged, mix64, one_row_per_id, ragged, stage, steps
+from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix64, one_row_per_id, ragged, split, stage, steps
 
 #: Size bands grow by two steps of the size ratio that links allow.
 BAND_STEPS = 2
@@ -138,6 +138,7 @@ def _bit_sketch(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Per document: id, size, fingerprint (fp1, fp2), kept part keys, bit sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for b in steps(batches):
             sets, sizes = shingle_sets(b.column("text"), n)
             start = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -221,7 +222,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     """The pairs (a, b) whose exact shingle sets reach num / den: both texts meet in one row, sets are compared there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for outer in steps(batches, "ta"):
-            for b in steps(iter([outer]), "tb"):
+            for b in split(outer, "tb"):
                 linked = _differences(b.column("ta"), b.column("tb"), n, num, den)[1]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(linked))
 
@@ -232,7 +233,7 @@ def _against_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: in
     """For documents a and pivots b: linked, set sizes, and the shingles x that one of the two lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for outer in steps(batches, "ta"):
-            for b in steps(iter([outer]), "tb"):
+            for b in split(outer, "tb"):
                 size, linked, x, row = _differences(b.column("ta"), b.column("tb"), n, num, den)
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([

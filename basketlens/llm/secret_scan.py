@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from basketlens.llm.common import steps, text_bytes
+from basketlens.llm.common import hold_nothing, steps, text_bytes
 
 #: Pattern, group whose length counts, least length.
 PATTERNS = {
@@ -154,6 +154,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(docs[id_col].alias("__id"), text_bytes(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for b in steps(batches, "__text"):
             rows = [scan(t)[:5] for t in _texts(b.column("__text"))]
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.string()] * 2)]
@@ -185,6 +186,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", leng
         return "".join(out) + text[done:] if out else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for b in steps(batches, f"c{at}"):
             old = b.column(at).to_pylist()
             new = [clean(t) for t in old]
