@@ -63,6 +63,11 @@ def _model(c, kind):
     return _memo(c, ("ml_model", kind), build)
 
 
+def _candidates(c) -> DataFrame:
+    """Scoring candidates of every user with a history."""
+    return _memo(c, "ml_candidates", lambda: FT.candidate_set(c.orders, c.basket, c.products).checkpoint(eager=True))
+
+
 def _scores(c, kind, side="test"):
     _, model = _model(c, kind)
     data = _test(c) if side == "test" else _train(c)
@@ -200,7 +205,9 @@ def _trained_cmp(c):
 
 @query("model_recommendations", "W7,M19")
 def _model_recs(c):
-    return E.recommend(M.as_eval(_scores(c, "gbt")), 10)
+    _, model = _model(c, "gbt")
+    unlabelled = _candidates(c).withColumn(M.LABEL, F.lit(None).cast("int"))
+    return E.recommend(M.as_eval(M.score(model, unlabelled, FEATURES)), 10)
 
 
 @query("model_demo_predictions", "M20")
@@ -212,8 +219,7 @@ def _model_demo(c):
 def _stream(c):
     from basketlens.streaming.scoring import run_scoring
     _, model = _model(c, "gbt")
-    features = _split(c).drop("reordered", "split")
-    sink = run_scoring(c.spark, c.sf_dir, features, model, FEATURES, k=5)
+    sink = run_scoring(c.spark, c.sf_dir, _candidates(c), model, FEATURES, k=5)
     return c.spark.read.parquet(sink)
 
 

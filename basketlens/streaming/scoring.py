@@ -1,14 +1,16 @@
 """The request-scoring service re-aimed as a Structured Streaming job.
 
-Each incoming event is a scoring request for its user.  The job is
-stateless: a stream-static equi-join attaches the user's candidate feature
-rows (the static side is the feature table), the fitted ``PipelineModel``
-scores them (M18 contract + M19), and every micro-batch keeps the top-k
-products per request and appends them to a parquet sink.  The sink write is
-keyed by batch id (overwrite of that batch's partition), so a replayed batch
-after a failure rewrites the same rows: exactly-once output on a
-checkpointed query.  ``trigger(availableNow=True)`` drains what is there and
-stops, which is how the batch-of-files tests and the bench drive it.
+Each incoming event is a scoring request for its user.  The fitted
+``PipelineModel`` scores every candidate once (M18 contract + M19) and the
+top-k products of each user are written to the shared folder.  The job is
+stateless: each micro-batch left-joins its requests to that table on the user
+and appends the answers to a parquet sink, so a user with many requests costs
+k rows a request, not a scoring each.  A user without candidates gets one row
+with ``answered`` false and null product columns: every request has an answer.
+The sink write is keyed by batch id (overwrite of that batch's partition), so
+a replayed batch after a failure rewrites the same rows: exactly-once output
+on a checkpointed query.  ``trigger(availableNow=True)`` drains what is there
+and stops, which is how the batch-of-files tests and the bench drive it.
 """
 
 from __future__ import annotations
@@ -16,13 +18,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.functions import scalar as S
-from basketlens.operators.models import check_contract
+from basketlens.operators.evaluate import recommend
+from basketlens.operators.models import LABEL, as_eval, score
 from basketlens.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = T.StructType([
@@ -38,20 +39,16 @@ def request_stream(spark: SparkSession, source_dir: str, pattern: str = "events.
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
 
 
-def score_requests(requests: DataFrame, features: DataFrame, model: PipelineModel, cols) -> DataFrame:
-    """Stream-static join + model: one row per (request, candidate product)."""
-    joined = requests.select("event_id", "ts", "user_id").join(features, "user_id", "inner")
-    scored = model.transform(check_contract(joined, cols))
-    prob = vector_to_array(F.col("probability"))[1]
-    return scored.select("event_id", "ts", "user_id", "product_id", prob.alias("reorder_probability"))
+def top_k_per_user(features: DataFrame, model: PipelineModel, cols, k: int) -> DataFrame:
+    """Every candidate scored once; the k best products of each user."""
+    return recommend(as_eval(score(model, features.withColumn(LABEL, F.lit(None).cast("int")), cols)), k)
 
 
-def top_k_per_request(batch: DataFrame, k: int) -> DataFrame:
-    """W7 inside a micro-batch (a static frame): k best products per event."""
-    w = Window.partitionBy("event_id").orderBy(F.desc("reorder_probability"), F.asc("product_id"))
-    return (batch.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("reorder_prediction", (F.col("reorder_probability") >= S.THRESHOLD).cast("int"))
-            .withColumn("confidence", S.confidence_band(F.col("reorder_probability"))))
+def answer_requests(requests: DataFrame, top: DataFrame) -> DataFrame:
+    """The requests (a static frame) with the products of their user; one row
+    with ``answered`` false where the user is null or has none."""
+    return (requests.select("event_id", "ts", "user_id").join(top, "user_id", "left")
+            .withColumn("answered", F.col("product_id").isNotNull()))
 
 
 def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model: PipelineModel, cols,
@@ -63,14 +60,16 @@ def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model
     resumes from its checkpoint (already processed files are skipped)."""
     root = root or ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/scoring-{uuid.uuid4().hex}"
     sink = out_dir or root + "/out"
-    scored = score_requests(request_stream(spark, source_dir, pattern), features, model, cols)
+    answers = f"{root}/top-{uuid.uuid4().hex}"        # a run that resumes scores today's candidates anew
+    top_k_per_user(features, model, cols, k).write.parquet(answers)
+    top = spark.read.parquet(answers)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (top_k_per_request(batch, k).withColumn("batch_id", F.lit(batch_id))
+        (answer_requests(batch, top).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink))
 
-    q = (scored.writeStream.foreachBatch(write_batch)
+    q = (request_stream(spark, source_dir, pattern).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", root + "/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -10,8 +10,8 @@ COLS = ["f1", "f2"]
 
 def test_stream_scoring(spark, tmp_path):
     src = tmp_path / "src"
-    ev = pd.DataFrame({"event_id": [1, 2, 3], "ts": pd.to_datetime(["2024-01-01"] * 3),
-                       "user_id": [1, 1, 2], "event_type": ["view"] * 3, "value": [1.0] * 3, "props": ["{}"] * 3})
+    ev = pd.DataFrame({"event_id": [1, 2, 3, 4], "ts": pd.to_datetime(["2024-01-01"] * 4),
+                       "user_id": [1, 1, 2, 99], "event_type": ["view"] * 4, "value": [1.0] * 4, "props": ["{}"] * 4})
     spark.createDataFrame(ev).write.parquet(str(src / "part"))
     feats = spark.createDataFrame([(1, 10, 0.1, 1.0, 1), (1, 11, 0.9, 0.0, 0), (1, 12, 0.5, 0.5, 1),
                                    (2, 20, 0.3, 0.2, 0), (2, 21, 0.8, 0.1, 1)],
@@ -20,8 +20,10 @@ def test_stream_scoring(spark, tmp_path):
     sink = run_scoring(spark, str(src / "part"), feats.drop("reordered"), model, COLS, k=2, pattern="*.parquet")
     out = spark.read.parquet(sink).toPandas()
     sizes = out.groupby("event_id").size().to_dict()
-    assert sizes == {1: 2, 2: 2, 3: 2}
-    assert out["reorder_probability"].between(0, 1).all()
+    assert sizes == {1: 2, 2: 2, 3: 2, 4: 1}           # a user without candidates gets an explicit empty answer
+    answered = out[out["answered"]]
+    assert set(answered["event_id"]) == {1, 2, 3} and out[~out["answered"]]["product_id"].isna().all()
+    assert answered["reorder_probability"].between(0, 1).all()
 
 
 def test_stream_restart_does_not_duplicate(spark, tmp_path):
