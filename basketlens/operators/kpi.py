@@ -110,17 +110,22 @@ def gap_stats(orders: DataFrame) -> DataFrame:
         mode_by(gaps, [], "days_since_prior_order", "mode_gap"))
 
 
+def customer_reorder_table(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Per user the number of lines, of reorders and the rate (rounded half-even to 3 as the reference)."""
+    return (items.join(orders.select("order_id", "user_id"), "order_id", "inner").groupBy("user_id")
+            .agg(F.count("reordered").alias("total_products"),
+                 F.sum("reordered").cast("long").alias("reordered_products"),
+                 F.bround(F.avg("reordered"), S.RATE_DECIMALS).alias("reorder_rate")))
+
+
 def customer_reorder_stats(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Per-user reorder rate (rounded half-even to 3 as the reference),
-    then mean and counts above 0.8 / below 0.3."""
-    per_user = (items.join(orders.select("order_id", "user_id"), "order_id", "inner")
-                .groupBy("user_id")
-                .agg(F.bround(F.avg("reordered"), S.RATE_DECIMALS).alias("rate")))
-    return per_user.agg(
+    """A19 headline: mean of the users' reorder rates and counts above 0.8 / below 0.3."""
+    rate = F.col("reorder_rate")
+    return customer_reorder_table(orders, items).agg(
         F.count(F.lit(1)).alias("customers"),
-        F.avg("rate").alias("avg_reorder_rate"),
-        F.count_if(F.col("rate") > S.HIGH_REORDER_RATE).alias("customers_high"),
-        F.count_if(F.col("rate") < S.LOW_REORDER_RATE).alias("customers_low"))
+        F.avg(rate).alias("avg_reorder_rate"),
+        F.count_if(rate > S.HIGH_REORDER_RATE).alias("customers_high"),
+        F.count_if(rate < S.LOW_REORDER_RATE).alias("customers_low"))
 
 
 def product_stats(items: DataFrame, products: DataFrame) -> DataFrame:

@@ -29,12 +29,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def table_summary(name: str, df: DataFrame) -> DataFrame:
-    """Q1: rows, columns, total nulls, duplicate rows."""
+    """Q1 / Q5: rows, columns, total nulls and their % of all cells (null for an empty table), duplicate rows."""
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     base = df.agg(F.count(F.lit(1)).alias("rows"), nulls.cast("long").alias("total_nulls"))
     return (side_by_side(base, duplicate_rows(df))
             .select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("cols"),
-                    "total_nulls", "duplicate_rows"))
+                    "total_nulls", S.safe_div(F.col("total_nulls") * 100.0, F.col("rows") * len(df.columns))
+                    .alias("null_pct"), "duplicate_rows"))
 
 
 def column_profile(name: str, df: DataFrame) -> DataFrame:

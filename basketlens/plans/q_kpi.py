@@ -124,6 +124,14 @@ def _customer_reorder_stats(c):
     return kpi.customer_reorder_stats(c.orders, _items(c))
 
 
+@query("customer_reorder_table", "A19", ctes=ALL_ITEMS, sql="""
+SELECT o.user_id, count(ai.reordered) AS total_products, CAST(sum(ai.reordered) AS BIGINT) AS reordered_products,
+       round_even(avg(ai.reordered), 3) AS reorder_rate
+FROM ai JOIN c_orders o ON ai.order_id = o.order_id GROUP BY o.user_id""")
+def _customer_reorder_table(c):
+    return kpi.customer_reorder_table(c.orders, _items(c))
+
+
 @query("product_stats", "A20", ctes=PSTATS, sql="SELECT * FROM pstats")
 def _product_stats(c):
     return kpi.product_stats(_items(c), c.products)

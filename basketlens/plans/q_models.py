@@ -10,6 +10,7 @@ from basketlens.functions.scalar import key_hash_sql
 from basketlens.operators import evaluate as E
 from basketlens.operators import features as FT
 from basketlens.operators import models as M
+from basketlens.operators import quality as Q
 from basketlens.plans import q_features
 from basketlens.plans.evaluate_helpers import demo_predictions
 from basketlens.plans.registry import query
@@ -74,6 +75,15 @@ def _scores(c, kind, side="test"):
     return _memo(c, ("ml_scores", kind, side), lambda: M.score(model, data, FEATURES).checkpoint(eager=True))
 
 
+@query("final_dataset_nulls", "Q13", ctes=q_features.NB + ",\nfinal AS (" + q_features.TRAINING_SQL + ")",
+       sql="\nUNION ALL\n".join(
+           f"SELECT 'final' AS \"table\", '{n}' AS \"column\", count(*) FILTER (WHERE {n} IS NULL) AS nulls, "
+           f"count(*) FILTER (WHERE {n} IS NULL) * 100.0 / count(*) AS null_pct FROM final"
+           for n in ("user_id", "product_id", "reordered", *FEATURES)))
+def _final_nulls(c):
+    return Q.column_profile("final", FT.training_set(c.orders, c.basket, c.products)).drop("dtype")
+
+
 @query("user_split", "M2,J11,T15", ctes=CANDS, sql="""
 SELECT split, count(*) AS rows, count(DISTINCT user_id) AS users, avg(reordered) AS positive_rate
 FROM spl GROUP BY split""")

@@ -37,11 +37,12 @@ def _dup_sql(cte):
 _summary_sql = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS \"table\", count(*) AS rows, {len(cols)} AS cols, "
     f"CAST({' + '.join(f'count(*) FILTER (WHERE {n} IS NULL)' for n, _ in cols)} AS BIGINT) AS total_nulls, "
+    f"({' + '.join(f'count(*) FILTER (WHERE {n} IS NULL)' for n, _ in cols)}) * 100.0 / (count(*) * {len(cols)}) AS null_pct, "
     f"CAST({_dup_sql(cte)} AS BIGINT) AS duplicate_rows FROM {cte}"
     for t, (cte, cols) in TABLES.items())
 
 
-@query("table_summary", "Q1", sql=_summary_sql)
+@query("table_summary", "Q1,Q5", sql=_summary_sql)
 def _table_summary(c):
     return _union([Q.table_summary(n, df) for n, df in _frames(c).items()])
 
