@@ -165,10 +165,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): smallest id of each connected component of ``edges`` (a, b), for ids that have an edge.
 
     Alternating large-star and small-star steps; each step is one grouped
-    minimum and one join, staged in the shared folder.
+    minimum and one join, staged in the shared folder.  The graph has settled
+    when it is a forest of stars: every id points to one smaller id, which
+    points to none.
     """
+    def settled(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+            edges.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+            "up > 1 or up = 1 and down = 1").isEmpty()
+
     cur = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(max_rounds):
+        if settled(cur):
+            break
         both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours go to the least of the neighbourhood
@@ -180,11 +190,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         nxt = stage(small.where("a <> b").distinct(), "edges")
-        same = nxt.exceptAll(cur).isEmpty() and cur.exceptAll(nxt).isEmpty()
         drop_staged(cur)
         cur = nxt
-        if same:
-            break
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
