@@ -34,7 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix64, one_row_per_id, ragged, split, stage, steps
@@ -206,7 +206,8 @@ def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """Per pair of texts: both set sizes and whether they link; the shingles of one set only, with their rows."""
+    """Per pair of texts: both set sizes and whether they link; the shingles of one set only, with their rows: those of
+    the first set before those of the second, each by value."""
     a, a_n = shingle_sets(one, n)
     b, b_n = shingle_sets(two, n)
     row = np.concatenate([np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n)])
@@ -217,7 +218,9 @@ def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tu
     twice[1:-1] = (s[1:] == s[:-1]) & (r[1:] == r[:-1])
     common = np.bincount(r[twice[:-1]], minlength=len(a_n))
     alone = ~(twice[:-1] | twice[1:])
-    return np.stack([a_n, b_n]), common * den >= num * (a_n + b_n - common), s[alone], r[alone]
+    s, r, second = s[alone], r[alone], order[alone] >= len(a)
+    order = np.argsort(2 * r + second, kind="stable")
+    return np.stack([a_n, b_n]), common * den >= num * (a_n + b_n - common), s[order], r[order]
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,25 +260,26 @@ def _regroup(star: DataFrame, num: int, den: int) -> DataFrame:
     X and Y, the differences of two documents from the pivot, differ by as
     much as the documents do.  Where one of the two is not linked to the pivot,
     a link between them needs |X & Y| >= (|X| + |Y| - D) / 2 > 0, so both have a
-    common shingle among the first |X| - overlap + 1, rarest first (prefix
-    filter).  Two unlinked documents meet with side 0, an unlinked (2) and a
-    linked one (1) under keys of their own, with shorter prefixes.
+    common shingle among the first |X| - overlap + 1 (prefix filter, right for
+    any order that all documents of a pivot share).  Shingles that the pivot
+    lacks come first, as few documents have them in common; only the prefixes
+    are exploded.  Two unlinked documents meet with side 0, an unlinked (2) and
+    a linked one (1) under keys of their own, with shorter prefixes.
     """
     c, size = f"({den} - {num})", "size(x)"
     most = f"floor({c} * (n_a + floor(n_a * {den} / {num})) / ({den} + {num}))"          # D for any partner
-    least = f"floor({c} * (ceil(n_a * {num} / {den}) + n_b) / ({den} + {num})) + 1"      # |Y| of an unlinked partner
+    # |Y| of an unlinked partner: more than its D to the pivot, and at most D less than |X|
+    least = f"greatest(floor({c} * (ceil(n_a * {num} / {den}) + n_b) / ({den} + {num})) + 1, {size} - {most})"
     s = star.withColumns({
         "to_unlinked": F.expr(f"CASE WHEN linked THEN 0 ELSE {size} - greatest(1, ceil(({size} + {least} - {most}) / 2)) + 1 END"),
         "across": F.expr(f"CASE WHEN linked THEN {size} - floor(({size} + {c} * (n_b - n_a) / ({den} + {num})) / 2) "
                          f"ELSE {size} - greatest(1, {size} - {most}) + 1 END")})
-    e = s.select("a", "b", "linked", "to_unlinked", "across", F.explode("x").alias("e"))
-    often = e.groupBy("b", "e").agg(F.count("*").alias("f"))
-    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
-    e = e.join(often, ["b", "e"]).withColumn("k", first).where("f > 1")
-    near = e.where("not linked and k <= to_unlinked").select(F.xxhash64("b", "e", F.lit(0)).alias("key"), "a", F.lit(0).alias("side"))
-    far = e.where("k <= across").select(
+    first = F.expr("slice(x, 1, cast(greatest(to_unlinked, across, 0) AS int))")
+    e = s.select("a", "b", "linked", "to_unlinked", "across", F.posexplode(first).alias("k", "e"))
+    near = e.where("not linked and k < to_unlinked").select(F.xxhash64("b", "e", F.lit(0)).alias("key"), "a", F.lit(0).alias("side"))
+    far = e.where("k < across").select(
         F.xxhash64("b", "e", F.lit(1)).alias("key"), "a", F.when(F.col("linked"), 1).otherwise(2).alias("side"))
-    return near.unionAll(far).withColumnRenamed("a", "id").distinct()
+    return near.unionAll(far).withColumnRenamed("a", "id")
 
 
 def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
