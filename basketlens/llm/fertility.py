@@ -6,8 +6,11 @@ A document is kept when all three lie in the band of its language (or of its
 script where the language has no band).  Text that no ordinary writing
 produces (symbol noise, repeated words, broken encodings) leaves the bands.
 
-Work is row-local: no shuffle, no state between documents besides a bounded
-memo of tokenised words.
+Bands are narrowed by the distribution over all documents: characters per
+token and entropy depend on the length, so each language or script has a band
+per length class (octave of tokens), some spreads around the class's median.
+Measuring is row-local; the distribution is a histogram with a bounded number
+of bins, of which the driver reads four quantiles per class.
 """
 
 from __future__ import annotations
@@ -22,11 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from basketlens.llm.common import Words, held, mix64, ragged, steps, text_bytes
+from basketlens.llm.common import Words, held, mix64, ragged, stage, steps, text_bytes
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
+#: A document may lie so many spreads below or above the median of its length class.
+SPREADS_BELOW, SPREADS_ABOVE = 3.0, 5.0
+#: Distinct measurements that a class needs; a smaller one takes the lower ends of the next shorter class that has them.
+MIN_CLASS = 30
+#: Width of the histogram bins, and the least spread.
+BINS = {"chars_per_token": (0.002, 0.01), "token_entropy": (0.01, 0.02)}
 #: Distinct words of which a worker remembers the tokens; beyond it a word is simply tokenised again.
 MEMO_WORDS = 400_000
 
@@ -176,13 +185,61 @@ def _measure(batch: pa.RecordBatch, pieces: _Pieces, bands: dict[str, Band]) ->
         per_token, byte_share, entropy)] + [pa.array(name, pa.string())]
 
 
+def _octave():
+    return F.floor(F.log2("n_tokens")).cast("int")
+
+
+def _class_bands(measured: DataFrame) -> list[tuple]:
+    """(band, octave, least and greatest characters per token, least and greatest entropy) of the rows that are kept so far.
+
+    Equal measurements count once: copies of one text do not set the band.  The
+    spread is that of the middle half or of the upper half, whichever is wider,
+    so junk below the median widens neither end.
+    """
+    each = F.explode(F.array(*(
+        F.struct(F.lit(m).alias("m"), (F.round(F.col(m) / w) * w).alias("v")) for m, (w, _) in BINS.items())))
+    bins = (measured.where("kept").select("band", "n_tokens", *BINS).distinct()
+            .select("band", _octave().alias("octave"), each.alias("x")).groupBy("band", "octave", "x.m", "x.v").count())
+    found = {}
+    for r in bins.groupBy("band", "octave", "m").agg(
+            F.sum("count").alias("n"), F.percentile("v", [0.25, 0.5, 0.75, 0.95], F.col("count")).alias("q")).collect():
+        if r["n"] >= MIN_CLASS:
+            q = r["q"]
+            spread = max((q[2] - q[0]) / 1.349, (q[3] - q[1]) / 1.645, BINS[r["m"]][1])
+            found[r["band"], r["m"], r["octave"]] = (q[1] - SPREADS_BELOW * spread, q[1] + SPREADS_ABOVE * spread)
+    out = []
+    for band in sorted({b for b, *_ in found}):
+        low = {m: None for m in BINS}
+        for octave in range(64):
+            ends = []
+            for m in BINS:
+                own = found.get((band, m, octave))
+                low[m] = own[0] if own else low[m]
+                ends += [low[m], own[1] if own else None]
+            out.append((band, octave, *ends))
+    return out
+
+
+def _narrowed(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept`` narrowed to the bands of the length classes."""
+    ends = measured.sparkSession.createDataFrame(
+        _class_bands(measured), "band string, __octave int, __c0 double, __c1 double, __e0 double, __e1 double")
+    inside = F.lit(True)
+    for m, k in zip(BINS, "ce"):
+        inside &= F.coalesce(F.col(m) >= F.col(f"__{k}0"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"__{k}1"), F.lit(True))
+    # One row per band and octave: bounded by the number of bands.
+    joined = measured.withColumn("__octave", _octave()).join(F.broadcast(ends), ["band", "__octave"], "left")
+    return joined.withColumn("kept", F.col("kept") & inside).select(*measured.columns)
+
+
 def fertility_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None,
                       id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, the base counts, the fertility measures, ``kept``.
 
     Null or blank text has no words: base_failed, not kept.  Null or unknown
-    languages take the band of the script.  Ids may be null or repeated: each
-    row is judged by itself.  A missing language column counts as null.
+    languages take the band of the script.  Ids may be null or repeated.  A
+    missing language column counts as null.  ``kept`` follows ``bands`` and,
+    inside them, the distribution over all rows of ``docs``.
     """
     path, bands = vocabulary or default_vocabulary(), bands or BANDS
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else None
@@ -195,13 +252,18 @@ def fertility_quality(docs: DataFrame, vocabulary: str | None = None, bands: dic
             yield pa.RecordBatch.from_arrays([b.column("__id"), *_measure(b, pieces, bands)], names=names)
 
     kind = dict(src.dtypes)["__id"]
-    names = [id_col, *(c.split()[0] for c in COLUMNS.split(", "))]
-    return src.mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    names = ["__id", *(c.split()[0] for c in COLUMNS.split(", "))]
+    measured = stage(src.mapInArrow(run, f"__id {kind}, {COLUMNS}"), "fertility")
+    return _narrowed(measured).withColumnRenamed("__id", id_col)
 
 
 def keep_fertile(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None,
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that pass base rules and bands, columns unchanged (one pass, no join)."""
+    """The rows of ``docs`` that pass base rules and bands, columns unchanged.
+
+    Texts are measured once: the rows inside ``bands`` are staged with their
+    measures, and the bands of the length classes are applied to those.
+    """
     path, bands = vocabulary or default_vocabulary(), bands or BANDS
     names = docs.columns
     tagged = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -213,7 +275,14 @@ def keep_fertile(docs: DataFrame, vocabulary: str | None = None, bands: dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for b in steps(batches, "__text"):
-            yield b.filter(_measure(b, pieces, bands)[6]).select(range(keep))
+            m = dict(zip(measures, _measure(b, pieces, bands)))
+            cols = [*b.columns[:keep], *(m[c] for c in used)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:keep], *used]).filter(m["kept"])
 
+    measures = [c.split()[0] for c in COLUMNS.split(", ")]
+    used = ["n_tokens", "chars_per_token", "token_entropy", "band", "kept"]
+    kinds = dict(c.split() for c in COLUMNS.split(", "))
     schema = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
-    return tagged.mapInArrow(run, schema).toDF(*names)
+    for c in used:
+        schema = schema.add(c, kinds[c])
+    return _narrowed(stage(tagged.mapInArrow(run, schema), "fertility")).where("kept").select(*(f"c{i}" for i in range(keep))).toDF(*names)
