@@ -38,6 +38,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.unit_dedup(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that has a word is a unit, however short."""
+    return unit_dedup.unit_dedup(read_table(spark, sf_dir, "documents"), min_words=1).drop("kept_text")
+
+
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_quality(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard, op2_warc_revisit, op3_suffix_dedup, op4_stupid_backoff, op5_token_orc, op6_line_dedup,
+        op1_ngram_jaccard, op2_warc_revisit, op3_suffix_dedup, op4_stupid_backoff, op5_token_orc, op6_line_dedup, op6_line_dedup_every_line,
         op7_tokeniser_fertility, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -142,6 +147,21 @@ SELECT doc_id, count(*) FILTER (unit) AS n_units, count(*) FILTER (unit AND k >
 FROM x GROUP BY doc_id
 """
 
+_OP6_EVERY_LINE = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM t),
+v AS (
+  SELECT *, array_to_string(regexp_extract_all(translate(line, {_AZ}), {_WORD}), ' ') AS w,
+    (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1)::BIGINT AS s
+  FROM u),
+x AS (SELECT *, w <> '' AS unit, w <> '' AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS gone FROM v)
+SELECT doc_id, count(*) FILTER (unit) AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY pos) FILTER (gone), '') AS removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
+
 #: The others have no SQL form that runs on whole tables (tokenisers, automata, similarity joins): they are tested
 #: against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op2_warc_revisit": _OP2, "op4_stupid_backoff": _OP4, "op6_line_dedup": _OP6}
+ORACLE_SQL: dict[str, str] = {"op2_warc_revisit": _OP2, "op4_stupid_backoff": _OP4, "op6_line_dedup": _OP6,
+                              "op6_line_dedup_every_line": _OP6_EVERY_LINE}

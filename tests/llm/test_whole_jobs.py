@@ -1,6 +1,6 @@
 """Jobs that were once cut short: whole results on small and awkward tables."""
 
-from basketlens.llm import fertility
+from basketlens.llm import fertility, queries
 
 SF = "/root/testdata/sf0.1"
 
@@ -22,3 +22,12 @@ def test_copies_do_not_set_the_band(spark):
     alone = {r["doc_id"] for r in fertility.keep_fertile(docs).select("doc_id").collect()}
     among = {r["doc_id"] for r in fertility.keep_fertile(many).select("doc_id").collect()}
     assert alone == among
+
+
+def test_every_line_that_repeats_goes(spark, tmp_path):
+    """Short lines, too; blank lines stay."""
+    rows = [(1, "Home\nAbout us\n\nsome words that are here only once"), (2, "home\n\nabout  US\nHome\nmore"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed"])
+           for r in queries.QUERIES["op6_line_dedup_every_line"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0, ""), 2: (4, 3, "0:4,6:15,16:20"), 3: (0, 0, "")}
