@@ -180,6 +180,30 @@ def negative_candidates(basket: DataFrame, products: DataFrame, n: int = 20) ->
         .select("user_id", "product_id", "department_id")
 
 
+def never_bought(basket: DataFrame, products: DataFrame, n: int = 20) -> DataFrame:
+    """J13 over all departments that a user buys from: the n most popular
+    products (prior lines, ties by product id) that the user never bought.
+
+    Exact without user x catalogue: a user who owns m products of a department
+    has at least n never-bought ones among its first n + m, or all there are.
+    So each (user, department) asks for ranks 1 .. n + m, an equi-join on
+    (department, rank) with rows in proportion to the history."""
+    dept = products.select("product_id", "department_id").where("product_id is not null and department_id is not null")
+    sold = basket.where(F.col("eval_set") == "prior").groupBy("product_id").agg(F.count(F.lit(1)).alias("__n"))
+    pop = dept.join(sold, "product_id", "left").withColumn("__order", -F.coalesce(F.col("__n"), F.lit(0))).drop("__n")
+    ranked = ordered_scan(pop, ["department_id"], ["__order", "product_id"], counter="__r")
+    sizes = dept.groupBy("department_id").agg(F.count(F.lit(1)).alias("__size"))
+    hist = basket.select("user_id", "product_id").distinct()
+    owned = hist.join(dept, "product_id").groupBy("user_id", "department_id").agg(F.count(F.lit(1)).alias("__m"))
+    asked = owned.join(sizes, "department_id").select(
+        "user_id", "department_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("__m") + n, F.col("__size")))).alias("__r"))
+    open_ = (asked.join(ranked.withColumn("__r", F.col("__r").cast("long")), ["department_id", "__r"])
+             .join(hist, ["user_id", "product_id"], "left_anti"))
+    w = Window.partitionBy("user_id").orderBy("__order", "product_id")
+    return (open_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select("user_id", "product_id", "department_id", "rank"))
+
+
 def order_sequence_features(orders: DataFrame, basket: DataFrame) -> DataFrame:
     """W10 + W13: per order, the previous order's gap and basket size (lags)
     and the tenure (running sum of gaps), in one skew-safe ordered scan."""

@@ -55,8 +55,29 @@ def _rules(c):
     return BK.pair_rules(tx, "item", 0.005, 0.05)
 
 
+PAIRS_ALL = """
+tx AS (SELECT DISTINCT b.order_id, p.product_name AS item FROM c_basket b
+       JOIN c_products p ON b.product_id = p.product_id),
+n AS (SELECT count(DISTINCT order_id) AS n FROM tx),
+sup AS (SELECT item, count(*) / (SELECT n FROM n) AS support FROM tx GROUP BY item),
+pr AS (SELECT a.item AS antecedent, b.item AS consequent, count(*) AS orders
+       FROM tx a JOIN tx b ON a.order_id = b.order_id AND a.item <> b.item GROUP BY 1, 2)"""
+
+
+@query("market_basket_rules_all_lines", "D2,J12", ctes=PAIRS_ALL, sql="""
+SELECT pr.antecedent, pr.consequent, pr.orders, pr.orders / (SELECT n FROM n) AS support,
+       (pr.orders / (SELECT n FROM n)) / sa.support AS confidence,
+       ((pr.orders / (SELECT n FROM n)) / sa.support) / sb.support AS lift
+FROM pr JOIN sup sa ON pr.antecedent = sa.item JOIN sup sb ON pr.consequent = sb.item
+WHERE sa.support >= 0.005 AND sb.support >= 0.005 AND pr.orders / (SELECT n FROM n) >= 0.005
+  AND (pr.orders / (SELECT n FROM n)) / sa.support >= 0.05""")
+def _rules_all(c):
+    return BK.pair_rules(_name_tx(c), "item", 0.005, 0.05)
+
+
 def _name_tx(c):
-    return c.items("prior").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
+    """Lines of all orders with their product names."""
+    return c.basket.select("order_id", "product_id").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
 
 
 @query("frequent_itemsets", "D2")
@@ -140,6 +161,19 @@ def _negatives(c):
     return BK.negative_candidates(c.basket, c.products, 20)
 
 
+@query("negative_candidates_all_departments", "J13", ctes="""
+pop AS (SELECT p.product_id, p.department_id, count(b.product_id) AS n FROM c_products p
+        LEFT JOIN c_basket b ON b.product_id = p.product_id AND b.eval_set = 'prior' GROUP BY p.product_id, p.department_id),
+ud AS (SELECT DISTINCT b.user_id, p.department_id FROM c_basket b JOIN c_products p ON b.product_id = p.product_id),
+nb AS (SELECT ud.user_id, pop.product_id, ud.department_id, CAST(row_number() OVER (PARTITION BY ud.user_id
+              ORDER BY pop.n DESC, pop.product_id) AS INTEGER) AS rank
+       FROM ud JOIN pop ON ud.department_id = pop.department_id
+       WHERE NOT EXISTS (SELECT 1 FROM c_basket h WHERE h.user_id = ud.user_id AND h.product_id = pop.product_id))""",
+       sql="SELECT * FROM nb WHERE rank <= 20")
+def _never_bought(c):
+    return BK.never_bought(c.basket, c.products, 20)
+
+
 @query("order_sequence_features", "W10,W13", ctes="""
 bs AS (SELECT order_id, count(*) AS n FROM c_basket GROUP BY order_id),
 o AS (SELECT o.order_id, o.user_id, o.order_number, o.days_since_prior_order, coalesce(bs.n, 0) AS basket_size
