@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm import (
-    backoff_lm, decontaminate, fertility, ngram_jaccard, packing, secret_scan, suffix_dedup, token_orc, unit_dedup, warc_revisit)
+    backoff_lm, decontaminate, fertility, fill_in_middle, line_bitmaps, ngram_jaccard, packing, prefix_trie, secret_scan, suffix_dedup,
+    token_orc, unit_dedup, warc_revisit)
 from basketlens.llm.common import read_table
 
 
@@ -66,10 +67,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.branched_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and restored from what was written."""
+    out = fill_in_middle.restore(fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return out.drop("pieces", "output", "restored")
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep bitmaps of all documents, applied to them."""
+    return line_bitmaps.line_dedup(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard, op2_warc_revisit, op3_suffix_dedup, op4_stupid_backoff, op4_stupid_backoff_order5, op5_token_orc, op6_line_dedup, op6_line_dedup_every_line,
-        op7_tokeniser_fertility, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+        op7_tokeniser_fertility, op8_secret_scan, op9_decontamination, op10_best_fit_packing,
+        op11_prefix_trie, op12_fill_in_middle, op13_line_bitmaps)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
@@ -183,8 +201,72 @@ SELECT doc_id, count(*) FILTER (unit) AS n_units, count(*) FILTER (gone) AS n_re
 FROM x GROUP BY doc_id
 """
 
+#: CRC-32 of a decimal string, bit by bit: after each character, eight steps that are marked by -1.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))::BIGINT[]),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+_OP11 = f"""
+WITH o AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t, ({_CRC} % 9)::BIGINT AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (
+  SELECT o.conv_id, list_concat(coalesce(b.t[1:o.h], []), o.t[o.h + 1:]) AS t
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+m AS (SELECT conv_id, len(t) AS ends, unnest(range(len(t) + 1)) AS depth, t FROM c),
+n AS (
+  SELECT depth, t[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(strlen(any_value(t)[depth].t), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends = depth), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+p AS (
+  SELECT n.*, u.conv_id AS parent_conv_id
+  FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.k = n.k[1:n.depth - 1]),
+g AS (SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n FROM p WHERE depth > 0 GROUP BY 1, 2),
+q AS (SELECT p.*, coalesce(g.n, 0)::BIGINT AS n_children FROM p LEFT JOIN g ON g.parent_conv_id = p.conv_id AND g.depth = p.depth),
+a AS (SELECT unnest(range(depth + 1)) AS depth, k, n_children, saved FROM q),
+s AS (SELECT depth, k[1:depth] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY 1, 2)
+SELECT conv_id, q.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM q JOIN s ON s.depth = q.depth AND s.k = q.k
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS x
+  FROM documents),
+h AS (
+  SELECT *, len(u) AS n, [('0x' || x[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+_OP13 = """
+WITH u AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents WHERE doc_id IS NOT NULL),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+x AS (SELECT k.*, g.key IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN g ON g.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
+
 #: The others have no SQL form that runs on whole tables (tokenisers, automata, similarity joins): they are tested
 #: against brute-force versions.
 ORACLE_SQL: dict[str, str] = {"op2_warc_revisit": _OP2, "op4_stupid_backoff": _OP4,
                               "op4_stupid_backoff_order5": _OP4_ORDER5, "op6_line_dedup": _OP6,
-                              "op6_line_dedup_every_line": _OP6_EVERY_LINE}
+                              "op6_line_dedup_every_line": _OP6_EVERY_LINE,
+                              "op11_prefix_trie": _OP11, "op12_fill_in_middle": _OP12, "op13_line_bitmaps": _OP13}
