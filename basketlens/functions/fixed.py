@@ -57,6 +57,15 @@ DEMO_SAMPLE_ROWS = 10000          # M20
 DEMO_SEED = 42
 
 # --- models -----------------------------------------------------------------
+#: The stored feature contract, in its order.
+MODEL_FEATURES = [
+    "user_total_orders_x", "user_avg_days_between_orders", "user_min_days_between_orders", "user_max_days_between_orders",
+    "user_std_days_between_orders", "user_preferred_hour", "user_preferred_dow", "user_total_products", "user_avg_basket_size",
+    "user_unique_products", "user_reorder_rate", "aisle_id", "department_id", "product_total_orders", "product_reorder_rate",
+    "product_reorder_count", "product_total_purchases", "product_avg_cart_position", "product_preferred_hour",
+    "product_preferred_dow", "product_unique_users", "up_orders_count", "up_reorder_count", "up_avg_cart_position",
+    "up_last_order_number", "user_max_order_number", "up_days_since_last_purchase", "user_total_orders_y", "up_order_rate",
+    "up_reorder_rate"]
 SPLIT_SEED = 42                   # M2
 TRAIN_FRACTION = 0.8              # M2
 LR_MAX_ITER = 1000                # M12
@@ -72,3 +81,6 @@ ENSEMBLE_WEIGHTS = (0.6, 0.4)     # M15
 IMPORTANCE_WEIGHTS = (0.6, 0.4)   # M10: forest importance, |correlation|
 TOP_CORRELATED = 10               # M8
 K_BEST = 100                      # M5; all features where there are fewer
+SELECT_BEST = 10                  # M6: features that a univariate report lists
+CV_FOLDS = 5                      # M16: expanding folds by order number
+VOTING_WEIGHTS = {"xgboost": 0.4, "mlp": 0.3, "lstm": 0.2, "tcn": 0.1}     # M16

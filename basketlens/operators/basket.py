@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from basketlens.functions import scalar as S
 from basketlens.operators.common import with_scalars
 from basketlens.operators.ordered import ordered_scan
-from basketlens.operators.stats import mode_by
 
 
 def ntile(df: DataFrame, col: str, n: int, out: str, tie: str, descending: bool = False) -> DataFrame:
@@ -71,10 +70,12 @@ def pair_rules(transactions: DataFrame, item: str, min_support: float, min_confi
            .withColumn("support", F.col("__cnt") / F.col("__n")))
     freq = sup.where(F.col("support") >= min_support).select(item, "support")
     ftx = tx.join(freq.select(item), item, "left_semi")
-    a = ftx.select("order_id", F.col(item).alias("antecedent"))
-    b = ftx.select("order_id", F.col(item).alias("consequent"))
-    pairs = (a.join(b, "order_id").where(F.col("antecedent") != F.col("consequent"))
-             .groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("__both")))
+    a = ftx.select("order_id", F.col(item).alias("a"))
+    b = ftx.select("order_id", F.col(item).alias("b"))
+    both = a.join(b, "order_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("__both"))
+    pairs = both.select(F.explode(F.array(       # counted in one direction, mirrored after the aggregate
+        F.struct(F.col("a").alias("antecedent"), F.col("b").alias("consequent")),
+        F.struct(F.col("b").alias("antecedent"), F.col("a").alias("consequent")))).alias("p"), "__both").select("p.*", "__both")
     pairs = (with_scalars(pairs, n)
              .withColumn("support", F.col("__both") / F.col("__n"))
              .where(F.col("support") >= min_support))
@@ -87,29 +88,6 @@ def pair_rules(transactions: DataFrame, item: str, min_support: float, min_confi
             .select("antecedent", "consequent", F.col("__both").alias("orders"), "support", "confidence", "lift"))
 
 
-def frequent_itemsets(transactions: DataFrame, item: str, min_support: float,
-                      min_confidence: float) -> tuple[DataFrame, DataFrame]:
-    """D2 for itemsets of any size: MLlib ``FPGrowth`` (parallel FP-growth).
-    Each order's array holds only its frequent items (Apriori: an itemset
-    is frequent only if all its items are), so an array is bounded by
-    (mean basket / min_support) however large the order."""
-    from pyspark.ml.fpm import FPGrowth
-    tx = transactions.select("order_id", item).distinct()
-    n = tx.agg(F.countDistinct("order_id").alias("__n"))
-    sup = with_scalars(tx.groupBy(item).agg(F.count(F.lit(1)).alias("__cnt")), n)
-    freq = sup.where(F.col("__cnt") / F.col("__n") >= min_support).select(item)
-    baskets = (tx.join(freq, item, "left_semi").groupBy("order_id")
-               .agg(F.array_sort(F.collect_set(item)).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    total = n.select(F.col("__n").alias("__orders"))
-    itemsets = with_scalars(model.freqItemsets, total).select(
-        F.array_sort("items").alias("items"), "freq", (F.col("freq") / F.col("__orders")).alias("support"))
-    rules = model.associationRules.select(F.array_sort("antecedent").alias("antecedent"),
-                                          F.array_sort("consequent").alias("consequent"),
-                                          "confidence", "lift", "support")
-    return itemsets, rules
-
-
 def category_copurchase(user_categories: DataFrame, category: str) -> DataFrame:
     """D3: share of buyers of category A who also bought B, for any number of
     categories.  Each user's distinct categories meet in one direction (a < b)
@@ -165,22 +143,6 @@ def product_time_counts(basket: DataFrame) -> DataFrame:
 
 
 def negative_candidates(basket: DataFrame, products: DataFrame, n: int = 20) -> DataFrame:
-    """Per user, the top-n products of the user's favourite department
-    (first mode over prior lines) that the user never bought.  An equi-join
-    on the department with n rows per department, then an anti join with
-    the history - no user x catalogue product."""
-    pb = basket.where(F.col("eval_set") == "prior").join(products.select("product_id", "department_id"),
-                                                         "product_id", "inner")
-    pop = pb.groupBy("department_id", "product_id").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy("department_id").orderBy(F.desc("__n"), F.asc("product_id"))
-    top = pop.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select("department_id", "product_id")
-    fav = mode_by(pb, ["user_id"], "department_id", "department_id")
-    hist = basket.select("user_id", "product_id").distinct()      # a train purchase is bought, too
-    return fav.join(top, "department_id", "inner").join(hist, ["user_id", "product_id"], "left_anti") \
-        .select("user_id", "product_id", "department_id")
-
-
-def never_bought(basket: DataFrame, products: DataFrame, n: int = 20) -> DataFrame:
     """J13 over all departments that a user buys from: the n most popular
     products (prior lines, ties by product id) that the user never bought.
 

@@ -11,12 +11,11 @@ the reference collapse into ``GBTClassifier``.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,17 @@ def feature_columns(df: DataFrame) -> list[str]:
             if f.name not in (*KEYS, LABEL) and isinstance(f.dataType, num)]
 
 
+def contract_features(df: DataFrame, contract=FX.MODEL_FEATURES) -> list[str]:
+    """P20 + M18: the feature columns that the table's schema has, in the
+    contract's order; a feature of the contract that is missing or not
+    numeric is a ``ValueError``."""
+    have = set(feature_columns(df))
+    missing = [c for c in contract if c not in have]
+    if missing:
+        raise ValueError(f"missing feature columns: {missing}")
+    return [c for c in contract if c in have]
+
+
 def long_features(df: DataFrame, cols) -> DataFrame:
     """Unpivot feature columns to (feature, value) with ``stack``."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
@@ -65,6 +75,11 @@ def impute(df: DataFrame, fills: dict) -> DataFrame:
                        if c in fills else F.col(c) for c in df.columns])
 
 
+def fitted_fills(values: DataFrame) -> dict:
+    """The rows of ``imputation_values`` (one a column) as ``impute`` takes them."""
+    return {r["feature"]: r["mode"] if r["median"] is None else r["median"] for r in values.collect()}
+
+
 def user_split(df: DataFrame, fraction: float = TRAIN_FRACTION, seed: int = SPLIT_SEED) -> DataFrame:
     """M2: user-level split, no user on both sides; deterministic in any engine."""
     train = S.key_hash(F.col("user_id"), seed) < F.lit(fraction * S.HASH_MODULUS)
@@ -90,17 +105,24 @@ def with_weights(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(class_weights(df).select(LABEL, "weight")), LABEL, "left")
 
 
+def feature_moments(train: DataFrame, cols) -> DataFrame:
+    """M3 + M4: per feature mean, population std (0 -> 1), min, max and
+    sample variance, fitted on the train side only: one wide aggregate, no
+    unpivot and no sort."""
+    x = {c: F.col(c).cast("double") for c in cols}
+    wide = train.agg(*(f(x[c]).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (
+        ("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max), ("variance", F.var_samp))))
+    rows = ", ".join(f"'{c}', mean_{i}, sd_{i}, min_{i}, max_{i}, variance_{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr(f"stack({len(cols)}, {rows}) AS (feature, mean, __sd, min, max, variance)")
+    return long.withColumn("std", F.when((F.col("__sd") == 0) | F.col("__sd").isNull(), F.lit(1.0))
+                           .otherwise(F.col("__sd"))).drop("__sd")
+
+
 def scaler_params(train: DataFrame, cols) -> DataFrame:
-    """M3 + M4: per feature mean, population std (0 -> 1), min, max, median,
-    quartiles - fitted on the train side only."""
-    lf = long_features(train, cols)
-    basic = lf.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("__sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.var_samp("value").alias("variance"))
-    q = exact_quantiles(lf, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["feature"])
-    return (basic.join(q, "feature", "left")
-            .withColumn("std", F.when((F.col("__sd") == 0) | F.col("__sd").isNull(), F.lit(1.0))
-                        .otherwise(F.col("__sd"))).drop("__sd"))
+    """``feature_moments`` with the exact median and quartiles that robust
+    scaling needs (one ordered scan for all features)."""
+    q = exact_quantiles(long_features(train, cols), "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["feature"])
+    return feature_moments(train, cols).join(F.broadcast(q), "feature", "left")     # one row a feature
 
 
 def scaling_stage(params: DataFrame, cols, kind: str = "standard") -> SQLTransformer:
@@ -111,13 +133,12 @@ def scaling_stage(params: DataFrame, cols, kind: str = "standard") -> SQLTransfo
     for c in cols:
         r = p[c]
         if kind == "standard":
-            e = f"(CAST(`{c}` AS DOUBLE) - {r['mean']!r}) / {r['std']!r}"
+            off, width = r["mean"], r["std"]
         elif kind == "minmax":
-            rng = (r["max"] - r["min"]) or 1.0
-            e = f"(CAST(`{c}` AS DOUBLE) - {r['min']!r}) / {rng!r}"
+            off, width = r["min"], (r["max"] - r["min"]) or 1.0
         else:   # robust
-            iqr = (r["q3"] - r["q1"]) or 1.0
-            e = f"(CAST(`{c}` AS DOUBLE) - {r['median']!r}) / {iqr!r}"
+            off, width = r["median"], (r["q3"] - r["q1"]) or 1.0
+        e = f"(CAST(`{c}` AS DOUBLE) - {off:.17e}) / {width:.17e}"     # an exponent makes it a double, not a decimal
         exprs.append(f"{e} AS `s_{c}`")
     return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
 
@@ -160,6 +181,7 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 # --------------------------------------------------------------- training
+LR_CHANGE = 1e-10      # relative change of the objective at which MLlib's solver ends
 FOREST_DEPTH = 30      # MLlib's largest depth; a smaller one trades accuracy for memory
 
 
@@ -167,7 +189,9 @@ def classifier(kind: str, n_features: int, weighted: bool = True, total_weight:
     w = {"weightCol": "weight"} if weighted else {}
     if kind == "logistic":      # M12: max_iter 1000, balanced, L2 with C = 1 and tol 1e-4 as scikit-learn:
         # its objective 0.5|w|^2 + C sum(w_i loss_i) equals MLlib's with regParam = 1 / (C * sum of weights)
-        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=FX.LR_MAX_ITER, tol=FX.LR_TOL,
+        # MLlib stops on the objective's relative change, scikit-learn where no gradient entry exceeds its tol: at a
+        # change of 1e-4 the objective is still 8e-5 too high (newton.certificate), so the change allowed is smaller
+        return LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=FX.LR_MAX_ITER, tol=LR_CHANGE,
                                   regParam=1.0 / (FX.LR_C * max(total_weight, 1.0)), elasticNetParam=0.0,
                                   standardization=False, **w)
     if kind == "gbt":           # M13: 100 trees, depth 6, learning rate 0.1
@@ -260,19 +284,6 @@ def combined_importance(importance: DataFrame, correlation: DataFrame) -> DataFr
             .orderBy(F.desc("combined_score"), F.asc("feature")))
 
 
-def univariate_selection(train: DataFrame, cols, k: int = 10) -> DataFrame:
-    """M6: ANOVA F-test selection of continuous features for the binary
-    label (``UnivariateFeatureSelector``); returns the kept features."""
-    from pyspark.sql import SparkSession
-    vec = VectorAssembler(inputCols=list(cols), outputCol="features").transform(train)
-    sel = UnivariateFeatureSelector(featuresCol="features", labelCol=LABEL, outputCol="selected",
-                                    selectionMode="numTopFeatures").setFeatureType("continuous") \
-        .setLabelType("categorical").setSelectionThreshold(k).fit(vec)
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(cols[i], r) for r, i in enumerate(sel.selectedFeatures)],
-                                 "feature string, position int")
-
-
 def ensemble(scored_a: DataFrame, scored_b: DataFrame, wa: float = FX.ENSEMBLE_WEIGHTS[0],
              wb: float = FX.ENSEMBLE_WEIGHTS[1]) -> DataFrame:
     """Weighted mean of two members' probabilities, threshold > 0.5."""
@@ -283,21 +294,6 @@ def ensemble(scored_a: DataFrame, scored_b: DataFrame, wa: float = FX.ENSEMBLE_W
                                                    (p > FX.THRESHOLD).cast("int").alias("reorder_prediction"))
 
 
-def stacking(train_scores: dict[str, DataFrame], test_scores: dict[str, DataFrame]) -> DataFrame:
-    """A second-level logistic regression over the members'
-    probabilities (fitted on the train side, applied to the test side)."""
-    def wide(d):
-        frames = [df.select(*KEYS, LABEL, F.col("reorder_probability").alias(f"p_{n}")) for n, df in d.items()]
-        return reduce(lambda x, y: x.join(y.drop(LABEL), list(KEYS)), frames)
-    names = [f"p_{n}" for n in train_scores]
-    asm = VectorAssembler(inputCols=names, outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=100)
-    model = Pipeline(stages=[asm, lr]).fit(wide(train_scores))
-    out = model.transform(wide(test_scores))
-    prob = vector_to_array(F.col("probability"))[1]
-    return out.select(*KEYS, LABEL, prob.alias("reorder_probability"), (prob >= FX.THRESHOLD).cast("int").alias("reorder_prediction"))
-
-
 def as_eval(scored: DataFrame) -> DataFrame:
     """Scored rows in the evaluation layout (user_id, item_id, label, score)."""
     return scored.select("user_id", F.col("product_id").alias("item_id"), F.col(LABEL).alias("label"),

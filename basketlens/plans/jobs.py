@@ -69,6 +69,8 @@ def run_etl(c: Canon, root: str, partition_cols=("eval_set",)) -> dict:
     root = root.rstrip("/")
     tables = cleaned_tables(c)
     sinks.write_staging(tables, f"{root}/staging")
+    # later steps read the staged tables: each is cleaned and clustered once
+    tables = {n: c.spark.read.schema(df.schema).parquet(f"{root}/staging/{n}.parquet") for n, df in tables.items()}
     for name, df in tables.items():
         sinks.write_partitioned(df, f"{root}/processed/{name}", partition_cols)
     sinks.write_json(data_catalog(tables), f"{root}/catalog")
@@ -76,6 +78,21 @@ def run_etl(c: Canon, root: str, partition_cols=("eval_set",)) -> dict:
             "integrity": integrity_report(c)}
 
 
+def export_features(tables: dict[str, DataFrame], root: str) -> list[str]:
+    """Each feature table as Parquet and as CSV below ``root``; the CSV is written from the Parquet, so a table is
+    computed once."""
+    root = root.rstrip("/")
+    for name, df in tables.items():
+        sinks.write_parquet(df, f"{root}/{name}.parquet")
+        sinks.write_csv(df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}.parquet"), f"{root}/{name}.csv")
+    return sorted(tables)
+
+
+def export_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions as CSV, or as Parquet where the path does not end in .csv."""
+    (sinks.write_csv if path.rstrip("/").endswith(".csv") else sinks.write_parquet)(predictions, path)
+
+
 def kpi_export(c: Canon, root: str) -> list[str]:
     """The dashboard KPI set as CSV files."""
     items = kpi.all_items(c.items("prior"), c.items("train"))

@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from basketlens.operators import basket as BK
+from basketlens.operators import itemsets as IT
+from basketlens.operators.staging import staged
+from basketlens.plans.oracle import with_canon
 from basketlens.plans.registry import query
 
 RFM = """
@@ -36,7 +39,7 @@ def _rfm_segments(c):
 
 PAIRS = """
 tx AS (SELECT DISTINCT b.order_id, p.product_name AS item FROM c_basket b
-       JOIN c_products p ON b.product_id = p.product_id WHERE b.eval_set = 'prior'),
+       JOIN c_products p ON b.product_id = p.product_id),
 n AS (SELECT count(DISTINCT order_id) AS n FROM tx),
 sup AS (SELECT item, count(*) / (SELECT n FROM n) AS support FROM tx GROUP BY item),
 pr AS (SELECT a.item AS antecedent, b.item AS consequent, count(*) AS orders
@@ -51,43 +54,51 @@ FROM pr JOIN sup sa ON pr.antecedent = sa.item JOIN sup sb ON pr.consequent = sb
 WHERE sa.support >= 0.005 AND sb.support >= 0.005 AND pr.orders / (SELECT n FROM n) >= 0.005
   AND (pr.orders / (SELECT n FROM n)) / sa.support >= 0.05""")
 def _rules(c):
-    tx = c.items("prior").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
-    return BK.pair_rules(tx, "item", 0.005, 0.05)
+    return BK.pair_rules(_name_tx(c), "item", 0.005, 0.05)
+
+
+def _name_tx(c):
+    """Lines of all orders with their product names."""
+    return c.basket.select("order_id", "product_id").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
 
 
-PAIRS_ALL = """
+#: Every subset of an order's frequent items, extended item by item in ascending order.
+SETS = """
 tx AS (SELECT DISTINCT b.order_id, p.product_name AS item FROM c_basket b
-       JOIN c_products p ON b.product_id = p.product_id),
+       JOIN c_products p ON b.product_id = p.product_id WHERE p.product_name IS NOT NULL),
 n AS (SELECT count(DISTINCT order_id) AS n FROM tx),
-sup AS (SELECT item, count(*) / (SELECT n FROM n) AS support FROM tx GROUP BY item),
-pr AS (SELECT a.item AS antecedent, b.item AS consequent, count(*) AS orders
-       FROM tx a JOIN tx b ON a.order_id = b.order_id AND a.item <> b.item GROUP BY 1, 2)"""
+fx AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) >= 0.005 * (SELECT n FROM n))),
+sub AS (
+  SELECT order_id, [item] AS items FROM fx
+  UNION ALL SELECT s.order_id, list_append(s.items, f.item) FROM sub s JOIN fx f ON f.order_id = s.order_id AND f.item > s.items[-1]),
+fs AS (SELECT items, count(*) AS freq, count(*) / (SELECT n FROM n) AS support FROM sub GROUP BY items
+       HAVING count(*) >= 0.005 * (SELECT n FROM n))"""
 
 
-@query("market_basket_rules_all_lines", "D2,J12", ctes=PAIRS_ALL, sql="""
-SELECT pr.antecedent, pr.consequent, pr.orders, pr.orders / (SELECT n FROM n) AS support,
-       (pr.orders / (SELECT n FROM n)) / sa.support AS confidence,
-       ((pr.orders / (SELECT n FROM n)) / sa.support) / sb.support AS lift
-FROM pr JOIN sup sa ON pr.antecedent = sa.item JOIN sup sb ON pr.consequent = sb.item
-WHERE sa.support >= 0.005 AND sb.support >= 0.005 AND pr.orders / (SELECT n FROM n) >= 0.005
-  AND (pr.orders / (SELECT n FROM n)) / sa.support >= 0.05""")
-def _rules_all(c):
-    return BK.pair_rules(_name_tx(c), "item", 0.005, 0.05)
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _name_tx(c):
-    """Lines of all orders with their product names."""
-    return c.basket.select("order_id", "product_id").join(c.products.select("product_id", F.col("product_name").alias("item")), "product_id")
+def _sets(c):
+    return c._memo("itemsets", lambda: staged(IT.frequent_itemsets(_name_tx(c), "item", 0.005), "itemsets"))
 
 
-@query("frequent_itemsets", "D2")
+@query("frequent_itemsets", "D2", raw_sql=True, sql=_recursive(with_canon("""
+SELECT array_to_string(items, ' + ') AS items, len(items)::INTEGER AS size, freq, support FROM fs""", SETS)))
 def _itemsets(c):
-    return BK.frequent_itemsets(_name_tx(c), "item", 0.005, 0.05)[0]
+    return _sets(c).select(F.concat_ws(" + ", "items").alias("items"), F.size("items").alias("size"), "freq", "support")
 
 
-@query("association_rules", "D2")
+@query("association_rules", "D2", raw_sql=True, sql=_recursive(with_canon("""
+SELECT array_to_string(a.items, ' + ') AS antecedent, r.c AS consequent, r.freq AS orders, r.support,
+  r.freq / a.freq AS confidence, (r.freq / a.freq) / b.support AS lift
+FROM (SELECT items, freq, support, unnest(items) AS c FROM fs WHERE len(items) > 1) r
+JOIN fs a ON a.items = list_filter(r.items, lambda x: x <> r.c) JOIN fs b ON b.items = [r.c]
+WHERE r.freq / a.freq >= 0.05""", SETS)))
 def _assoc(c):
-    return BK.frequent_itemsets(_name_tx(c), "item", 0.005, 0.05)[1]
+    return IT.association_rules(_sets(c), 0.05).select(
+        F.concat_ws(" + ", "antecedent").alias("antecedent"), F.concat_ws(" + ", "consequent").alias("consequent"),
+        "orders", "support", "confidence", "lift")
 
 
 @query("department_copurchase", "D3", ctes="""
@@ -146,22 +157,6 @@ def _product_time(c):
 
 
 @query("negative_candidates", "J13", ctes="""
-pb AS (SELECT b.user_id, b.product_id, p.department_id FROM c_basket b
-       JOIN c_products p ON b.product_id = p.product_id WHERE b.eval_set = 'prior'),
-top AS (SELECT department_id, product_id FROM (
-          SELECT department_id, product_id, row_number() OVER (PARTITION BY department_id
-                 ORDER BY count(*) DESC, product_id) AS r FROM pb GROUP BY department_id, product_id) WHERE r <= 20),
-fav AS (SELECT user_id, department_id FROM (
-          SELECT user_id, department_id, row_number() OVER (PARTITION BY user_id
-                 ORDER BY count(*) DESC, department_id) AS r FROM pb GROUP BY user_id, department_id) WHERE r = 1)""",
-       sql="""
-SELECT f.user_id, t.product_id, f.department_id FROM fav f JOIN top t ON f.department_id = t.department_id
-WHERE NOT EXISTS (SELECT 1 FROM c_basket pb WHERE pb.user_id = f.user_id AND pb.product_id = t.product_id)""")
-def _negatives(c):
-    return BK.negative_candidates(c.basket, c.products, 20)
-
-
-@query("negative_candidates_all_departments", "J13", ctes="""
 pop AS (SELECT p.product_id, p.department_id, count(b.product_id) AS n FROM c_products p
         LEFT JOIN c_basket b ON b.product_id = p.product_id AND b.eval_set = 'prior' GROUP BY p.product_id, p.department_id),
 ud AS (SELECT DISTINCT b.user_id, p.department_id FROM c_basket b JOIN c_products p ON b.product_id = p.product_id),
@@ -170,8 +165,8 @@ nb AS (SELECT ud.user_id, pop.product_id, ud.department_id, CAST(row_number() OV
        FROM ud JOIN pop ON ud.department_id = pop.department_id
        WHERE NOT EXISTS (SELECT 1 FROM c_basket h WHERE h.user_id = ud.user_id AND h.product_id = pop.product_id))""",
        sql="SELECT * FROM nb WHERE rank <= 20")
-def _never_bought(c):
-    return BK.never_bought(c.basket, c.products, 20)
+def _negatives(c):
+    return BK.negative_candidates(c.basket, c.products, 20)
 
 
 @query("order_sequence_features", "W10,W13", ctes="""

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.functions import fixed as FX
 from basketlens.functions.scalar import key_hash_sql
 from basketlens.operators import evaluate as E
 from basketlens.operators import features as FT
@@ -16,14 +17,7 @@ from basketlens.plans.evaluate_helpers import demo_predictions
 from basketlens.plans.registry import query
 from basketlens.session import ensure_checkpoint_dir
 
-FEATURES = ["user_total_orders_x", "user_avg_days_between_orders", "user_min_days_between_orders",
-            "user_max_days_between_orders", "user_std_days_between_orders", "user_preferred_hour",
-            "user_preferred_dow", "user_total_products", "user_avg_basket_size", "user_unique_products",
-            "user_reorder_rate", "aisle_id", "department_id", "product_total_orders", "product_reorder_rate",
-            "product_reorder_count", "product_total_purchases", "product_avg_cart_position",
-            "product_unique_users", "product_preferred_hour", "product_preferred_dow", "up_orders_count",
-            "up_reorder_count", "up_avg_cart_position", "up_last_order_number", "user_max_order_number",
-            "up_days_since_last_purchase", "user_total_orders_y", "up_order_rate", "up_reorder_rate"]
+FEATURES = FX.MODEL_FEATURES
 
 CANDS = q_features.NB + ",\ncand AS (" + q_features.CANDIDATES_SQL + f"""),
 spl AS (SELECT *, CASE WHEN {key_hash_sql('user_id', 42)}
@@ -52,7 +46,7 @@ def _test(c):
 
 
 def _scaler(c):
-    return _memo(c, "ml_scaler", lambda: M.scaling_stage(M.scaler_params(_train(c), FEATURES), FEATURES))
+    return _memo(c, "ml_scaler", lambda: M.scaling_stage(M.feature_moments(_train(c), FEATURES), FEATURES))
 
 
 def _model(c, kind):
@@ -183,22 +177,11 @@ def _combined(c):
                                  M.target_correlation(_split(c), FEATURES))
 
 
-@query("univariate_selection", "M6")
-def _univariate(c):
-    return M.univariate_selection(_train(c), FEATURES, 10)
-
-
 @query("ensemble_scores", "M15")
 def _ensemble(c):
     return M.ensemble(_scores(c, "gbt"), _scores(c, "random_forest"), 0.6, 0.4)
 
 
-@query("stacking_scores", "M16")
-def _stacking(c):
-    kinds = ("gbt", "random_forest", "logistic")
-    return M.stacking({k: _scores(c, k, "train") for k in kinds}, {k: _scores(c, k, "test") for k in kinds})
-
-
 @query("holdout_validation", "E15,M17,M18,E7,E8")
 def _holdout(c):
     path, _ = _model(c, "gbt")
@@ -243,7 +226,7 @@ def _name_scores(c, kind):
         split = _name_split(c)
         train = split.where(F.col("split") == "train")
         scaler = _memo(c, "ml_name_scaler",
-                       lambda: M.scaling_stage(M.scaler_params(train, FEATURES), FEATURES))
+                       lambda: M.scaling_stage(M.feature_moments(train, FEATURES), FEATURES))
         model = M.fit(kind, train, FEATURES, scaler)
         return M.score(model, split.where(F.col("split") == "test"), FEATURES).checkpoint(eager=True)
     return _memo(c, ("ml_name_scores", kind), build)

@@ -41,5 +41,6 @@ def query(name: str, ref: str, sql: str | None = None, ctes: str = "", raw_sql:
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
     from basketlens.plans import (  # noqa: F401
-        q_sources, q_quality, q_kpi, q_behaviour, q_features, q_evaluate, q_basket, q_models)
+        q_sources, q_quality, q_kpi, q_behaviour, q_features, q_evaluate, q_basket, q_models, q_selection,
+        q_roundtrips, q_ensemble)
     return REGISTRY
