@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from basketlens.llm.common import Words, held, ragged
 
 #: Distinct pieces of which a worker remembers the ids; beyond it a piece is simply encoded again.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
 _JOIN = 400
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from basketlens.session import ensure_checkpoint_dir
 
 #: Text bytes that one vectorised step handles at most (a longer text is a step of its own).
-STEP_BYTES = 8_000_000
+STEP_BYTES = 3_000_000
 
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,20 +31,83 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a query's shuffle files when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Once it is written, the shuffle files of the query are of no use and deleted.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the folder of a table that ``stage`` wrote and that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, _folders(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those given to the function that this yields.
+
+    A table that is kept belongs to the scope around this one, if there is one.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rpartition("/")[2] for f in _folders(df))
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        stays = [p for p in made if p.rpartition("/")[2] in kept]
+        _delete(spark, (p for p in made if p not in stays))
+        if _SCOPES:
+            _SCOPES[-1].extend(stays)
+
+
+_BEFORE: dict[str, list[str]] = {}
+
+
+@contextmanager
+def step_of(spark: SparkSession, chain: str) -> Iterator[None]:
+    """A step of a chain whose every output is written before the next step begins: what the step before staged is
+    deleted first, what this one stages stays for its output."""
+    _delete(spark, _BEFORE.pop(chain, ()))
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _BEFORE[chain] = made
 
 
 def one_row_per_id(rows: DataFrame) -> DataFrame:
@@ -113,7 +177,9 @@ def split(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]:
 def steps(batches: Iterator[pa.RecordBatch], col: str = "text") -> Iterator[pa.RecordBatch]:
     """The parts of all batches of a task, whose memory is given back at its end."""
     for batch in batches:
-        yield from split(batch, col)
+        for part in split(batch, col):
+            yield part
+            pa.default_memory_pool().release_unused()
     release()
 
 

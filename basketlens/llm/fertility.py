@@ -37,7 +37,7 @@ MIN_CLASS = 30
 #: Width of the histogram bins, and the least spread.
 BINS = {"chars_per_token": (0.002, 0.01), "token_entropy": (0.01, 0.02)}
 #: Distinct words of which a worker remembers the tokens; beyond it a word is simply tokenised again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 @dataclass(frozen=True)

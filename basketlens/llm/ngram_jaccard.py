@@ -34,10 +34,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix64, one_row_per_id, ragged, split, stage, steps
+from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix64, one_row_per_id, ragged, scratch, split, stage, steps
 
 #: Size bands grow by two steps of the size ratio that links allow.
 BAND_STEPS = 2
@@ -225,7 +225,7 @@ def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tu
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -240,22 +240,22 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 
 
 def _against_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """For documents a and pivots b: linked, set sizes, and the shingles x that one of the two lacks."""
+    """For documents a (of weight w) and pivots b: linked, set sizes, and the shingles x that one of the two lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for outer in steps(batches, "ta"):
             for b in split(outer, "tb"):
                 size, linked, x, row = _differences(b.column("ta"), b.column("tb"), n, num, den)
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("a"), b.column("b"), pa.array(linked), pa.array(size[0]), pa.array(size[1]),
+                    b.column("a"), b.column("b"), b.column("w"), pa.array(linked), pa.array(size[0]), pa.array(size[1]),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64)))],
-                    names=["a", "b", "linked", "n_a", "n_b", "x"])
+                    names=["a", "b", "w", "linked", "n_a", "n_b", "x"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, x array<long>")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, w long, linked boolean, n_a long, n_b long, x array<long>")
 
 
 def _regroup(star: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, id, side): documents of a large part dealt anew by what tells them from their pivot.
+    """(key, id, side, w): documents of a large part dealt anew by what tells them from their pivot.
 
     X and Y, the differences of two documents from the pivot, differ by as
     much as the documents do.  Where one of the two is not linked to the pivot,
@@ -275,15 +275,30 @@ def _regroup(star: DataFrame, num: int, den: int) -> DataFrame:
         "across": F.expr(f"CASE WHEN linked THEN {size} - floor(({size} + {c} * (n_b - n_a) / ({den} + {num})) / 2) "
                          f"ELSE {size} - greatest(1, {size} - {most}) + 1 END")})
     first = F.expr("slice(x, 1, cast(greatest(to_unlinked, across, 0) AS int))")
-    e = s.select("a", "b", "linked", "to_unlinked", "across", F.posexplode(first).alias("k", "e"))
-    near = e.where("not linked and k < to_unlinked").select(F.xxhash64("b", "e", F.lit(0)).alias("key"), "a", F.lit(0).alias("side"))
+    e = s.select("a", "b", "w", "linked", "to_unlinked", "across", F.posexplode(first).alias("k", "e"))
+    near = e.where("not linked and k < to_unlinked").select(F.xxhash64("b", "e", F.lit(0)).alias("key"), "a", F.lit(0).alias("side"), "w")
     far = e.where("k < across").select(
-        F.xxhash64("b", "e", F.lit(1)).alias("key"), "a", F.when(F.col("linked"), 1).otherwise(2).alias("side"))
-    return near.unionAll(far).withColumnRenamed("a", "id")
+        F.xxhash64("b", "e", F.lit(1)).alias("key"), "a", F.when(F.col("linked"), 1).otherwise(2).alias("side"), "w")
+    return _one_of_equal(near.unionAll(far).withColumnRenamed("a", "id"))
+
+
+def _one_of_equal(groups: DataFrame) -> DataFrame:
+    """One of the groups with the same documents on the same sides: what it finds, the others find."""
+    h = F.xxhash64("id", "side")
+    told = groups.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"),
+                                     F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).where("m > 1")
+    first = told.groupBy("m", "x", "s").agg(F.min("key").alias("key"))
+    return groups.join(first.select("key"), "key", "left_semi")
 
 
 def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, component) for documents (id, text) with distinct ids."""
+    """(id, n, component) for documents (id, text) with distinct ids; a staged table."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(stage(_linked(docs, n, num, den), "components"))
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``_join_groups`` as a plan over tables of its own scope."""
     base = stage(sketches(docs, n, num, den), "sketches")
     meta = ["n", *(f"s{k}" for k in range(SKETCH_WORDS))]
     info = base.select("id", *meta)
@@ -295,8 +310,10 @@ def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     keyed = base.where("n > 0").select("id", F.explode("keys").alias("key")).repartition("key")
     met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
     met = stage(met.join(copies, "id", "left_anti").select("key", "id"), "members")
-    low = met.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
-    members = stage(met.join(low, "key"), "members")        # key, id, b: smallest id of the part, c: documents of it
+    many = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # key, id, w: the company that a document has in all its parts
+    members = stage(met.join(many, "key").withColumn("w", F.sum("c").over(Window.partitionBy("id"))), "members")
+    drop_staged(met)
     texts = stage(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     def candidates(ab: DataFrame) -> DataFrame:
@@ -305,11 +322,12 @@ def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             ab = ab.join(info.select(F.col("id").alias(x), *(F.col(m).alias(f"{x}_{m}") for m in meta)), x)
         return _close(ab, num, den).select("a", "b")
 
-    tried = stage(candidates(members.select(F.col("id").alias("a"), "b")), "tried")
+    # the document with most company is the likeliest original of near copies: the others of the part meet there
+    hub = members.groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
+    tried = stage(candidates(members.join(hub, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b"))), "tried")
     links = stage(verify(tried, texts, n, num, den), "links")
     comp = components(links)
-    company = stage(members.groupBy("id").agg(F.sum("c").alias("w")), "company")
-    groups = members.where("c > 2").select("key", "id", F.lit(0).alias("side"))
+    groups = _one_of_equal(members.where("c > 2").select("key", "id", F.lit(0).alias("side"), "w"))
     rounds = 0
     while True:
         # parts that hold documents of several components, and a pair of them that is not known yet
@@ -327,30 +345,33 @@ def _join_groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         new = stage(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(new)
         fresh = verify(new, texts, n, num, den)
-        # the document with most company is the likeliest original of near copies
         large = open_.where(f"m > {SMALL}")
         more = not large.isEmpty()
         if more:
-            pivot = large.join(company, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
+            pivot = large.groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
             if not rounds:
                 # parts of one cluster take one pivot: the best of all parts that their documents are in
-                best = large.join(pivot, "key").groupBy("id").agg(F.max("p").alias("p"))
-                pivot = large.join(best, "id").groupBy("key").agg(F.max("p").alias("p"))
+                best = F.max("p").over(Window.partitionBy("id"))
+                pivot = large.join(pivot, "key").withColumn("best", best).groupBy("key").agg(F.max("best").alias("p"))
             rounds += 1
-            star = large.join(pivot, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b")).where("a <> b").distinct()
+            star = large.join(pivot, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b"), "w").where("a <> b").distinct()
             star = stage(_against_pivot(star, texts, n, num, den), "star")
             fresh = fresh.unionAll(star.where("linked").select("a", "b"))
-            groups = stage(_regroup(star, num, den), "groups")
+            old, groups = groups, stage(_regroup(star, num, den), "groups")
+            if rounds > 1:
+                drop_staged(old)
         # only links between components change anything
         side = comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         other = comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         fresh = stage(fresh.join(side, "a", "left").join(other, "b", "left").where(
             "coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "links")
+        drop_staged(open_)
         if not fresh.isEmpty():
             links = links.unionAll(fresh)
             comp = components(links)
         if not more:
             break
+        drop_staged(star)
     # copies follow their representative; their own component is known by it
     placed = base.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return placed.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
