@@ -22,24 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import GOLDEN, Words, mix64, stage, steps, text_bytes
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 5, 0.4, 2
 #: Text bytes that one hash range stands for: sets the number of ranges, in proportion to the input.
 RANGE_BYTES = 12_000_000
 
 
 def _squeeze(values: np.ndarray) -> bytes:
     """64-bit numbers as byte planes, compressed."""
+    import zstandard
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
+    import zstandard
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
@@ -47,6 +48,7 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents (id, text) in blocks: block, ids, sizes (bytes), n_words, blob (compressed texts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         for b in steps(batches):
             texts = b.column("text").to_pylist()
             words = sum(len(t.split()) for t in texts)
@@ -64,6 +66,7 @@ class _Block:
     """Word hashes of a block and, order by order, its n-grams and their counts in the corpus."""
 
     def __init__(self, sizes: list[int], blob: bytes):
+        import zstandard
         raw = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b""
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         text = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at.tobytes()), pa.py_buffer(raw))

@@ -261,7 +261,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct non-null id: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans ("start:end,...").
+    """Per distinct non-null id: id, n_bytes, n_removed, n_spans, kept_sha256, longest_span (bytes of the longest removed
+    run), kept (bytes), spans ("start:end,...").
 
     Every byte covered by a string of ``length`` bytes that also starts
     elsewhere goes; all is judged on the input.  Null text is empty.  Rows
@@ -286,11 +287,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     kept.append(text[done:s])
                     done = e
                 kept = b"".join([*kept, text[done:]])
-                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept,
-                            ",".join(f"{s}:{e}" for s, e in spans.tolist())))
-            types = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string()]
+                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
+                            int((spans[:, 1] - spans[:, 0]).max()) if len(spans) else 0, kept, ",".join(f"{s}:{e}" for s, e in spans.tolist())))
+            types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=names)
 
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_span", "kept", "spans"]
     return joined.select("id", "text", "runs").mapInArrow(
-        run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans string")
+        run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_span long, "
+             "kept binary, spans string")

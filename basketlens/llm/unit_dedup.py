@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.common import one_row_per_id, stage, steps, text_bytes
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SEPARATORS = {"line": rb"\n", "paragraph": rb"\n[\x20\x09-\x0D]*\n"}
 
 
@@ -39,12 +39,12 @@ def _n_chars(raw: bytes) -> int:
 
 
 def digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """(id, rank, pos, start, end, h1, h2) of the units with ``min_words`` words or more; start and end in code points."""
+    """(id, rank, pos, start, end, words, h1, h2) of the units with ``min_words`` words or more; start and end in code points."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            row, pos, start, end, digest = [], [], [], [], []
+            row, pos, start, end, size, digest = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 ascii_ = text.isascii()
                 chars, at = 0, 0
@@ -58,24 +58,26 @@ def digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
                         pos.append(k)
                         start.append(chars)
                         end.append(chars + width)
+                        size.append(len(words))
                         digest.append(xxh3_128_digest(b" ".join(words)))
                     chars, at = chars + width, e
             h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 b.column("id").take(take), b.column("rank").take(take), pa.array(pos, pa.int32()),
-                pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["id", "rank", "pos", "start", "end", "h1", "h2"])
+                pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(size, pa.int64()),
+                pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                names=["id", "rank", "pos", "start", "end", "words", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id long, rank double, pos int, start long, end long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, rank double, pos int, start long, end long, words long, h1 long, h2 long")
 
 
 def repeated_units(docs: DataFrame, unit: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(units, the units to remove) of documents (id, rank, text)."""
+    """(units, the units that occur elsewhere, with ``gone``: not the first one) of documents (id, rank, text)."""
     units = stage(digests(docs, unit, min_words), "units")
     first = units.groupBy("h1", "h2").agg(F.min(F.struct("rank", "id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    gone = units.join(first.drop("c"), ["h1", "h2"]).where("struct(rank, id, pos) <> first")
-    return units, gone
+    again = units.join(first.drop("c"), ["h1", "h2"]).withColumn("gone", F.expr("struct(rank, id, pos) <> first"))
+    return units, again
 
 
 def _cut(text: bytes, unit: str, gone: set[int]) -> bytes:
@@ -92,7 +94,8 @@ def _cut(text: bytes, unit: str, gone: set[int]) -> bytes:
 
 def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, rank_col: str | None = None,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct non-null id: id, n_units, n_removed, removed ("start:end,..."), kept_text, kept_sha256.
+    """Per distinct non-null id: id, n_units, n_removed, removed ("start:end,..."), n_repeated (units that occur elsewhere,
+    the first one too), longest_repeat (words of the longest of those), kept_text, kept_sha256.
 
     Units with fewer than ``min_words`` words are never removed and not
     counted.  ``rank_col`` (ascending, null last) comes before the id.  Null
@@ -102,9 +105,11 @@ def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     rank = F.coalesce(docs[rank_col].cast("double"), F.lit(float("inf"))) if rank_col else F.lit(0.0)
     rows = one_row_per_id(docs.select(docs[id_col].cast("long").alias("id"), rank.alias("rank"), text_bytes(text_col).alias("text"))
                           .where("id is not null"))
-    units, gone = repeated_units(rows, unit, min_words)
+    units, again = repeated_units(rows, unit, min_words)
     counts = units.groupBy("id").agg(F.count("*").alias("n_units"))
-    spans = gone.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("gone"))
+    spans = again.groupBy("id").agg(
+        F.count("*").alias("n_repeated"), F.max("words").alias("longest_repeat"),
+        F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("pos", "start", "end")))).alias("gone"))
     joined = rows.select("id", "text").join(counts, "id", "left").join(spans, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +121,10 @@ def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
                 removed.append(",".join(f"{x['start']}:{x['end']}" for x in g or ()))
             yield pa.RecordBatch.from_arrays([
                 b.column("id"), b.column("n_units").fill_null(0), pa.array([len(g or ()) for g in lists], pa.int64()),
-                pa.array(removed, pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
+                pa.array(removed, pa.string()), b.column("n_repeated").fill_null(0), b.column("longest_repeat").fill_null(0),
+                pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=names)
 
-    names = [id_col, "n_units", "n_removed", "removed", "kept_text", "kept_sha256"]
-    return joined.mapInArrow(run, f"`{id_col}` long, n_units long, n_removed long, removed string, kept_text string, kept_sha256 string")
+    names = [id_col, "n_units", "n_removed", "removed", "n_repeated", "longest_repeat", "kept_text", "kept_sha256"]
+    return joined.mapInArrow(run, f"`{id_col}` long, n_units long, n_removed long, removed string, n_repeated long, "
+                                  "longest_repeat long, kept_text string, kept_sha256 string")

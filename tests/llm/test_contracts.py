@@ -78,14 +78,72 @@ def test_secret_base(spark, odd):
         assert out.columns == df.columns and out.count() == df.count()
 
 
-def test_randomness_battery():
+ALPHABETS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower base32": "abcdefghijklmnopqrstuvwxyz234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "letters": "abcdefghijklmnopqrstuvwxyz", "LETTERS": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "mixed letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+@pytest.fixture(scope="module")
+def null():
+    return secret_scan.TextNull(secret_scan.default_vocabulary())
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_tokens_of_every_encoding_are_found(null, name):
     r = random.Random(5)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    secrets = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(200)]
-    found = sum(bool(secret_scan.random_spans(f"see {s} there", [])) for s in secrets if secret_scan.infer(s))
-    assert found >= 180
-    plain = ["Abbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb1", "ThisIsAVeryLongCamelCaseIdentifierNameForAClass1", "0101010101010101010101010101abababab"]
-    assert not any(secret_scan.random_spans(p, []) for p in plain)
+    tokens = ["".join(r.choice(ALPHABETS[name]) for _ in range(48)) for _ in range(200)]
+    found = sum(secret_scan.random_spans(f"Bearer {t} there", [], null) == [(7, 55, secret_scan.infer(t)[0])] for t in tokens)
+    assert found >= 180, found
+
+
+def test_ordinary_tokens_are_left_alone(null):
+    """Long identifiers, constants and paths in the standard library's sources: names in groups of ten, and one by one."""
+    import os
+    names = set()
+    for m in ("argparse", "asyncio/base_events", "dataclasses", "email/message", "http/client", "inspect", "logging/__init__", "socket",
+              "ssl", "subprocess", "tarfile", "threading", "typing", "unittest/case", "zipfile/__init__"):
+        with open(os.path.join(os.path.dirname(os.__file__), f"{m}.py"), errors="ignore") as f:
+            names |= {t for t in re.findall(r"[A-Za-z0-9+/_-]{20,}", f.read()) if re.search("[A-Za-z]", t)}
+    names = sorted(names)
+    assert len(names) > 200
+    tens = [" ".join(names[i::len(names) // 10]) for i in range(len(names) // 10)]
+    assert sum(len(secret_scan.random_spans(t, [], null)) for t in tens) <= 0.02 * len(names)
+    assert sum(bool(secret_scan.random_spans(n, [], null)) for n in names) <= 0.05 * len(names)
+    plain = ["Abbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb1", "ThisIsAVeryLongCamelCaseIdentifierNameForAClass1", "0101010101010101010101010101abababab",
+             "20240131120000202402011200002024020212", "the_quick_response_to_a_long_question"]
+    assert not any(secret_scan.random_spans(p, [], null) for p in plain)
+
+
+def test_battery_of_single_tokens():
+    """The vectorised tests give one token the p-values of its row among many."""
+    r = np.random.default_rng(3)
+    many = r.integers(0, 64, (50, 40))
+    whole = secret_scan.randomness(many, 64)
+    assert np.allclose(whole, np.concatenate([secret_scan.randomness(m[None], 64) for m in many]))
+    assert (secret_scan.randomness(np.zeros((1, 40), np.int64), 64) < 1e-6).any()
+    assert secret_scan.looks_random(many, 64).mean() > 0.3
+
+
+def test_equal_tokens_are_one_hypothesis(null):
+    r = random.Random(4)
+    token = "".join(r.choice(ALPHABETS["base62"]) for _ in range(64))
+    text = f"{token} and {token}"
+    assert [s[:2] for s in secret_scan.random_spans(text, [], null)] == [(0, 64), (69, 133)]
+    assert secret_scan.random_spans(text, [(0, 133, "assign")], null) == [] and secret_scan.random_spans("", [], null) == []
+
+
+def test_redacted_texts(spark, null):
+    r = random.Random(2)
+    token = "".join(r.choice(ALPHABETS["base36"]) for _ in range(44))
+    rows = [(1, f"Bearer {token} end", 55), (2, 'token = "abcdef0123456789abcdef" x', 35), (3, None, None), (3, "plain", 5), (None, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in secret_scan.redact(df).collect()}
+    assert got == {(1, "Bearer [SECRET] end", 19), (2, '[SECRET]" x', 11), (3, None, None), (3, "plain", 5), (None, "", 0)}
 
 
 @pytest.mark.parametrize("group_words", [200_000, 30])

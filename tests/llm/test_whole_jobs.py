@@ -29,7 +29,7 @@ def test_every_line_that_repeats_goes(spark, tmp_path):
     rows = [(1, "Home\nAbout us\n\nsome words that are here only once"), (2, "home\n\nabout  US\nHome\nmore"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed"])
-           for r in queries.QUERIES["op6_line_dedup_every_line"](spark, str(tmp_path)).collect()}
+           for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: (3, 0, ""), 2: (4, 3, "0:4,6:15,16:20"), 3: (0, 0, "")}
 
 
@@ -37,7 +37,7 @@ def test_backoff_counts_five_words(spark, tmp_path):
     """A five-word phrase seen twice is not scored by its bigrams."""
     import math
     spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "x b c d q")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.QUERIES["op4_stupid_backoff_order5"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_stupid_backoff"](spark, str(tmp_path)).collect()}
     # a: 2/15; b c d e after their whole contexts: 2/2, 2/2, 2/2, 2/2
     assert (got[1]["n_backoffs"], got[1]["log_score"]) == (0, round(math.log(2 / 15), 4))
     # x 1/15; b: 0.4 * 3/15; c after b, unseen after x b: 0.4 * 3/3; d: 0.4 * 3/3 after b c; q: 0.4 ** 4 * 1/15
