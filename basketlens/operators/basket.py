@@ -9,20 +9,27 @@ from pyspark.sql import functions as F
 from basketlens.functions import scalar as S
 from basketlens.operators.common import with_scalars
 from basketlens.operators.ordered import ordered_scan
-
-
-def ntile(df: DataFrame, col: str, n: int, out: str, tie: str, descending: bool = False) -> DataFrame:
-    """SQL ``NTILE(n) OVER (ORDER BY col, tie)`` without a single-partition
-    window: the global rank comes from the skew-safe ordered scan, then the
-    NTILE bucket rule (the first ``rows mod n`` buckets get one extra row)."""
-    ranked = ordered_scan(df, [], [col, tie], counter="__rank", descending=descending)
+from basketlens.operators.staging import staged
+
+
+def ntiles(df: DataFrame, key: str, n: int, scores: dict[str, tuple[str, bool]]) -> DataFrame:
+    """SQL ``NTILE(n) OVER (ORDER BY col, key)`` of several columns at once
+    (score -> column, descending; the key breaks ties in the same direction)
+    without a single-partition window: the columns are stacked, one skew-safe
+    ordered scan ranks each, then the NTILE rule (the first ``rows mod n``
+    buckets get one extra row) gives the buckets, which are joined back."""
+    value = lambda c, down: -F.col(c).cast("double") if down else F.col(c).cast("double")
+    parts = F.array(*(F.struct(F.lit(s).alias("s"), value(c, down).alias("v"), (-F.col(key) if down else F.col(key)).alias("t"))
+                      for s, (c, down) in scores.items()))
+    ranked = ordered_scan(df.select(key, F.explode(parts).alias("p")).select(key, "p.*"), ["s"], ["v", "t"], counter="__rank")
     x = with_scalars(ranked, df.agg(F.count(F.lit(1)).alias("__n")))
     q = F.floor(F.col("__n") / n)
     r = F.col("__n") % n
     big = r * (q + 1)
     bucket = F.when(F.col("__rank") <= big, F.floor((F.col("__rank") - 1) / (q + 1)) + 1) \
-        .otherwise(r + F.floor((F.col("__rank") - big - 1) / q) + 1)
-    return x.withColumn(out, bucket.cast("int")).drop("__rank", "__n")
+        .otherwise(r + F.floor((F.col("__rank") - big - 1) / q) + 1).cast("int")
+    wide = x.groupBy(key).agg(*(F.max(F.when(F.col("s") == s, bucket)).alias(s) for s in scores))
+    return df.join(wide, key)
 
 
 def rfm(orders_raw: DataFrame) -> DataFrame:
@@ -33,11 +40,9 @@ def rfm(orders_raw: DataFrame) -> DataFrame:
         F.max("o_orderdate").alias("__last"), F.count(F.lit(1)).alias("frequency"),
         F.sum("o_totalprice").alias("monetary"))
     latest = orders_raw.agg(F.max("o_orderdate").alias("__max"))
-    per = (with_scalars(per, latest)
-           .withColumn("recency", F.datediff("__max", "__last")).drop("__max", "__last"))
-    per = ntile(per, "recency", 5, "r_score", "user_id", descending=True)
-    per = ntile(per, "frequency", 5, "f_score", "user_id")
-    per = ntile(per, "monetary", 5, "m_score", "user_id")
+    per = staged(with_scalars(per, latest)
+                 .withColumn("recency", F.datediff("__max", "__last")).drop("__max", "__last"), "rfm")
+    per = ntiles(per, "user_id", 5, {"r_score": ("recency", True), "f_score": ("frequency", False), "m_score": ("monetary", False)})
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     seg = (F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
            .when((r <= 1) & ((f >= 4) | (m >= 4)), "Can't Lose Them")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from basketlens.functions import scalar as S
 from basketlens.operators.common import with_scalars
 from basketlens.operators.kpi import basket_sizes, one_row
 from basketlens.operators.ordered import ordered_scan
+from basketlens.operators.staging import staged
 from basketlens.operators.stats import exact_quantiles, mode_by
 
 
@@ -24,10 +23,18 @@ def segment_filter(orders: DataFrame, lo: int | None, hi: int | None) -> DataFra
     return orders.where(cond)
 
 
-def _per_segment(orders: DataFrame, fn) -> DataFrame:
-    parts = [fn(segment_filter(orders, lo, hi)).withColumn("segment", F.lit(name))
-             for name, lo, hi in S.SEGMENTS]
-    return reduce(DataFrame.unionByName, parts)
+def with_segments(orders: DataFrame, *cols: str) -> DataFrame:
+    """(segment, cols...), a row for each of the (overlapping) segments that an order is in: one scan for all."""
+    number = F.col("order_number")
+    inside = [F.when((F.lit(True) if lo is None else number >= lo) & (F.lit(True) if hi is None else number <= hi), F.lit(name))
+              for name, lo, hi in S.SEGMENTS]
+    return orders.select(F.explode(F.array_compact(F.array(*inside))).alias("segment"), *cols)
+
+
+def _every_segment(found: DataFrame, counts) -> DataFrame:
+    """One row for each segment; ``counts`` of one without orders are 0."""
+    names = found.sparkSession.createDataFrame([(n,) for n, *_ in S.SEGMENTS], "segment string")
+    return names.join(F.broadcast(found), "segment", "left").na.fill(0, subset=list(counts))
 
 
 def overview_kpis(orders: DataFrame, items: DataFrame, products: DataFrame,
@@ -35,42 +42,52 @@ def overview_kpis(orders: DataFrame, items: DataFrame, products: DataFrame,
     """A11 (13 KPIs).  repeat_order_pct = % orders with order_number > 1
     (the dashboard's "reorder rate", T4); retention = % users with any order
     number > 5; departments_count via the enriched catalogue (J3)."""
-    sizes = basket_sizes(items)
-    per_user = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
-                                             F.max((F.col("order_number") > S.RETENTION_ORDER_NUMBER).cast("int"))
-                                             .alias("ret"))
-    detail = (items.select("product_id")
-              .join(products.select("product_id", "department_id"), "product_id", "left")
+    sums = {"repeat": (F.col("order_number") > 1).cast("int"), "gap": F.col("days_since_prior_order"),
+            "weekend": S.is_weekend(F.col("order_dow")), "peak": S.peak_hour(F.col("order_hour_of_day")).cast("int")}
+    per_user = orders.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.col("order_number") > S.RETENTION_ORDER_NUMBER).cast("int")).alias("ret"),
+        *(f(c).alias(f"{k}_{n}") for k, c in sums.items() for n, f in (("s", F.sum), ("k", F.count))))
+    mean = {k: F.sum(f"{k}_s") / F.nullif(F.sum(f"{k}_k"), F.lit(0)) for k in sums}
+    bought = items.select("product_id").distinct()
+    detail = (bought.join(products.select("product_id", "department_id"), "product_id", "left")
               .join(departments, "department_id", "left"))
     return one_row(
-        orders.agg(F.count(F.lit(1)).alias("total_orders"),
-                   F.countDistinct("user_id").alias("active_users"),
-                   (F.avg((F.col("order_number") > 1).cast("int")) * 100).alias("repeat_order_pct"),
-                   F.avg("days_since_prior_order").alias("avg_days_between_orders"),
-                   (F.avg(S.is_weekend(F.col("order_dow"))) * 100).alias("weekend_orders_pct"),
-                   (F.avg(S.peak_hour(F.col("order_hour_of_day")).cast("int")) * 100).alias("peak_hours_pct")),
-        items.agg(F.count(F.lit(1)).alias("total_products_sold")),
-        sizes.agg(F.avg("basket_size").alias("avg_basket_size")),
-        per_user.agg(F.avg("n").alias("orders_per_user"), (F.avg("ret") * 100).alias("user_retention_rate")),
+        per_user.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_orders"), F.count("user_id").alias("active_users"),
+                     (mean["repeat"] * 100).alias("repeat_order_pct"), mean["gap"].alias("avg_days_between_orders"),
+                     (mean["weekend"] * 100).alias("weekend_orders_pct"), (mean["peak"] * 100).alias("peak_hours_pct"),
+                     F.avg("n").alias("orders_per_user"), (F.avg("ret") * 100).alias("user_retention_rate")),
+        basket_sizes(items).agg(F.coalesce(F.sum("basket_size"), F.lit(0)).alias("total_products_sold"),
+                                F.avg("basket_size").alias("avg_basket_size")),
         detail.agg(F.countDistinct("product_id").alias("unique_products"),
                    F.countDistinct("department").alias("departments_count")))
 
 
 def segment_sizes(orders: DataFrame) -> DataFrame:
     """Orders and users per (overlapping) segment."""
-    return _per_segment(orders, lambda o: o.agg(F.count(F.lit(1)).alias("orders"),
-                                                F.countDistinct("user_id").alias("users")))
+    per_user = with_segments(orders, "user_id").groupBy("segment", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_user.groupBy("segment").agg(F.sum("n").alias("orders"), F.count("user_id").alias("users"))
+    return _every_segment(sizes, ["orders", "users"])
 
 
 def time_headline(orders: DataFrame) -> DataFrame:
     """A26 per segment: peak hour, peak dow (first mode), mean order number,
-    active users."""
-    def one(o):
-        return one_row(mode_by(o, [], "order_hour_of_day", "peak_hour"),
-                       mode_by(o, [], "order_dow", "peak_dow"),
-                       o.agg(F.avg("order_number").alias("avg_order_number"),
-                             F.countDistinct("user_id").alias("active_users")))
-    return _per_segment(orders, one)
+    active users.  One scan counts (segment, hour, dow) cells, at most 168 a
+    segment; another one the users."""
+    cells = with_segments(orders, "order_hour_of_day", "order_dow", "order_number").groupBy(
+        "segment", "order_hour_of_day", "order_dow").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("order_number").alias("s"), F.count("order_number").alias("k"))
+    cells = staged(cells, "segment_cells")
+
+    def peak(col: str, out: str) -> DataFrame:
+        per = cells.where(F.col(col).isNotNull()).groupBy("segment", col).agg(F.sum("n").alias("n"))
+        return per.groupBy("segment").agg(F.min_by(col, F.struct((-F.col("n")).alias("n"), F.col(col).alias("v"))).alias(out))
+
+    users = with_segments(orders, "user_id").select("segment", "user_id").distinct().groupBy("segment").agg(
+        F.count("user_id").alias("active_users"))
+    found = (cells.groupBy("segment").agg((F.sum("s") / F.sum("k")).alias("avg_order_number"))
+             .join(peak("order_hour_of_day", "peak_hour"), "segment", "left").join(peak("order_dow", "peak_dow"), "segment", "left")
+             .join(users, "segment", "left"))
+    return _every_segment(found, ["active_users"])
 
 
 def dow_stats(orders: DataFrame) -> DataFrame:
@@ -206,28 +223,37 @@ def dow_hour_heatmap(orders: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1))).na.fill(0))
 
 
-def quartile_scores(df: DataFrame, col: str, labels: list[str], out: str) -> DataFrame:
-    """W8 (pandas ``qcut(q=4)``): exact quartile edges, right-closed bins, the
-    lowest bin closed; duplicate edges raise like qcut (T8)."""
-    names = {"e0": 0.0, "e1": 0.25, "e2": 0.5, "e3": 0.75, "e4": 1.0}
-    edges = exact_quantiles(df, col, names)
-    row = edges.first()
-    vals = [row[k] for k in names]
+QUARTILES = {"e0": 0.0, "e1": 0.25, "e2": 0.5, "e3": 0.75, "e4": 1.0}
+
+
+def quartile_label(col: str, edges, labels: list[str]):
+    """Right-closed bins, the lowest one closed; equal edges raise as
+    ``qcut`` does (T8)."""
+    vals = [edges[k] for k in QUARTILES]
     if len(set(vals)) < len(vals):
         raise ValueError(f"quartile edges of {col} are not unique: {vals}")
-    x = F.col(col)
-    e = [F.lit(v) for v in vals]
-    expr = (F.when((x >= e[0]) & (x <= e[1]), labels[0]).when(x <= e[2], labels[1])
+    x, e = F.col(col), [F.lit(v) for v in vals]
+    return (F.when((x >= e[0]) & (x <= e[1]), labels[0]).when(x <= e[2], labels[1])
             .when(x <= e[3], labels[2]).when(x <= e[4], labels[3]))
-    return df.withColumn(out, expr)
+
+
+def quartile_scores(df: DataFrame, col: str, labels: list[str], out: str) -> DataFrame:
+    """W8 (pandas ``qcut(q=4)``): exact quartile edges of one column."""
+    return df.withColumn(out, quartile_label(col, exact_quantiles(df, col, QUARTILES).first(), labels))
 
 
 def recency_frequency_scores(orders: DataFrame) -> DataFrame:
-    """Per-user recency (mean gap, null -> 30) and frequency quartiles."""
-    um = user_metrics(orders).withColumn("avg_days_filled",
-                                         F.coalesce(F.col("avg_days_between"), F.lit(S.RECENCY_FILL)))
-    um = quartile_scores(um, "avg_days_filled", S.RECENCY_LABELS, "recency_score")
-    um = quartile_scores(um, "total_orders", S.FREQUENCY_LABELS, "frequency_score")
+    """Per-user recency (mean gap, null -> 30) and frequency quartiles.
+    The per-user table is built once; one scan gives both columns' edges."""
+    um = staged(user_metrics(orders).select("user_id", "total_orders", F.coalesce(
+        F.col("avg_days_between"), F.lit(S.RECENCY_FILL)).alias("avg_days_filled")), "user_metrics")
+    cols = {"avg_days_filled": (S.RECENCY_LABELS, "recency_score"), "total_orders": (S.FREQUENCY_LABELS, "frequency_score")}
+    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in cols)
+    edges = {r["c"]: r for r in exact_quantiles(um.selectExpr(f"stack({len(cols)}, {pairs}) AS (c, v)"), "v", QUARTILES, ["c"]).collect()}
+    if not edges:
+        raise ValueError("no users to score")
+    for c, (labels, out) in cols.items():
+        um = um.withColumn(out, quartile_label(c, edges[c], labels))
     return um.select("user_id", "total_orders", "avg_days_filled", "recency_score", "frequency_score")
 
 

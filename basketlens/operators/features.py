@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions import fixed as FX
-from basketlens.operators.stats import mode_by
+from basketlens.operators.staging import staged
+from basketlens.operators.stats import mode_by, modes_by
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -120,54 +121,60 @@ def final_dataset_src(basket: DataFrame, orders: DataFrame, user_feats: DataFram
 
 
 # ----------------------------------------------------------- notebook variant
-def user_features(orders: DataFrame, basket: DataFrame) -> DataFrame:
+def pair_table(basket: DataFrame) -> DataFrame:
+    """Prior lines per (user, product), staged: what the user, product and
+    pair features are rolled up from, so the lines are read once for them."""
+    return staged(prior_basket(basket).groupBy("user_id", "product_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("reordered").cast("long").alias("reorders"), F.count("reordered").alias("labelled"),
+        F.sum("add_to_cart_order").cast("long").alias("cart"), F.count("add_to_cart_order").alias("placed"),
+        F.max("order_number").alias("last")), "pairs")
+
+
+def user_features(orders: DataFrame, basket: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The 11 ``user_*`` features over prior orders (raw gaps: first
     orders skipped, T3), numeric nulls -> 0."""
     prior = orders.where(F.col("eval_set") == "prior")
+    pairs = pair_table(basket) if pairs is None else pairs
     base = prior.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("user_total_orders"),
         F.avg("days_since_prior_order").alias("user_avg_days_between_orders"),
         F.min("days_since_prior_order").alias("user_min_days_between_orders"),
         F.max("days_since_prior_order").alias("user_max_days_between_orders"),
         F.stddev_samp("days_since_prior_order").alias("user_std_days_between_orders"))
-    pb = prior_basket(basket)
-    per_order = pb.groupBy("user_id", "order_id").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = per_order.groupBy("user_id").agg(F.sum("__n").cast("long").alias("user_total_products"),
-                                             F.avg("__n").alias("user_avg_basket_size"))
-    items = pb.groupBy("user_id").agg(F.countDistinct("product_id").alias("user_unique_products"),
-                                      F.avg("reordered").alias("user_reorder_rate"))
-    out = (base.join(mode_by(prior, ["user_id"], "order_hour_of_day", "user_preferred_hour"), "user_id", "left")
-           .join(mode_by(prior, ["user_id"], "order_dow", "user_preferred_dow"), "user_id", "left")
-           .join(sizes, "user_id", "left").join(items, "user_id", "left"))
-    return fill_numeric(out, 0)
-
-
-def product_features(basket: DataFrame, products: DataFrame) -> DataFrame:
+    with_lines = (prior_basket(basket).select("user_id", "order_id").distinct()
+                  .groupBy("user_id").agg(F.count("order_id").alias("__orders")))
+    items = pairs.groupBy("user_id").agg(
+        F.sum("n").alias("user_total_products"), F.count("product_id").alias("user_unique_products"),
+        (F.sum("reorders") / F.nullif(F.sum("labelled"), F.lit(0))).alias("user_reorder_rate"))
+    modes = modes_by(prior, ["user_id"], {"user_preferred_hour": "order_hour_of_day", "user_preferred_dow": "order_dow"})
+    out = (base.join(modes, "user_id", "left").join(items, "user_id", "left").join(with_lines, "user_id", "left")
+           .withColumn("user_avg_basket_size", F.col("user_total_products") / F.col("__orders")))
+    return fill_numeric(out.select("user_id", *(c for c in FX.MODEL_FEATURES if c in out.columns), "user_total_orders"), 0)
+
+
+def product_features(basket: DataFrame, products: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The 10 ``product_*`` features for the whole catalogue; the
-    per-product user lookup is a distinct count."""
-    pb = prior_basket(basket)
-    stats = pb.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("product_total_orders"),
-        F.avg("reordered").alias("product_reorder_rate"),
-        F.sum("reordered").cast("long").alias("product_reorder_count"),
-        F.count("reordered").alias("product_total_purchases"),
-        F.avg("add_to_cart_order").alias("product_avg_cart_position"),
-        F.countDistinct("user_id").alias("product_unique_users"))
+    per-product user lookup is a count of pairs."""
+    pairs = pair_table(basket) if pairs is None else pairs
+    stats = pairs.groupBy("product_id").agg(
+        F.sum("n").alias("product_total_orders"),
+        (F.sum("reorders") / F.nullif(F.sum("labelled"), F.lit(0))).alias("product_reorder_rate"),
+        F.sum("reorders").alias("product_reorder_count"), F.sum("labelled").alias("product_total_purchases"),
+        (F.sum("cart") / F.nullif(F.sum("placed"), F.lit(0))).alias("product_avg_cart_position"),
+        F.count("user_id").alias("product_unique_users"))
+    modes = modes_by(prior_basket(basket), ["product_id"], {"product_preferred_hour": "order_hour_of_day", "product_preferred_dow": "order_dow"})
     out = (products.select("product_id", "aisle_id", "department_id")
-           .join(stats, "product_id", "left")
-           .join(mode_by(pb, ["product_id"], "order_hour_of_day", "product_preferred_hour"), "product_id", "left")
-           .join(mode_by(pb, ["product_id"], "order_dow", "product_preferred_dow"), "product_id", "left"))
+           .join(stats, "product_id", "left").join(modes, "product_id", "left"))
     return fill_numeric(out, 0)
 
 
-def user_product_features(orders: DataFrame, basket: DataFrame) -> DataFrame:
+def user_product_features(orders: DataFrame, basket: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Pair history over prior lines; ``up_days_since_last_purchase``
     counts orders (user max order number - last order number with it)."""
-    pb = prior_basket(basket)
-    hist = pb.groupBy("user_id", "product_id").agg(
-        F.count("order_id").alias("up_orders_count"), F.sum("reordered").cast("long").alias("up_reorder_count"),
-        F.avg("add_to_cart_order").alias("up_avg_cart_position"),
-        F.max("order_number").alias("up_last_order_number"))
+    pairs = pair_table(basket) if pairs is None else pairs
+    hist = pairs.select(
+        "user_id", "product_id", F.col("n").alias("up_orders_count"), F.col("reorders").alias("up_reorder_count"),
+        (F.col("cart") / F.nullif(F.col("placed"), F.lit(0))).alias("up_avg_cart_position"), F.col("last").alias("up_last_order_number"))
     prior = orders.where(F.col("eval_set") == "prior")
     per_user = prior.groupBy("user_id").agg(F.max("order_number").alias("user_max_order_number"),
                                             F.count(F.lit(1)).alias("user_total_orders"))
@@ -190,26 +197,28 @@ def training_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> D
     and pair features; the two ``user_total_orders`` copies become ``_x``
     (user table) and ``_y`` (pair table) (P23); P21 fills by name."""
     samples = basket.where(F.col("eval_set") == "train").select("user_id", "product_id", LABEL)
-    uf = user_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_x")
-    pf = product_features(basket, products)
-    up = user_product_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_y")
+    pairs = pair_table(basket)
+    uf = user_features(orders, basket, pairs).withColumnRenamed("user_total_orders", "user_total_orders_x")
+    pf = product_features(basket, products, pairs)
+    up = user_product_features(orders, basket, pairs).withColumnRenamed("user_total_orders", "user_total_orders_y")
     out = (samples.join(uf, "user_id", "left").join(pf, "product_id", "left")
            .join(up, KEYS, "left"))
     out = out.na.fill({k: v for k, v in UP_FILLS.items()})
     return fill_numeric(out, 0)
 
 
-def _with_features(pairs: DataFrame, orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
-    uf = user_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_x")
-    pf = product_features(basket, products)
-    return fill_numeric(pairs.join(uf, "user_id", "left").join(pf, "product_id", "left"), 0)
+def _with_features(rows: DataFrame, orders: DataFrame, basket: DataFrame, products: DataFrame, pairs: DataFrame) -> DataFrame:
+    uf = user_features(orders, basket, pairs).withColumnRenamed("user_total_orders", "user_total_orders_x")
+    pf = product_features(basket, products, pairs)
+    return fill_numeric(rows.join(uf, "user_id", "left").join(pf, "product_id", "left"), 0)
 
 
 def candidate_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
     """Scoring candidates: every prior (user, product) pair of every user,
     with the 30 features and no label."""
-    up = user_product_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_y")
-    return _with_features(up, orders, basket, products)
+    pairs = pair_table(basket)
+    up = user_product_features(orders, basket, pairs).withColumnRenamed("user_total_orders", "user_total_orders_y")
+    return _with_features(up, orders, basket, products, pairs)
 
 
 def candidate_training_set(orders: DataFrame, basket: DataFrame, products: DataFrame) -> DataFrame:
@@ -218,16 +227,12 @@ def candidate_training_set(orders: DataFrame, basket: DataFrame, products: DataF
     is in that next order.  Same 30 features as ``training_set``."""
     train_lines = basket.where(F.col("eval_set") == "train").select("user_id", "product_id")
     train_users = basket.where(F.col("eval_set") == "train").select("user_id").distinct()
-    up = user_product_features(orders, basket).withColumnRenamed("user_total_orders", "user_total_orders_y")
+    pairs = pair_table(basket)
+    up = user_product_features(orders, basket, pairs).withColumnRenamed("user_total_orders", "user_total_orders_y")
     cands = up.join(train_users, "user_id", "left_semi")  # J11
     labelled = (cands.join(train_lines.withColumn(LABEL, F.lit(1)), KEYS, "left")
                 .withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(0))))
-    return _with_features(labelled, orders, basket, products)
-
-
-def feature_columns(df: DataFrame) -> list[str]:
-    """P20: every column except the keys and the label."""
-    return [c for c in df.columns if c not in (*KEYS, LABEL)]
+    return _with_features(labelled, orders, basket, products, pairs)
 
 
 def dataset_cardinality(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import scalar as S
 from basketlens.operators.common import side_by_side, with_scalars
+from basketlens.operators.staging import staged
 from basketlens.operators.stats import exact_quantiles, mode_by
 
 def one_row(*frames: DataFrame) -> DataFrame:
@@ -26,16 +27,17 @@ def basket_sizes(items: DataFrame) -> DataFrame:
 def eda_kpis(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Orders, users, items, mean/median basket, item reorder rate,
     mean/max orders per user."""
-    sizes = basket_sizes(items)
+    # one pass over the lines: orders by their size, as many rows as there are sizes
+    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("size"), F.sum("reordered").alias("r"), F.count("reordered").alias("k"))
+    sizes = staged(per_order.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum("k").alias("k")), "sizes")
     per_user = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.sum(F.col("size") * F.col("n"))
     return one_row(
-        orders.agg(F.count(F.lit(1)).alias("total_orders"),
-                   F.countDistinct("user_id").alias("total_users")),
-        items.agg(F.count(F.lit(1)).alias("total_items"),
-                  F.avg("reordered").alias("item_reorder_rate")),
-        sizes.agg(F.avg("basket_size").alias("avg_basket_size")),
-        exact_quantiles(sizes, "basket_size", {"median_basket_size": 0.5}),
-        per_user.agg(F.avg("n").alias("avg_orders_per_user"), F.max("n").alias("max_orders_per_user")))
+        per_user.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_orders"), F.count("user_id").alias("total_users"),
+                     F.avg("n").alias("avg_orders_per_user"), F.max("n").alias("max_orders_per_user")),
+        sizes.agg(F.coalesce(lines, F.lit(0)).alias("total_items"), (F.sum("r") / F.nullif(F.sum("k"), F.lit(0))).alias("item_reorder_rate"),
+                  (lines / F.sum("n")).alias("avg_basket_size")),
+        exact_quantiles(sizes, "size", {"median_basket_size": 0.5}, weight="n"))
 
 
 def prior_kpis(orders: DataFrame, prior: DataFrame) -> DataFrame:

@@ -57,15 +57,19 @@ _PID = "__bl_pid"
 _CONST = "__bl_all"
 
 
-def _same_as_previous(kdf: pd.DataFrame) -> np.ndarray:
+def _same_as_previous(cols) -> np.ndarray:
     """Row i has the same key tuple as row i-1 (nulls equal nulls)."""
-    same = np.ones(len(kdf), dtype=bool)
-    for c in kdf.columns:
-        a = kdf[c]
-        b = a.shift(1)
-        eq = (a == b).to_numpy(dtype=bool, na_value=False)
-        both_null = (a.isna() & b.isna()).to_numpy(dtype=bool)
-        same &= eq | both_null
+    n = len(cols[0])
+    same = np.ones(n, dtype=bool)
+    for c in cols:
+        if n < 2:
+            break
+        a, b = c.slice(1), c.slice(0, n - 1)
+        if c.null_count == 0 and pa.types.is_integer(c.type):
+            same[1:] &= a.to_numpy() == b.to_numpy()
+        else:
+            eq = pc.fill_null(pc.equal(a, b), False)
+            same[1:] &= pc.or_(eq, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
     return same
 
 
@@ -89,9 +93,6 @@ def _local_scan(keys, counter, sums, lags):
     per-run cumulative sum (no cancellation); lags are a shift masked at run
     starts.  State carries across the Arrow batches of one partition."""
 
-    needed = list(dict.fromkeys([*keys, *sums.values(), *lags.values()]))
-    nullable = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
-
     def run(batches):
         carry_key = None
         carry_n = 0
@@ -100,25 +101,24 @@ def _local_scan(keys, counter, sums, lags):
         for b in batches:
             if b.num_rows == 0:
                 continue
-            # nullable integer types: a null must not turn 64-bit values into floats
-            pdf = pa.Table.from_batches([b.select(needed)]).to_pandas(types_mapper=nullable.get)
-            kdf = pdf[keys]
-            same = _same_as_previous(kdf)
-            same[0] = carry_key is not None and _keys_equal(tuple(kdf[c].iloc[0] for c in keys), carry_key)
+            cols = [b.column(c) for c in keys]
+            same = _same_as_previous(cols)
+            same[0] = carry_key is not None and _keys_equal(tuple(c[0].as_py() for c in cols), carry_key)
             starts = ~same
-            idx = np.arange(len(pdf))
+            idx = np.arange(b.num_rows)
             run_start = np.maximum.accumulate(np.where(starts, idx, 0))
             cont = (run_start == 0) & bool(same[0])      # rows continuing the carried key
             number = (idx - run_start + 1 + np.where(cont, carry_n, 0)).astype("int64")
             new = [pa.array(number, pa.int64())]
             for out, src in sums.items():
-                col = pdf[src]
-                if pd.api.types.is_integer_dtype(col.dtype):
-                    v = col.fillna(0).to_numpy(dtype="int64")
+                col = b.column(src)
+                if pa.types.is_integer(col.type):
+                    v = pc.fill_null(col, 0).to_numpy(zero_copy_only=False).astype(np.int64)
                     pre = np.cumsum(v)
                     res = pre - (pre[run_start] - v[run_start])
                 else:
-                    res = col.astype(float).fillna(0).groupby(np.cumsum(starts)).cumsum().to_numpy()
+                    v = pc.fill_null(col.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                    res = pd.Series(v).groupby(np.cumsum(starts)).cumsum().to_numpy()
                 res = res + np.where(cont, carry_s[out], 0)
                 carry_s[out] = res[-1]
                 new.append(pa.array(res))
@@ -130,7 +130,7 @@ def _local_scan(keys, counter, sums, lags):
                 gone[0] = not cont[0]
                 new.append(pc.if_else(pa.array(gone), pa.scalar(None, col.type), before))
                 carry_l[out] = col[-1].as_py()
-            carry_key = tuple(kdf[c].iloc[-1] for c in keys)
+            carry_key = tuple(c[-1].as_py() for c in cols)
             carry_n = int(number[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, counter, *sums, *lags])
 

@@ -18,11 +18,12 @@ from basketlens.operators.ordered import ordered_scan
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Mapping[str, float],
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy / ``quantile_cont`` rule), wide.
 
     Returns ``by...`` plus one column per name in ``qs``.  Null values are
-    ignored; a group with no values is absent.
+    ignored; a group with no values is absent.  ``weight``: a column that says
+    how often a row counts.
     """
     by = list(by)
     user_by = list(by)
@@ -30,13 +31,13 @@ def exact_quantiles(df: DataFrame, col: str, qs: Mapping[str, float],
         df = df.withColumn("__g", F.lit(0))
         by = ["__g"]
     counts = (df.where(F.col(col).isNotNull())
-              .groupBy(*by, col).agg(F.count(F.lit(1)).alias("__c")))
+              .groupBy(*by, col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__c")))
     ranked = ordered_scan(counts, by, [col], counter="__r", sums={"__cum": "__c"})
     totals = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     qarr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"))
                      for name, q in qs.items()])
     pos = (F.col("__q.q") * (F.col("__n") - 1))
-    joined = (ranked.join(totals, by, "inner") if user_by
+    joined = (ranked.join(F.broadcast(totals), by, "inner") if user_by        # one row a group
               else with_scalars(ranked, totals.select("__n")))
     x = (joined
          .withColumn("__q", F.explode(qarr))
@@ -69,6 +70,20 @@ def mode_by(df: DataFrame, by: Sequence[str], col: str, alias: str | None = None
     return counts.groupBy(*by).agg(best.alias(alias or col))
 
 
+def modes_by(df: DataFrame, by: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
+    """``mode_by`` of several whole-number columns (alias -> column) in one
+    pass: the columns are stacked to (which, value) rows, which are counted
+    before the shuffle.  Groups without any value are absent."""
+    by = list(by)
+    kinds = {a: df.schema[c].dataType for a, c in cols.items()}
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("w"), F.col(c).cast("long").alias("v")) for i, c in enumerate(cols.values()))))
+    counts = (df.select(*by, each.alias("e")).where("e.v IS NOT NULL")
+              .groupBy(*by, F.col("e.w").alias("__w"), F.col("e.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    order = F.struct((-F.col("__c")).alias("nc"), F.col("__v").alias("v"))
+    return counts.groupBy(*by).agg(*(
+        F.min_by("__v", F.when(F.col("__w") == i, order)).cast(kinds[a]).alias(a) for i, a in enumerate(cols)))
+
+
 def all_modes(df: DataFrame, col: str) -> DataFrame:
     """Every value that reaches the top frequency (pandas ``mode()``)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))

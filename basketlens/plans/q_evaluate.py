@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from basketlens.functions import scalar as S
 from basketlens.operators import evaluate as E
 from basketlens.operators import features as FT
+from basketlens.operators import models as M
 from basketlens.plans import q_features
 from basketlens.plans.registry import query
 from basketlens.plans.evaluate_helpers import demo_predictions, demo_summary
+from basketlens.streaming.scoring import run_requests
 
 KS = E.KS
 
@@ -100,6 +102,19 @@ def _global(c):
     return E.global_evaluation(E.labelled_scores(c.orders, c.basket))
 
 
+HOLDOUT = SCORES + f""",
+ho AS (SELECT * FROM sc WHERE NOT {S.key_hash_sql('user_id', M.SPLIT_SEED)} < {M.TRAIN_FRACTION} * {S.HASH_MODULUS}),
+scg AS (SELECT 0 AS g, user_id, score, label, row_number() OVER (ORDER BY score DESC, user_id, item_id) AS item_id FROM ho)""" + "," + \
+    eval_ctes("scg", "g", "gl")
+
+
+@query("holdout_rate_validation", "E15,E11,M2", ctes=HOLDOUT, sql=_global_select("gl"))
+def _holdout_rates(c):
+    """The held-out users' metrics of the order-rate scorer, which needs no training."""
+    held = M.user_split(E.labelled_scores(c.orders, c.basket)).where(F.col("split") == "test")
+    return E.global_evaluation(held.drop("split"))
+
+
 @query("global_precision_recall_at_k", "E12", ctes=GLOBAL, sql=" UNION ALL ".join(
     f"SELECT {k} AS k, precision_at_{k} AS precision, recall_at_{k} AS recall FROM gl WHERE n_rows >= {k}"
     for k in (10, 20, 50)))
@@ -130,6 +145,16 @@ def _recs(c):
     return E.recommend(E.history_scores(c.orders, c.basket), 10)
 
 
+@query("stream_rate_answers", "R1,W7,M19", ctes=RECS, sql="""
+SELECT e.event_id, e.user_id, r.product_id, r.reorder_probability, r.rank, r.product_id IS NOT NULL AS answered
+FROM events e LEFT JOIN (SELECT * FROM recs WHERE rank <= 5) r ON r.user_id = e.user_id""")
+def _stream_rates(c):
+    """Every event answered by the stream with the five best products of its user by order rate."""
+    top = E.recommend(E.history_scores(c.orders, c.basket), 5)
+    return c.spark.read.parquet(run_requests(c.spark, c.sf_dir, top)).select(
+        "event_id", "user_id", "product_id", "reorder_probability", "rank", "answered")
+
+
 @query("recommendations_per_department", "A35,P24", ctes=RECS, sql="""
 SELECT coalesce(d.department, 'Unknown') AS department, count(*) AS recommendations FROM recs r
 LEFT JOIN c_products p ON r.product_id = p.product_id

@@ -54,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     target = spark.conf.get("spark.checkpoint.dir", None)
     if not target:
-        if sc.master.startswith("local"):
+        if sc.master == "local" or sc.master.startswith("local["):     # not local-cluster: its executors are processes of their own
             target = tempfile.mkdtemp(prefix="basketlens-ckpt-", dir="/tmp")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

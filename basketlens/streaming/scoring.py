@@ -51,18 +51,18 @@ def answer_requests(requests: DataFrame, top: DataFrame) -> DataFrame:
             .withColumn("answered", F.col("product_id").isNotNull()))
 
 
-def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model: PipelineModel, cols,
-                k: int = 5, pattern: str = "events.parquet", out_dir: str | None = None,
-                root: str | None = None) -> str:
-    """Run the scoring stream to completion (availableNow) and return the
-    sink folder.  Sink and checkpoint live under ``spark.checkpoint.dir``
-    unless ``root`` names a folder; re-running with the same ``root``
-    resumes from its checkpoint (already processed files are skipped)."""
+def run_requests(spark: SparkSession, source_dir: str, top: DataFrame, pattern: str = "events.parquet",
+                 out_dir: str | None = None, root: str | None = None) -> str:
+    """Answer the request stream to completion (availableNow) from ``top`` (the
+    ranked products of each user, by any scorer) and return the sink folder.
+    Sink and checkpoint live under ``spark.checkpoint.dir`` unless ``root``
+    names a folder; re-running with the same ``root`` resumes from its
+    checkpoint (already processed files are skipped)."""
     root = root or ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/scoring-{uuid.uuid4().hex}"
     sink = out_dir or root + "/out"
-    answers = f"{root}/top-{uuid.uuid4().hex}"        # a run that resumes scores today's candidates anew
-    top_k_per_user(features, model, cols, k).write.parquet(answers)
-    top = spark.read.parquet(answers)
+    answers = f"{root}/top-{uuid.uuid4().hex}"        # a run that resumes takes today's products
+    top.write.parquet(answers)
+    top = spark.read.schema(top.schema).parquet(answers)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (answer_requests(batch, top).withColumn("batch_id", F.lit(batch_id))
@@ -74,3 +74,10 @@ def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+def run_scoring(spark: SparkSession, source_dir: str, features: DataFrame, model: PipelineModel, cols,
+                k: int = 5, pattern: str = "events.parquet", out_dir: str | None = None,
+                root: str | None = None) -> str:
+    """``run_requests`` with every candidate scored by a fitted model."""
+    return run_requests(spark, source_dir, top_k_per_user(features, model, cols, k), pattern, out_dir, root)
