@@ -16,8 +16,8 @@
 4. Documents that share a part meet at the part's smallest document (a star,
    not all pairs); surviving pairs are verified on the exact shingle sets, and
    links are closed to components.  Parts whose documents are then still in
-   several components are looked at again: small ones (SMALL documents) by
-   pair, large ones around a pivot.  All their documents are compared with the
+   several components are looked at again: those with few pairs of different
+   components by pair, the others around a pivot.  All their documents are compared with the
    pivot, and dealt into new, smaller groups by a prefix filter on their
    differences from it, until no group is open.  No link that matters is lost,
    and no large group is expanded into pairs.
@@ -43,8 +43,9 @@ from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix6
 BAND_STEPS = 2
 #: Slack parts: half as many as needed, so that only well-filled parts are kept.
 LEAST_SLACK = 4
-#: Documents of a part up to which its pairs are listed; larger parts are dealt anew around a pivot.
-SMALL = 64
+#: The pairs of a part are listed where they are at most SMALL for a document (of the documents outside the part's largest
+#: component, with all others; FEW such documents always are); other parts are dealt anew around a pivot, ROUNDS times at most.
+SMALL, FEW, ROUNDS = 64, 16, 2
 SKETCH_WORDS = 4
 
 
@@ -311,7 +312,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
     met = stage(met.join(copies, "id", "left_anti").select("key", "id"), "members")
     many = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # key, id, w: the company that a document has in all its parts
+    # key, id, c: documents of the part, w: the company that a document has in all its parts
     members = stage(met.join(many, "key").withColumn("w", F.sum("c").over(Window.partitionBy("id"))), "members")
     drop_staged(met)
     texts = stage(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
@@ -322,9 +323,13 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             ab = ab.join(info.select(F.col("id").alias(x), *(F.col(m).alias(f"{x}_{m}") for m in meta)), x)
         return _close(ab, num, den).select("a", "b")
 
-    # the document with most company is the likeliest original of near copies: the others of the part meet there
-    hub = members.groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
-    tried = stage(candidates(members.join(hub, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b"))), "tried")
+    # Pairs that meet alone in a part; of larger parts the document with most company is the likeliest original of near
+    # copies: each document meets the best one of all its parts, so a cluster gives a pair a document, not one a part.
+    two = members.where("c = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    hub = members.where("c > 2").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
+    star = members.where("c > 2").join(hub, "key").groupBy("id").agg(F.max("p").alias("p")).select(
+        F.col("id").alias("a"), F.col("p.id").alias("b"))
+    tried = stage(candidates(two.unionAll(star)), "tried")
     links = stage(verify(tried, texts, n, num, den), "links")
     comp = components(links)
     groups = _one_of_equal(members.where("c > 2").select("key", "id", F.lit(0).alias("side"), "w"))
@@ -332,20 +337,24 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     while True:
         # parts that hold documents of several components, and a pair of them that is not known yet
         placed = groups.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = placed.groupBy("key").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.min("side").alias("lo"), F.max("side").alias("hi"),
-            F.count("*").alias("m")).where("x <> y and (lo = 0 or lo <> hi)").select("key", "m")
+        split = (placed.groupBy("key", "component").agg(F.count("*").alias("k"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+                 .groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("parts"),
+                                     F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                 .where("parts > 1 and (lo = 0 or lo <> hi)")
+                 .select("key", "m", F.col("main.component").alias("main"), (F.col("m") - F.col("main.k")).alias("others")))
         open_ = stage(placed.join(split, "key"), "open")
         if open_.isEmpty():
             break
-        few = open_.where(f"m <= {SMALL}")
-        pairs = few.alias("x").join(few.alias("y"), F.expr(
-            "x.key = y.key AND x.id < y.id AND x.component <> y.component AND x.side + y.side IN (0, 3)")).select(
+        # only pairs of different components matter: those outside the largest one against all, at most SMALL a document
+        listed = f"others * m <= {SMALL * SMALL} OR others <= {FEW}" if rounds < ROUNDS else "true"
+        few = open_.where(listed)
+        pairs = few.where("component <> main").alias("x").join(few.alias("y"), F.expr(
+            "x.key = y.key AND x.component <> y.component AND x.side + y.side IN (0, 3)")).select(
             F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         new = stage(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(new)
         fresh = verify(new, texts, n, num, den)
-        large = open_.where(f"m > {SMALL}")
+        large = open_.where(f"NOT ({listed})")
         more = not large.isEmpty()
         if more:
             pivot = large.groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))

@@ -12,7 +12,8 @@ plan is computed on the histogram:
 
 The plan is a bounded list of placements "the documents ranked a .. b of
 length w go to sequences s, s + 1, ... at offset o".  Ranks are dealt inside
-(length, salt) cells, so no length is numbered by one task.
+(length, salt) cells, so no length is numbered by one task; the number of salts
+grows with the pieces.  Full pieces need no rank: each is a sequence of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from basketlens.llm.bpe import default_vocabulary, encoder
 from basketlens.llm.common import ragged, stage, steps, text_bytes
 
-CAPACITY, END_ID, SALTS = 2048, 0, 64
+CAPACITY, END_ID = 2048, 0
+#: Salts that pieces are dealt to; rows that a (length, salt) cell has on average, at most until the salts run out.
+SALTS, CELL_ROWS = 4096, 2000
 
 
 @dataclass
@@ -192,9 +195,12 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a staged table of pieces (``length`` from 1 to capacity, ``salt``)."""
-    cells = pieces.groupBy("length", "salt").count().collect()      # at most capacity * SALTS rows
+    whole, pieces = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    salts = max(64, min(SALTS, -(-pieces.count() // (capacity * CELL_ROWS))))
+    pieces = pieces.withColumn("salt", F.col("salt") % salts)
+    cells = pieces.groupBy("length", "salt").count().collect()      # at most capacity * salts rows, one for CELL_ROWS pieces or a length
     counts: dict[int, int] = {}
-    before = np.zeros((capacity + 1, SALTS), np.int64)              # ranks of the length in earlier cells
+    before = np.zeros((capacity + 1, salts), np.int64)              # ranks of the length in earlier cells
     for r in sorted(cells):
         before[r["length"], r["salt"]] = counts.get(r["length"], 0)
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
@@ -223,7 +229,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     types = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(run, f"{types}, sequence_id long, offset long").drop("salt")
+    out = ranked.mapInArrow(run, f"{types}, sequence_id long, offset long").drop("salt")
+    own = whole.drop("salt").withColumns({"sequence_id": F.monotonically_increasing_id() + plan.sequences, "offset": F.lit(0).cast("long")})
+    return out.unionByName(own)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,

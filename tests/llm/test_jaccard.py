@@ -45,10 +45,11 @@ def cluster(seed, copies, words=60):
     return rows
 
 
-@pytest.mark.parametrize("small,n,num", [(4, 2, 85), (64, 4, 85)])
-def test_near_copies_match_all_pairs(spark, monkeypatch, small, n, num):
-    """SMALL = 3 sends nearly every part through pivots and prefix filters."""
-    monkeypatch.setattr(nj, "SMALL", small)
+@pytest.mark.parametrize("small,few,rounds,n,num", [(2, 0, 9, 2, 85), (2, 0, 1, 2, 85), (64, 16, 2, 4, 85)])
+def test_near_copies_match_all_pairs(spark, monkeypatch, small, few, rounds, n, num):
+    """SMALL = 2 sends nearly every part through pivots and prefix filters; what ROUNDS leave open is listed."""
+    for name, value in (("SMALL", small), ("FEW", few), ("ROUNDS", rounds)):
+        monkeypatch.setattr(nj, name, value)
     texts = cluster(1, 40) + cluster(2, 20, 25) + [" ".join(f"u{k}{j}" for j in range(30)) for k in range(10)]
     texts += ["", None, "one", "ONE", "one two", " \t ", "a b c d", "A  b\nc d"]
     rows = [(7 * i % 211, t) for i, t in enumerate(texts)]
