@@ -22,7 +22,7 @@
    differences from it, until no group is open.  No link that matters is lost,
    and no large group is expanded into pairs.
 
-A second, one-bit-per-shingle parity sketch of 256 bits travels with each
+A second, one-bit-per-shingle parity sketch of 1,024 bits travels with each
 document; its Hamming distance is checked before texts are fetched.
 """
 
@@ -46,7 +46,8 @@ LEAST_SLACK = 4
 #: The pairs of a part are listed where they are at most SMALL for a document (of the documents outside the part's largest
 #: component, with all others; FEW such documents always are); other parts are dealt anew around a pivot, ROUNDS times at most.
 SMALL, FEW, ROUNDS = 64, 16, 2
-SKETCH_WORDS = 4
+#: Words of the bit sketch: unrelated sets of up to about 2,300 shingles are told apart before their texts are fetched.
+SKETCH_WORDS = 16
 
 
 def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -130,10 +131,16 @@ def part_keys(sets: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[n
 def _bit_sketch(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Parity sketch of 64 * SKETCH_WORDS bits per row: each shingle flips one bit."""
     bits = 64 * SKETCH_WORDS
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    at = (mix64(sets + GOLDEN) % np.uint64(bits)).astype(np.int64)
-    flips = np.bincount(row * bits + at, minlength=len(sizes) * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH_WORDS)
+    out = np.zeros((len(sizes), SKETCH_WORDS), np.int64)
+    end = np.cumsum(sizes)
+    for i in range(0, len(sizes), 2000):            # rows at a time: bounds the counts below
+        some = sizes[i:i + 2000]
+        mine = sets[end[i] - some[0]:end[i + len(some) - 1]]
+        row = np.repeat(np.arange(len(some)), some)
+        at = (mix64(mine + GOLDEN) % np.uint64(bits)).astype(np.int64)
+        flips = np.bincount(row * bits + at, minlength=len(some) * bits) & 1
+        out[i:i + 2000] = np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH_WORDS)
+    return out
 
 
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
