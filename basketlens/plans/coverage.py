@@ -10,12 +10,12 @@ import sys
 from basketlens.plans.registry import load_all
 
 FUNCTIONS = {
-    "S1": "`sources.readers.read_csv`", "S2": "`sources.readers.read_all`", "S3": "`sources.readers.validate_schema`",
+    "S1": "`sources.readers.read_csv`", "S2": "`sources.readers.read_all`", "S3": "`sources.readers.validate_schema` / `read_checked`",
     "S4": "`sources.readers.load`", "S5": "`sources.sinks.write_parquet`", "S6": "`sources.sinks.write_csv`",
     "S7": "`sources.sinks.write_partitioned`, `plans.jobs.run_etl`", "S8": "`sources.sinks.present_partition_cols`",
     "S9": "`sources.sinks.write_staging`, `plans.jobs.run_etl`", "S10": "`sources.readers.read_staging`",
-    "S11": "`sources.sinks.archive`", "S14": "`sources.sinks.write_parquet` / `write_csv`",
-    "S15": "`sources.sinks.write_parquet` / `write_csv`", "S16": "`sources.sinks.export_kpis`, `plans.jobs.kpi_export`",
+    "S11": "`sources.sinks.archive` / `snapshot`", "S14": "`plans.jobs.export_features`",
+    "S15": "`plans.jobs.export_predictions`", "S16": "`sources.sinks.export_kpis`, `plans.jobs.kpi_export`",
     "Q2": "`plans.jobs.data_catalog`", "Q4": "`sources.sinks.write_json`, `plans.jobs.run_etl`",
     "W2": "`operators.clean.cluster_items`", "M17": "`operators.models.save` / `load`",
     "M18": "`operators.models.check_contract`",
