@@ -56,3 +56,7 @@ def test_a_correlation_matrix_aggregates_a_pair_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("covar_pop") == 6
     r = {(x.feature_a, x.feature_b): x.r for x in out.collect()}
     assert len(r) == 9 and r["a", "b"] == r["b", "a"] and abs(r["a", "b"] - df.corr("a", "b")) < 1e-12 and r["a", "c"] is None
+
+
+def test_forests_keep_each_rows_node():
+    assert M.classifier("random_forest", 3).getCacheNodeIds()
