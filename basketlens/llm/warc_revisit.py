@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import stage
+
 #: Headers that a 304 response may carry to update a stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not choose content.
@@ -54,7 +56,8 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.when(F.col("type") == "revisit", "revisit").otherwise("response").alias("type"), "etag", "last_modified",
         F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("headers"), "payload_digest",
     ).where("record_id is not null and canonical_url is not null and captured is not null")
-    r = r.withColumn("bucket", F.floor(F.col("captured") / bucket))
+    # read three times below: the payloads that digests are made of are read once
+    r = stage(r.withColumn("bucket", F.floor(F.col("captured") / bucket)), "records")
     full = F.when(F.col("type") == "response", F.struct(
         "captured", "record_id", "etag", "last_modified", "payload_digest", F.map_entries("headers").alias("headers")))
     last = r.where("type = 'response'").groupBy("canonical_url", "bucket").agg(
@@ -93,23 +96,24 @@ def page_records(pages: DataFrame) -> DataFrame:
     ETag changes every fifty captures; some revisits have Last-Modified only,
     some no validator.
     """
-    p = pages.where("page_id is not null and url is not null")
-    own = p.select(
+    p = pages.where("page_id is not null and url is not null").select(
+        "page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("string").alias("size"))
+    own = F.struct(
         (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("captured"), F.lit("response").alias("type"),
-        F.md5("html").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.md5("html")).alias("headers"),
-        F.md5("html").alias("payload_digest"))
+        F.col("digest").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("digest")).alias("headers"),
+        F.col("digest").alias("payload_digest"))
     version = F.floor(F.col("page_id") / 50).cast("string")
     kind = F.when(F.col("page_id") % 5 == 0, "response").otherwise("revisit")
     etag = F.when(F.col("page_id") % 11 < 9, F.concat(F.when(F.col("page_id") % 2 == 0, "W/").otherwise(""), F.lit('"v'), version, F.lit('"')))
-    front = p.select(
+    front = F.struct(
         (F.col("page_id") * 2 + 1).alias("record_id"), F.regexp_extract("url", r"^[^:]+://[^/?#]+(/[a-z]{2})?", 0).alias("url"),
         F.col("page_id").alias("captured"), kind.alias("type"), etag.alias("etag"),
         F.when(F.col("page_id") % 11 < 10, F.concat(F.lit("day "), version)).alias("last_modified"),
-        F.create_map(F.lit("Date"), F.col("page_id").cast("string"), F.lit("content-length"), F.length("html").cast("string"),
+        F.create_map(F.lit("Date"), F.col("page_id").cast("string"), F.lit("content-length"), F.col("size"),
                      F.lit("Server"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string"))).alias("headers"),
-        F.when(F.col("page_id") % 5 == 0, F.md5("html")).alias("payload_digest"))
-    return own.unionByName(front)
+        F.when(F.col("page_id") % 5 == 0, F.col("digest")).alias("payload_digest"))
+    return p.select(F.inline(F.array(own, front)))
 
 
 def headers_text(headers: Column) -> Column:

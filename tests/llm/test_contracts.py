@@ -246,6 +246,18 @@ def test_backoff_trigrams(spark):
     assert got == want
 
 
+def test_pages_are_read_once(spark, tmp_path):
+    """Digests of payloads are made in one scan, and what is joined afterwards reads the records only."""
+    rows = [(i, f"http://h{i % 2}.org/de/p{i}", None if i == 3 else f"<p>{i}</p>") for i in range(12)] + [(None, "http://x.org/", "y")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    records = warc_revisit.page_records(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    assert records._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    out = warc_revisit.resolve_revisits(records)
+    assert not [f for f in out.inputFiles() if "pages.parquet" in f]
+    assert sorted((r["record_id"], r["status"]) for r in out.where("record_id < 6").collect()) == [
+        (0, "full"), (1, "full"), (2, "full"), (3, "unresolved"), (4, "full"), (5, "resolved")]
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
