@@ -29,12 +29,12 @@ document; its Hamming distance is checked before texts are fetched.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import GOLDEN, Words, drop_staged, hold_nothing, mix64, one_row_per_id, ragged, scratch, split, stage, steps
@@ -206,11 +206,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cur.select(F.col("b"), F.col("b")).distinct())
 
 
-def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the sizes and the bit sketches do not rule out (columns a_*, b_*)."""
-    bits = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return pairs.where((least * den >= most * num) & (bits * (den + num) <= (den - num) * (F.col("a_n") + F.col("b_n"))))
+def _close(a: Callable[[str], Column], b: Callable[[str], Column], num: int, den: int) -> Column:
+    """Whether the sizes and the bit sketches of two documents, whose columns ``a`` and ``b`` give, do not rule a link out."""
+    bits = sum((F.bit_count(a(f"s{k}").bitwiseXOR(b(f"s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    return (F.least(a("n"), b("n")) * den >= F.greatest(a("n"), b("n")) * num) & (
+        bits * (den + num) <= (den - num) * (a("n") + b("n")))
+
+
+def _across(few: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """Close pairs (a, b) of documents in different components of a part: those outside the largest component against all.
+
+    Each document of a part meets lists of at most about SMALL of the others, with their sketches, and only pairs that the
+    sketches do not rule out become rows.
+    """
+    rows = few.join(info, "id")
+    side = ["id", "component", "side", *(c for c in info.columns if c != "id")]
+    others = rows.where("component <> main").groupBy(
+        "key", F.expr(f"pmod(xxhash64(id), ceil(others / {SMALL}))").alias("list")).agg(F.collect_list(F.struct(*side)).alias("with"))
+    met = F.filter("with", lambda o: (o["component"] != F.col("component")) & (o["side"] + F.col("side")).isin(0, 3) & _close(
+        F.col, lambda c: o[c], num, den))
+    return rows.join(others.drop("list"), "key").select(
+        F.col("id").alias("a"), F.explode(F.transform(met, lambda o: o["id"])).alias("b"))
 
 
 def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tuple[np.ndarray, ...]:
@@ -232,8 +248,10 @@ def _differences(one: pa.Array, two: pa.Array, n: int, num: int, den: int) -> tu
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of a staged table of pairs with both texts; of ``texts``, only those that a pair asks for meet the first ones."""
+    asked = texts.join(pairs.select(F.col("b").alias("id")), "id", "left_semi")
     return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
+        asked.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -328,7 +346,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         ab = ab.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         for x in "ab":
             ab = ab.join(info.select(F.col("id").alias(x), *(F.col(m).alias(f"{x}_{m}") for m in meta)), x)
-        return _close(ab, num, den).select("a", "b")
+        return ab.where(_close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), num, den)).select("a", "b")
 
     # Pairs that meet alone in a part; of larger parts the document with most company is the likeliest original of near
     # copies: each document meets the best one of all its parts, so a cluster gives a pair a document, not one a part.
@@ -354,11 +372,8 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             break
         # only pairs of different components matter: those outside the largest one against all, at most SMALL a document
         listed = f"others * m <= {SMALL * SMALL} OR others <= {FEW}" if rounds < ROUNDS else "true"
-        few = open_.where(listed)
-        pairs = few.where("component <> main").alias("x").join(few.alias("y"), F.expr(
-            "x.key = y.key AND x.component <> y.component AND x.side + y.side IN (0, 3)")).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        new = stage(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "tried")
+        pairs = _across(open_.where(listed), info, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(new)
         fresh = verify(new, texts, n, num, den)
         large = open_.where(f"NOT ({listed})")
@@ -370,8 +385,10 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 best = F.max("p").over(Window.partitionBy("id"))
                 pivot = large.join(pivot, "key").withColumn("best", best).groupBy("key").agg(F.max("best").alias("p"))
             rounds += 1
-            star = large.join(pivot, "key").select(F.col("id").alias("a"), F.col("p.id").alias("b"), "w").where("a <> b").distinct()
-            star = stage(_against_pivot(star, texts, n, num, den), "star")
+            spokes = stage(large.join(pivot, "key").select(
+                F.col("id").alias("a"), F.col("p.id").alias("b"), "w").where("a <> b").distinct(), "spokes")
+            star = stage(_against_pivot(spokes, texts, n, num, den), "star")
+            drop_staged(spokes)
             fresh = fresh.unionAll(star.where("linked").select("a", "b"))
             old, groups = groups, stage(_regroup(star, num, den), "groups")
             if rounds > 1:

@@ -58,6 +58,42 @@ def test_near_copies_match_all_pairs(spark, monkeypatch, small, few, rounds, n,
     assert got == brute(rows, n, num, 100)
 
 
+def test_pairs_of_a_part_become_rows_only_where_sketches_are_close(spark):
+    """A part of 60 near copies of one component and 20 documents unlike them: 20 x 60 pairs in question, one of them close."""
+    bits = {f"s{k}": 0 for k in range(nj.SKETCH_WORDS)}
+    info = [{"id": i, "n": 100} | bits for i in range(60)]
+    info += [{"id": i, "n": 100} | {c: (i * 2654435761 << 20 ^ i * 40503 + k) % 2**62 for k, c in enumerate(bits)} for i in range(60, 79)]
+    info.append({"id": 79, "n": 100} | bits | {"s0": 7})
+    info[30]["n"] = 50              # too small for any of the others
+    info[31]["s0"] = 2**63 - 1      # too far from document 79
+    few = [(1, i, 0, 0 if i < 60 else i, 0, 80, 20) for i in range(80)]
+    few = spark.createDataFrame(few, "key long, id long, side int, component long, main long, m long, others long")
+    info = spark.createDataFrame(info, "id long, n long, " + ", ".join(f"{c} long" for c in bits))
+    got = nj._across(few, info, 85, 100)
+    assert {tuple(sorted(r)) for r in got.collect()} == {(i, 79) for i in range(60) if i not in (30, 31)}
+
+
+def test_pairs_are_never_listed_by_a_join(spark, monkeypatch):
+    """No staged plan joins the documents of a part with each other, in the last round either."""
+    for name, value in (("SMALL", 2), ("FEW", 0), ("ROUNDS", 0)):
+        monkeypatch.setattr(nj, name, value)
+    plans, stage = [], nj.stage
+    monkeypatch.setattr(nj, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stage(df, name))[1])
+    rows = list(enumerate(cluster(5, 40)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), 2, 85, 100).collect()}
+    assert got == brute(rows, 2, 85, 100)
+    assert not [x for p in plans for x in p.splitlines() if re.search(r"Join Inner.*component#\d+L? = component#", x)]
+
+
+def test_texts_for_pairs_are_cut_down_to_those_asked_for(spark):
+    texts = spark.range(1000).selectExpr("id", "concat('t', id) AS text")
+    pairs = spark.createDataFrame([(1, 2, "x"), (3, 2, "y"), (5, 5000, "z")], "a long, b long, k string")
+    got = nj._with_texts(pairs, texts)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "x", "t1", "t2"), (3, 2, "y", "t3", "t2")]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_part_counts_bound_differences():
     """Sets that link share a kept part key (pigeonhole with slack), over many random pairs."""
     import numpy as np
