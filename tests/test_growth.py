@@ -5,6 +5,7 @@ from pyspark.sql import Row
 from basketlens import session
 from basketlens.operators import features as FT
 from basketlens.operators import models as M
+from basketlens.sources import adapter
 
 KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
@@ -60,3 +61,18 @@ def test_a_correlation_matrix_aggregates_a_pair_once(spark):
 
 def test_forests_keep_each_rows_node():
     assert M.classifier("random_forest", 3).getCacheNodeIds()
+
+
+def test_lines_are_reduced_by_a_hash_aggregate_of_their_numbers(spark):
+    rows = [(1, 5, 3, 7), (1, 5, 2, 9), (1, 6, 1, 1), (2, 5, None, 1), (2, 5, 1, 2), (2, None, 4, 1), (None, 5, 1, 1)]
+    lines = spark.createDataFrame([(o, p, n, s, float(s), None) for o, p, n, s in rows],
+                                  "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_extendedprice double, l_shipdate timestamp")
+    seen = []
+    scan, adapter.ordered_scan = adapter.ordered_scan, lambda df, *a, **k: seen.append(df) or scan(df, *a, **k)
+    try:
+        got = {tuple(r) for r in adapter.derive_lines(lines).collect()}
+    finally:
+        adapter.ordered_scan = scan
+    assert got == {(1, 6, 1), (1, 5, 2), (2, 5, 1), (2, None, 2), (None, 5, 1)}
+    assert {(r["order_id"], r["product_id"]): r["l_linenumber"] for r in seen[0].collect()}[2, 5] is None     # null is the least
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
