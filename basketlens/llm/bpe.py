@@ -9,12 +9,13 @@ distinct piece once and gathers the ids with numpy.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from basketlens.llm.common import Words, held, ragged
+from basketlens.llm.common import Words, held, ragged, string_hashes
 
 #: Distinct pieces of which a worker remembers the ids; beyond it a piece is simply encoded again.
 MEMO_PIECES = 200_000
@@ -38,8 +39,9 @@ class Encoder:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.lower = self._check()
-        self.slot: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        # what is remembered: two hashes of a piece, sorted by the first, and its place in ``flat``
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
     def _check(self) -> bool:
@@ -50,19 +52,25 @@ class Encoder:
         return all(ids(p) == [i for w in p.split() for i in ids(w)] == ids(p.replace(" ", " \n\t")) for p in probe) and all(
             ids(w + c) == ids(w.lower()) + ids(c) for w in letters if w.isalpha() for c in ".,")
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of letters: encoded in long lines, cut where a word's last token stands."""
-        lines = [" ".join(words[i:i + _JOIN]) for i in range(0, len(words), _JOIN)]
-        out: list[np.ndarray] = []
-        for line, e in zip(lines, self.full.encode_batch_fast(lines, add_special_tokens=False)):
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and their number of words of letters: encoded in long lines, cut where a word's last token stands."""
+        lines = [words[i:i + _JOIN] for i in range(0, len(words), _JOIN)]
+        flat: list[np.ndarray] = []
+        size: list[np.ndarray] = []
+        for many, e in zip(lines, self.full.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            cut = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            many = line.split(" ")
-            out += cut if len(cut) == len(many) else [self._one(w) for w in many]
-        return out
-
-    def _one(self, piece: str) -> np.ndarray:
-        return np.array(self.full.encode(piece, add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(many):
+                ids, cut = self._each(many)
+            flat.append(ids[:cut[-1]])
+            size.append(np.diff(cut, prepend=0))
+        return flat, size
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are encoded by themselves, and where each ends."""
+        got = [e.ids for e in self.full.encode_batch_fast(pieces, add_special_tokens=False)]
+        end = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(end[-1])), end
 
     @staticmethod
     def _stems(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -83,45 +91,43 @@ class Encoder:
 
     def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, start and length of each piece."""
-        words = pieces.to_pylist()
-        slot = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(slot < 0)
-        missing = [words[i] for i in new]
-        fresh: list[np.ndarray] = [None] * len(new)      # type: ignore[list-item]
-        plain = [k for k, w in enumerate(missing) if w.isalpha()]
-        rest = [k for k, w in enumerate(missing) if not w.isalpha()]
-        for k, ids in zip(plain, self._words([missing[k] for k in plain])):
-            fresh[k] = ids
+        key, check = string_hashes(pieces, 1), string_hashes(pieces, 2)
+        slot = np.searchsorted(self.key, key)
+        old = slot < len(self.key)
+        old[old] = (self.key[slot[old]] == key[old]) & (self.check[slot[old]] == check[old])
+        new = np.flatnonzero(~old)
+        words = pieces.take(pa.array(new)).to_pylist()
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        new = np.concatenate([new[letters], new[~letters]])
+        parts, sizes_ = self._words([w for w in words if w.isalpha()])
+        rest = [w for w in words if not w.isalpha()]
         if rest:
-            got = self.full.encode_batch_fast([missing[k] for k in rest], add_special_tokens=False)
-            for k, e in zip(rest, got):
-                fresh[k] = np.array(e.ids, np.uint32)
-        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        flat = np.concatenate([self.flat[:self.used], *fresh]) if fresh else self.flat[:self.used]
+            ids, end = self._each(rest)
+            parts.append(ids)
+            sizes_.append(np.diff(end, prepend=0))
+        size = np.concatenate(sizes_) if sizes_ else np.zeros(0, np.int64)
+        flat = np.concatenate([self.flat[:self.used], *parts])
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        old = slot >= 0
         starts[old], sizes[old] = self.start[slot[old]], self.size[slot[old]]
         starts[new], sizes[new] = self.used + np.cumsum(size) - size, size
-        self._remember(missing, fresh, size)
+        self._remember(key[new], check[new], flat[self.used:], size)
         return flat, starts, sizes
 
-    def _remember(self, pieces: list[str], fresh: list[np.ndarray], size: np.ndarray) -> None:
-        room = max(0, MEMO_PIECES - len(self.slot))
-        take = [k for k, p in enumerate(pieces) if len(p) <= 64][:room]
-        if not take:
+    def _remember(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        take = np.flatnonzero(size <= 64)[:max(0, MEMO_PIECES - len(self.key))]
+        if not len(take):
             return
-        add = np.concatenate([fresh[k] for k in take])
-        n = len(self.slot)
-        for name, need in (("start", n + len(take)), ("size", n + len(take)), ("flat", self.used + len(add))):
-            have = getattr(self, name)
-            if len(have) < need:
-                setattr(self, name, np.resize(have, 2 * need))
         lens = size[take]
-        self.start[n:n + len(take)] = self.used + np.cumsum(lens) - lens
-        self.size[n:n + len(take)] = lens
+        add = ids[ragged((np.cumsum(size) - size)[take], lens)]
+        if len(self.flat) < self.used + len(add):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(add)))
         self.flat[self.used:self.used + len(add)] = add
+        key = np.concatenate([self.key, key[take]])
+        by = np.argsort(key, kind="stable")
+        self.key, self.check = key[by], np.concatenate([self.check, check[take]])[by]
+        self.start = np.concatenate([self.start, self.used + np.cumsum(lens) - lens])[by]
+        self.size = np.concatenate([self.size, lens])[by]
         self.used += len(add)
-        self.slot.update((pieces[k], n + j) for j, k in enumerate(take))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each (null: none)."""
