@@ -54,3 +54,10 @@ def test_scores_of_texts_between_spaces(spark):
     got = {r["doc_id"]: r for r in backoff_lm.backoff_scores(docs).collect()}
     assert [got[i]["n_words"] for i in (1, 2, 3, 4)] == [2, 2, 0, 0]
     assert math.isclose(got[1]["log_score"], math.log(2 / 4)) and got[1]["log_score"] == got[2]["log_score"]
+
+
+def test_freed_memory_is_given_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_TRIM", calls.append)
+    common.release()
+    assert calls == [0]
