@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -69,3 +69,34 @@ def test_models_fit_adds_up_histograms(spark, monkeypatch):
     model = M.fit("gbt", df, ["a", "b"], M.scaling_stage(M.feature_moments(df, ["a", "b"]), ["a", "b"]))
     assert seen == [1] and model.stages[-1].getNumTrees == 3
     assert M.score(model, df, ["a", "b"]).where(F.col("reorder_probability").isNull()).count() == 0
+
+
+def _forest(n_trees, **more):
+    return RandomForestClassifier(labelCol="reordered", weightCol="weight", numTrees=n_trees, seed=42, **more)
+
+
+@pytest.mark.parametrize("shared", [T.SHARED, 0])       # whole trees in a task; as a job for each level
+def test_a_tree_of_all_rows_and_features_is_mllibs(rows, shared, monkeypatch):
+    df, weights = rows
+    monkeypatch.setattr(T, "SHARED", shared)
+    monkeypatch.setattr(T, "KEPT", 3)
+    monkeypatch.setattr(T, "BLOCK", 500)
+    monkeypatch.setattr(T, "PASS_BYTES", 1 << 16)       # several passes for the nodes of a level
+    clf = _forest(1, maxDepth=8, featureSubsetStrategy="all", bootstrap=False)
+    want, got = clf.fit(df), T.fit_forest(clf, df, df, weights)
+    assert got.trees[0].numNodes == want.trees[0].numNodes
+    assert np.allclose(_p(got, df), _p(want, df), atol=1e-9)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=0.01)      # equal gains: either feature
+
+
+def test_a_forest_is_like_mllibs_and_the_same_however_it_grows(rows, monkeypatch):
+    df, weights = rows
+    clf = _forest(30, maxDepth=12, featureSubsetStrategy="sqrt")
+    want, got = clf.fit(df), T.fit_forest(clf, df, df, weights)
+    monkeypatch.setattr(T, "SHARED", 0)
+    again = T.fit_forest(clf, df, df, weights)
+    assert np.allclose(_p(got, df), _p(again, df), atol=1e-12)
+    assert got.getNumTrees == 30 and len(got.trees) == 30 and got.numClasses == 2
+    assert 0.9 < np.mean([t.numNodes for t in got.trees]) / np.mean([t.numNodes for t in want.trees]) < 1.1
+    assert np.abs(_p(got, df) - _p(want, df)).mean() < 0.05
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=0.05)
