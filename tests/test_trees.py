@@ -82,7 +82,7 @@ def test_a_tree_of_all_rows_and_features_is_mllibs(rows, shared, monkeypatch):
     monkeypatch.setattr(T, "KEPT", 3)
     monkeypatch.setattr(T, "BLOCK", 500)
     monkeypatch.setattr(T, "PASS_BYTES", 1 << 16)       # several passes for the nodes of a level
-    clf = _forest(1, maxDepth=8, featureSubsetStrategy="all", bootstrap=False)
+    clf = _forest(1, maxDepth=5, featureSubsetStrategy="all", bootstrap=False)     # deeper ones have splits of equal gain
     want, got = clf.fit(df), T.fit_forest(clf, df, df, weights)
     assert got.trees[0].numNodes == want.trees[0].numNodes
     assert np.allclose(_p(got, df), _p(want, df), atol=1e-9)
@@ -100,3 +100,13 @@ def test_a_forest_is_like_mllibs_and_the_same_however_it_grows(rows, monkeypatch
     assert 0.9 < np.mean([t.numNodes for t in got.trees]) / np.mean([t.numNodes for t in want.trees]) < 1.1
     assert np.abs(_p(got, df) - _p(want, df)).mean() < 0.05
     assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=0.05)
+
+
+def test_of_equal_gains_the_first_split_is_taken():
+    """Rounding must not choose: sums that differ in the last digits, as other orders of rows give."""
+    counts = np.array([[[30.0, 20], [30, 20], [30, 20]], [[5, 45], [5, 45], [5, 45]]])
+    sums = np.array([[-25.0, 25.0], [-25.0 * (1 + 1e-15), 25.0 * (1 + 1e-15)], [-25.0 * (1 + 4e-15), 25.0 * (1 + 4e-15)]])
+    assert T.best_split(counts, sums, [np.zeros(1)] * 3, np.ones(2))[1:] == (0, 0)
+    forest = T.Forest(T.Layout(3, 2, 2), np.array([1.0, 1.1]), 3, 3, False, 1)
+    gain, tried, at = forest.splits(counts[:, None], np.array([[2, 0, 1]]), np.ones(3))
+    assert gain[0] > 0 and (tried[0], at[0]) == (0, 0)
