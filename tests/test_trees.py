@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from basketlens.operators import models as M
+from basketlens.operators import newton as N
 from basketlens.operators import trees as T
 
 
@@ -110,3 +111,21 @@ def test_of_equal_gains_the_first_split_is_taken():
     forest = T.Forest(T.Layout(3, 2, 2), np.array([1.0, 1.1]), 3, 3, False, 1)
     gain, tried, at = forest.splits(counts[:, None], np.array([[2, 0, 1]]), np.ones(3))
     assert gain[0] > 0 and (tried[0], at[0]) == (0, 0)
+
+
+def test_many_rows_of_a_logistic_fit_are_cached_once(spark, monkeypatch):
+    """By MLlib, in blocks; the certificate's single pass writes no table either."""
+    df = spark.createDataFrame([(i, i, int((i * 7) % 5 < 2), float(i % 7), float(i % 11)) for i in range(600)],
+                               "user_id long, product_id long, reordered int, a double, b double").repartition(32, "user_id").cache()
+    scaler = M.scaling_stage(M.feature_moments(df, ["a", "b"]), ["a", "b"])
+    want = M.fit("logistic", df, ["a", "b"], scaler).stages[-1]
+    kept = []
+    persist = type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: (kept.append(1), persist(self, *a))[1])
+    monkeypatch.setattr(M, "SPREAD_ROWS", 0)
+    got = M.fit("logistic", df, ["a", "b"], scaler).stages[-1]
+    assert not kept and np.allclose(got.coefficients.toArray(), want.coefficients.toArray(), atol=1e-4)
+    params = {"a": (3.0, 2.0), "b": (5.0, 3.0)}
+    monkeypatch.setattr(N, "staged", lambda *a: kept.append(2))
+    rows = N.vector_rows(df, ["a", "b"], "reordered", params)
+    assert N.certificate(rows, [0.0, 0.0, 0.0], 0.1)["weight"] == 600 and not kept
