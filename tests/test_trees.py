@@ -1,5 +1,7 @@
 """Boosted trees by histograms against MLlib's."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -129,3 +131,13 @@ def test_many_rows_of_a_logistic_fit_are_cached_once(spark, monkeypatch):
     monkeypatch.setattr(N, "staged", lambda *a: kept.append(2))
     rows = N.vector_rows(df, ["a", "b"], "reordered", params)
     assert N.certificate(rows, [0.0, 0.0, 0.0], 0.1)["weight"] == 600 and not kept
+
+
+def test_spread_fits_run_in_threads(rows, monkeypatch):
+    """As out-of-fold fits do: a plain thread has no active session."""
+    df, weights = rows
+    monkeypatch.setattr(T, "ALONE", 0)
+    monkeypatch.setattr(T, "KEPT", 2)
+    with ThreadPool(2) as pool:
+        a, b = pool.map(lambda n: T.fit_boosted(_classifier(n), df, df, weights), [3, 4], 1)
+    assert (a.getNumTrees, b.getNumTrees) == (3, 4)
